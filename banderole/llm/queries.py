@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, line_rules, mixing, simhash, tiff, token_store, toxicity
+from . import chat, line_rules, mixing, pii, simhash, tiff, token_store, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,6 +18,10 @@ def op1_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_rules.judge(_table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
 
 
+def op3_pii_boosting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.report(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op4_simhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     out = simhash.near_duplicates(docs, shingle=3, radius=2)
@@ -72,7 +76,7 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_line_quality, op4_simhash_neardup, op6_toxicity, op7_token_output, op8_media_tiff, op9_pfair_mix, op10_chat_format)}
+    return {f.__name__: f for f in (op1_line_quality, op3_pii_boosting, op4_simhash_neardup, op6_toxicity, op7_token_output, op8_media_tiff, op9_pfair_mix, op10_chat_format)}
 
 
 def oracle_sql() -> dict[str, str]:
