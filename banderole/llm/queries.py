@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, line_rules, mixing, pii, simhash, tiff, token_store, toxicity
+from . import chat, html_crf, line_rules, mixing, pii, simhash, sp_suffix, tiff, token_store, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,6 +18,11 @@ def op1_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_rules.judge(_table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
 
 
+def op2_html_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return html_crf.extract(pages).select("page_id", "url", "text", "n_chars")
+
+
 def op3_pii_boosting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.report(_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -37,6 +42,13 @@ def toxicity_model(spark: SparkSession, sf_dir: str, docs: DataFrame) -> toxicit
     return toxicity.fit(docs, _table(spark, sf_dir, "labels").where(~HELD_OUT))
 
 
+def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return sp_suffix.digest(docs, public_tokenizers.path("piece_bpe_32k.model")).withColumnRenamed("key", "doc_id")
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     scored = toxicity.score(docs, toxicity_model(spark, sf_dir, docs))
@@ -76,7 +88,7 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_line_quality, op3_pii_boosting, op4_simhash_neardup, op6_toxicity, op7_token_output, op8_media_tiff, op9_pfair_mix, op10_chat_format)}
+    return {f.__name__: f for f in (op1_line_quality, op2_html_crf, op3_pii_boosting, op4_simhash_neardup, op5_sentencepiece, op6_toxicity, op7_token_output, op8_media_tiff, op9_pfair_mix, op10_chat_format)}
 
 
 def oracle_sql() -> dict[str, str]:
