@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import chat, html_crf, line_rules, mixing, pii, simhash, sp_suffix, tiff, token_store, toxicity
@@ -33,13 +33,16 @@ def op4_simhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("key").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-HELD_OUT = F.crc32(F.col("doc_id").cast("string")) % 3 == 1
+def held_out() -> Column:
+    return F.crc32(F.col("doc_id").cast("string")) % 3 == 1
+
+
 TOXIC_AT = 0.7
 
 
 def toxicity_model(spark: SparkSession, sf_dir: str, docs: DataFrame) -> toxicity.Model:
     """Trained on labels that aren't held out."""
-    return toxicity.fit(docs, _table(spark, sf_dir, "labels").where(~HELD_OUT))
+    return toxicity.fit(docs, _table(spark, sf_dir, "labels").where(~held_out()))
 
 
 def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -52,7 +55,7 @@ def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     scored = toxicity.score(docs, toxicity_model(spark, sf_dir, docs))
-    return scored.select("doc_id", HELD_OUT.alias("held_out"), "score", (F.col("score") >= TOXIC_AT).cast("int").alias("predicted"))
+    return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= TOXIC_AT).cast("int").alias("predicted"))
 
 
 def op7_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -91,5 +94,33 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_line_quality, op2_html_crf, op3_pii_boosting, op4_simhash_neardup, op5_sentencepiece, op6_toxicity, op7_token_output, op8_media_tiff, op9_pfair_mix, op10_chat_format)}
 
 
+#: Base columns by lists and windows; frequent lines by their normalised text.
+OP1_SQL = r"""
+WITH d AS (SELECT doc_id, coalesce(source, '') AS host, coalesce(text, '') AS t FROM documents),
+w AS (SELECT doc_id, host, t, list_filter(regexp_split_to_array(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM d),
+grams AS (SELECT doc_id, i, list_slice(w, i, i + 4) AS g FROM w, LATERAL (SELECT unnest(range(1, len(w) - 3)) AS i)),
+twice AS (SELECT doc_id, unnest(list(i)) AS i FROM grams GROUP BY doc_id, g HAVING count(*) > 1),
+covered AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(i, i + 5)) AS p FROM twice) GROUP BY doc_id),
+lines AS (SELECT doc_id, host, t, unnest(l) AS line FROM w),
+norm AS (SELECT doc_id, host, t, trim(regexp_replace(regexp_replace(lower(line), '[0-9]+', '0', 'g'), '[\x20\x09-\x0D]+', ' ', 'g')) AS h,
+  len(list_filter(regexp_split_to_array(line, '[\x20\x09-\x0D]+'), lambda x: x <> '')) AS n FROM lines),
+frequent AS (SELECT host, h FROM norm GROUP BY host, h HAVING count(DISTINCT t) > CASE WHEN max(n) <= 3 THEN 100 ELSE 10 END),
+removed AS (SELECT doc_id, sum(n) AS n FROM norm JOIN frequent USING (host, h) GROUP BY doc_id),
+base AS (SELECT w.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g')) AS BIGINT) AS word_chars,
+  CAST(length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines,
+  CAST(coalesce(c.n, 0) AS BIGINT) AS n_repeat_words, CAST(coalesce(r.n, 0) AS BIGINT) AS n_removed_words FROM w LEFT JOIN covered c USING (doc_id) LEFT JOIN removed r USING (doc_id)),
+judged AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM base)
+SELECT *, NOT base_failed AND n_words - n_removed_words >= 0.5 * n_words AS kept FROM judged"""
+
+OP10_SQL = rf"""
+WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '{FORGERY}' UNION ALL SELECT -1, 1, 'assistant', '{FORGERY}')
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(length('<|im_start|>') + length(role) + 1 + length(regexp_replace(text, '<(\\*)\|', '<\1\\|', 'g')) + length('<|im_end|>') + 1) AS BIGINT) AS formatted_chars
+FROM c GROUP BY conv_id"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_line_quality": OP1_SQL, "op10_chat_format": OP10_SQL}
