@@ -435,7 +435,7 @@ def restatements(spark, sf):
 # --- text -----------------------------------------------------------------------------------------
 QUESTION = "license version token would than the thing"
 _ASKED = [w for w in QUESTION.split() if w not in retrieval.STOP]
-_TOKENS = f"""tok AS (SELECT doc_id, list_filter(string_split(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g'), ' '), w -> length(w) > 1 AND NOT list_contains([{', '.join(f"'{w}'" for w in retrieval.STOP)}], w)) AS t FROM documents)"""
+_TOKENS = f"""tok AS (SELECT doc_id, list_filter(string_split(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g'), ' '), lambda w: length(w) > 1 AND NOT list_contains([{', '.join(f"'{w}'" for w in retrieval.STOP)}], w)) AS t FROM documents)"""
 
 
 @query(

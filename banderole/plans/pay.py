@@ -13,7 +13,8 @@ from ..operators import series as s
 from ..schema import BIN
 from .stand_in import CUBE, MEASURES, POSTS, WITH_CUBE, chosen_sql, cut, posts, query, rounded, series_sql, table
 
-DAY = F.col("date").cast("string").alias("date")
+def day():
+    return F.col("date").cast("string").alias("date")
 
 
 def cube_of(spark: SparkSession, sf: str) -> DataFrame:
@@ -58,12 +59,12 @@ def band_classify(spark, sf):
 
 @query(f"WITH {POSTS} SELECT org, CAST(date AS VARCHAR) AS date, grade, bin_low, bin_high, {MEASURES} FROM posts GROUP BY org, date, grade, bin_low, bin_high")
 def cube_core(spark, sf):
-    return cubes.build(posts(spark, sf), cubes.CORE).withColumn("date", DAY)
+    return cubes.build(posts(spark, sf), cubes.CORE).withColumn("date", day())
 
 
 @query(f"WITH {POSTS}, {CUBE} SELECT * EXCLUDE (family, tier) REPLACE (CAST(date AS VARCHAR) AS date) FROM cube")
 def cube_prof(spark, sf):
-    return cube_of(spark, sf).withColumn("date", DAY)
+    return cube_of(spark, sf).withColumn("date", day())
 
 
 _SUMS = ", ".join(f"CAST(sum({m}) AS BIGINT) AS {m}" for m in cubes.MEASURES)
@@ -81,7 +82,7 @@ def cube_encode_decode(spark, sf):
     core = cubes.build(posts(spark, sf), cubes.CORE)
     kept = core.withColumn("before", F.xxhash64(*cubes.CORE, *cubes.MEASURES))
     back = cubes.decode(cubes.encode(kept))
-    return back.select(*cubes.CORE, *cubes.MEASURES, (F.xxhash64(*cubes.CORE, *cubes.MEASURES) == F.col("before")).alias("same")).withColumn("date", DAY)
+    return back.select(*cubes.CORE, *cubes.MEASURES, (F.xxhash64(*cubes.CORE, *cubes.MEASURES) == F.col("before")).alias("same")).withColumn("date", day())
 
 
 @query(f"""WITH {POSTS}, days AS (SELECT DISTINCT date FROM posts)
@@ -93,22 +94,22 @@ def period_index(spark, sf):
     d = F.col("date")
     q, h, y = (period(d, g) for g in ("quarter", "half", "year"))
     days = posts(spark, sf).select("date").distinct()
-    return days.select(DAY, q["key"].alias("quarter"), q["end"].cast("string").alias("quarter_end"), h["label"].alias("half"), y["key"].alias("year"), y["end"].cast("string").alias("year_end"))
+    return days.select(day(), q["key"].alias("quarter"), q["end"].cast("string").alias("quarter_end"), h["label"].alias("half"), y["key"].alias("year"), y["end"].cast("string").alias("year_end"))
 
 
 @query(f"{WITH_CUBE}, {chosen_sql('quarter', chr(39) + 'A' + chr(39) + ',' + chr(39) + 'B' + chr(39))} SELECT org, period, CAST(date AS VARCHAR) AS date, headcount FROM chosen")
 def chosen_filing(spark, sf):
-    return periods.chosen_filings(cubes.snapshots(cube_of(spark, sf)), "quarter").select("org", "period", DAY, "headcount")
+    return periods.chosen_filings(cubes.snapshots(cube_of(spark, sf)), "quarter").select("org", "period", day(), "headcount")
 
 
 @query(f"{WITH_CUBE}, {chosen_sql('quarter')} SELECT org, period, CAST(date AS VARCHAR) AS date, headcount, CAST(place AS INTEGER) AS place FROM ranked WHERE place > 1")
 def dropped_snapshots(spark, sf):
-    return periods.dropped_filings(cubes.snapshots(cube_of(spark, sf)), "quarter").select("org", "period", DAY, "headcount", "place")
+    return periods.dropped_filings(cubes.snapshots(cube_of(spark, sf)), "quarter").select("org", "period", day(), "headcount", "place")
 
 
 @query(f"{WITH_CUBE} SELECT org, CAST(date AS VARCHAR) AS date, headcount, disclosed, row_count AS rows FROM snaps")
 def snapshot_registry(spark, sf):
-    return cubes.snapshots(cube_of(spark, sf)).withColumn("date", DAY)
+    return cubes.snapshots(cube_of(spark, sf)).withColumn("date", day())
 
 
 @query(f"{WITH_CUBE} SELECT org, count(*) AS snapshots, CAST(min(date) AS VARCHAR) AS first_date, CAST(max(date) AS VARCHAR) AS last_date, CAST(sum(headcount) AS BIGINT) AS headcount, CAST(sum(disclosed) AS BIGINT) AS disclosed FROM snaps GROUP BY org")

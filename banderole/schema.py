@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import types as T
 
 BIN = 5000
 BAND_WITHHELD = -1
@@ -28,18 +27,18 @@ GRADES = (
 SCS_GRADES = GRADES[:5]
 SENIOR_GRADES = GRADES[:7]
 
-POST = T.StructType.fromDDL(
+POST = (
     "pur string, ordinal int, status string, holder string, title string, unit string, organisation string, parent_dept string,"
-    " reports_to string, cost_of_reports long, region string, grade_raw string, grade string, variant string, prof_raw string,"
+    " reports_to string, cost_of_reports bigint, region string, grade_raw string, grade string, variant string, prof_raw string,"
     " prof string, prof_source string, ddat boolean, pol boolean, fte double, floor double, ceil double, disclosed boolean,"
     " withheld_reason string, bin_low int, bin_high int"
 )
 
 
-def assert_schema(df: DataFrame, expected: T.StructType) -> DataFrame:
-    """``df`` if it has the expected columns and types, in any order; else ValueError."""
-    have = {f.name: f.dataType for f in df.schema.fields}
-    wrong = [f"{f.name} {f.dataType.simpleString()}" for f in expected.fields if have.get(f.name) != f.dataType]
+def assert_schema(df: DataFrame, expected: str) -> DataFrame:
+    """``df`` if it has the expected columns and types (DDL), in any order; else ValueError."""
+    have = dict(df.dtypes)
+    wrong = [x.strip() for x in expected.split(",") if have.get(x.split()[0]) != x.split()[1]]
     if wrong:
         raise ValueError("missing or of another type: " + ", ".join(wrong))
     return df
