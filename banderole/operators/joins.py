@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-NON_KEY = "(?i)^(|-+|xx+|n/?a|n/?d|none|tbc|vacant|unknown|not disclosed)$"
+NON_KEY = "(?i)^(|-+|xx+|n[/ ]?a|n[/ ]?d|none|tbc|vacant|unknown|not disclosed)$"
 PLACEHOLDER = "(?i)^(0+|deleted|vacant|tbc)?$"
 
 
