@@ -60,6 +60,8 @@ class Pieces:
         self.longest = max(map(len, ok))
         lengths = np.array([len(p) for p in self.pieces])
         self.lengths = lengths
+        self.ids = np.array([self.id[p] for p in self.pieces])
+        self.pair_keys, self.pair_fits = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=bool)
         self.chars = np.zeros((len(self.pieces), self.longest), dtype=np.int32)
         for k, p in enumerate(self.pieces):
             self.chars[k, : len(p)] = [ord(c) for c in p]
@@ -87,6 +89,25 @@ class Pieces:
             known = self.fits[a, b] = self._fit(a, b)
         return known
 
+    def fit_all(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """``fit`` for arrays of piece numbers; each distinct pair is worked out once per worker."""
+        keys = a.astype(np.int64) * len(self.pieces) + b
+        asked, back = np.unique(keys, return_inverse=True)
+        at = np.searchsorted(self.pair_keys, asked)
+        known = at < self.pair_keys.size
+        known[known] = self.pair_keys[at[known]] == asked[known]
+        fits = np.zeros(asked.size, dtype=bool)
+        fits[known] = self.pair_fits[at[known]]
+        new = np.flatnonzero(~known)
+        if new.size:
+            n = len(self.pieces)
+            fits[new] = [self._fit(self.pieces[k // n], self.pieces[k % n]) for k in asked[new].tolist()]
+            if self.pair_keys.size > 4_000_000:
+                self.pair_keys, self.pair_fits, at = self.pair_keys[:0], self.pair_fits[:0], at * 0
+            self.pair_keys = np.insert(self.pair_keys, at[new], asked[new])
+            self.pair_fits = np.insert(self.pair_fits, at[new], fits[new])
+        return fits[back]
+
     def _fit(self, a: str, b: str) -> bool:
         rank, parts = self.rank, self.parts
         limit, on_right = np.inf, False
@@ -146,12 +167,13 @@ def occurrences(codes: np.ndarray, order: np.ndarray, chars: np.ndarray, lengths
 class Encoder:
     """Encodes texts chunk by chunk, remembering short chunks."""
 
-    LIMIT, SHORT, BATCH = 400_000, 48, 1 << 20
+    LIMIT, SHORT, BATCH = 300_000, 48, 1 << 19
 
     def __init__(self, model_file: str):
         self.pieces = Pieces(model_file)
         self.width = 2 if self.pieces.size <= 1 << 16 else 4
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}  # the generation before, so that frequent chunks survive
 
     @staticmethod
     def chunks(text: str) -> list[str]:
@@ -163,21 +185,22 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         cut = [self.chunks(t) for t in texts]
-        new = list(set().union(*cut).difference(self.known)) if cut else []
-        if len(self.known) + len(new) > self.LIMIT:
-            self.known.clear()
-            self.pieces.fits.clear()
-            new = list(set().union(*cut))
-        fresh: dict[str, bytes] = {}
+        if len(self.known) > self.LIMIT:
+            self.known, self.older = {}, self.known
+        new = []
+        for c in set().union(*cut).difference(self.known):
+            if (raw := self.older.get(c)) is None:
+                new.append(c)
+            else:
+                self.known[c] = raw
         start, size = 0, 0
         for k, c in enumerate(new):
             size += len(c) + 1
             if size > self.BATCH or k == len(new) - 1:
-                fresh.update(self._match(new[start : k + 1]))
+                self.known.update(self._match(new[start : k + 1]))
                 start, size = k + 1, 0
-        self.known.update(fresh)
         out = [b"".join(map(self.known.__getitem__, c)) for c in cut]
-        for c in fresh:
+        for c in new:
             if len(c) > self.SHORT:
                 del self.known[c]
         return out
@@ -189,15 +212,64 @@ class Encoder:
         order = suffix_array(codes, p.longest)
         lo, hi = occurrences(codes, order, p.chars, p.lengths)
         count = hi - lo
-        piece = np.repeat(np.arange(len(lo)), count)
+        piece = np.repeat(np.arange(len(lo), dtype=np.int32), count)
         place = order[np.repeat(lo - np.cumsum(count) + count, count) + np.arange(count.sum())]
         by = np.argsort(place, kind="stable")
-        edges = np.searchsorted(place[by], np.arange(codes.size + 1)).tolist()
-        piece = piece[by].tolist()
-        at = 0
-        for c in chunks:
-            yield c, self._relax(c, at, edges, piece)
-            at += len(c) + 1
+        piece, place = piece[by], place[by]
+        lengths = np.fromiter(map(len, chunks), dtype=np.int64, count=len(chunks))
+        base = np.cumsum(lengths + 1) - lengths - 1
+        known_char = np.zeros(codes.size, dtype=bool)
+        known_char[place[p.lengths[piece] == 1]] = True
+        unknown = np.add.reduceat(~known_char, base) > 1  # each chunk's separator is one
+        plain = (lengths <= self.SHORT) & ~unknown
+        yield from self._relax_all([chunks[k] for k in np.flatnonzero(plain)], base[plain], lengths[plain], codes.size, place, piece)
+        if not plain.all():
+            edges = np.searchsorted(place, np.arange(codes.size + 1))
+            for k in np.flatnonzero(~plain).tolist():
+                a, b = base[k], base[k] + lengths[k] + 1
+                own = (edges[a:b] - edges[a]).tolist()
+                yield chunks[k], self._relax(chunks[k], 0, own, piece[edges[a] : edges[b - 1]].tolist())
+
+    def _relax_all(self, chunks: list[str], base: np.ndarray, lengths: np.ndarray, size: int, place: np.ndarray, piece: np.ndarray) -> Iterator[tuple[str, bytes]]:
+        """Relax the edges of many chunks in step: all that start at a chunk's first character, then
+        all at its second, and so on; then walk back from all ends in step."""
+        if not chunks:
+            return
+        p = self.pieces
+        start = np.full(size, -1)
+        start[np.repeat(base, lengths) + np.arange(lengths.sum()) - np.repeat(np.cumsum(lengths) - lengths, lengths)] = np.repeat(base, lengths)
+        mine = start[place] >= 0
+        place, piece = place[mine], piece[mine]
+        step = place - start[place]
+        by = np.argsort(step, kind="stable")
+        cuts = np.searchsorted(step[by], np.arange(int(lengths.max()) + 1))
+        last = np.full(size + 1, -1, dtype=np.int64)
+        for k in range(int(lengths.max())):
+            at = by[cuts[k] : cuts[k + 1]]
+            s, token = place[at], piece[at]
+            if k:
+                before = last[s]
+                live = before >= 0
+                s, token, before = s[live], token[live], before[live]
+                ok = p.fit_all(before, token)
+                s, token = s[ok], token[ok]
+            last[s + p.lengths[token]] = token
+        ends, rows, tokens = base + lengths, [], []
+        live = np.arange(len(chunks))
+        while live.size:
+            token = last[ends[live]]
+            rows.append(live)
+            tokens.append(token)
+            ends[live] -= p.lengths[token]
+            live = live[ends[live] > base[live]]
+        row, token = np.concatenate(rows[::-1]), np.concatenate(tokens[::-1])
+        by = np.argsort(row, kind="stable")
+        raw = p.ids[token[by]].astype(f"<u{self.width}").tobytes()
+        stops = (np.cumsum(np.bincount(row, minlength=len(chunks))) * self.width).tolist()
+        begin = 0
+        for c, stop in zip(chunks, stops):
+            yield c, raw[begin:stop]
+            begin = stop
 
     def _relax(self, chunk: str, base: int, edges: list[int], piece: list[int]) -> bytes:
         pieces, fit, n = self.pieces.pieces, self.pieces.fit, len(chunk)
