@@ -235,6 +235,10 @@ def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
 
 def one_of_each_group(docs: DataFrame, *, key: str = "doc_id", text: str = "text", **kw) -> DataFrame:
     """``docs`` without the near-duplicates of an earlier document (by id); null ids stay."""
-    groups = near_duplicates(docs, key=key, text=text, **kw)
+    return without_later(docs, near_duplicates(docs, key=key, text=text, **kw), key)
+
+
+def without_later(docs: DataFrame, groups: DataFrame, key: str) -> DataFrame:
+    """``docs`` without those whose group, by (key, component_id), has an earlier id."""
     gone = groups.where("key <> component_id").select(F.col("key").alias(key)).distinct()
     return docs.join(gone, key, "left_anti")
