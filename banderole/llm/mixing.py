@@ -7,6 +7,11 @@ every slot.  Weights are whole shares of a period of Q slots, so a phase's sched
 period is laid out on the driver (its size is a parameter) and blocks find their slot by arithmetic.
 When a source runs out, a new phase starts with the weights of the rest in proportion.
 
+Phases times sources would make that schedule grow with the square of the sources, so beyond
+``MOST_SOURCES`` of them the blocks themselves are scheduled, in virtual time (``plan_blocks``): it
+passes at one over the weights that still have blocks, block j of weight w is released at j / w and
+due at (j + 1) / w.  That schedule, one row a block, is a table in the shared folder and is joined.
+
 Ranks inside a source come from two levels (hash buckets, then rows of a bucket), so no task holds
 a whole source.  Nothing but one count per source reaches the driver.
 
@@ -22,12 +27,15 @@ import json
 import math
 from fractions import Fraction
 
-from pyspark.sql import DataFrame, Window
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .store import shuffle_partitions
+from .store import new_path, shuffle_partitions
 
-MOST_SOURCES = 512  # bounds the broadcast schedule, with the period
+MOST_SOURCES = 512  # bounds the broadcast schedule, with the period; more sources have a joined one
+SLICE = 1 << 17  # rows of the joined schedule that go to Spark at once
 PLAN = "array<struct<s:string,b0:long,b1:long,start:long,q:long,slots:array<int>>>"
 
 
@@ -86,6 +94,33 @@ def plan_phases(blocks: dict[str, int], weights: dict[str, float], period: int)
     return rows
 
 
+def plan_blocks(blocks: dict[str, int], weights: dict[str, float]) -> pd.DataFrame:
+    """(s, b, slot, release, deadline) of every block: first due among the released, in virtual time."""
+    names = sorted(s for s, n in blocks.items() if n)
+    w, n = [weights[s] for s in names], [blocks[s] for s in names]
+    waiting = [(0.0, i, 0) for i in range(len(names))]  # (release, source, block)
+    ready: list[tuple[float, int, int]] = []  # (deadline, source, block)
+    now, rest, clock = 0.0, math.fsum(w), np.zeros(sum(n))
+    of, at = np.zeros(clock.size, dtype=np.int64), np.zeros(clock.size, dtype=np.int64)
+    for slot in range(clock.size):
+        clock[slot] = now
+        while waiting and (waiting[0][0] <= now + 1e-12 * (1 + now) or not ready):
+            _, i, j = heapq.heappop(waiting)
+            heapq.heappush(ready, ((j + 1) / w[i], i, j))
+        _, i, j = heapq.heappop(ready)
+        of[slot], at[slot] = i, j
+        now += 1 / rest
+        if j + 1 < n[i]:
+            heapq.heappush(waiting, ((j + 1) / w[i], i, j + 1))
+        else:  # a source that leaves ahead of or behind its share settles with the rest
+            rest = rest - w[i] if slot + 1 < clock.size else 1.0
+            now += (w[i] * now - n[i]) / rest
+    weight = np.array(w)[of] if w else np.zeros(0)
+    clock = np.maximum.accumulate(clock)
+    release, deadline = (np.searchsorted(clock, x - 1e-12 * (1 + x)) for x in (at / weight, (at + 1) / weight))
+    return pd.DataFrame({"s": np.array(names, dtype=object)[of], "b": at, "slot": np.arange(clock.size), "release": release, "deadline": deadline})
+
+
 def tempered(counts: dict[str, int], power: float = 0.7) -> dict[str, float]:
     """Target weights between the natural ones (power 1) and equal ones (power 0)."""
     return {s: n**power for s, n in counts.items()}
@@ -99,13 +134,10 @@ def mix(
     Sorting by (_mix_slot, _mix_rank) gives the mixed order.  Without ``weights``, those of ``tempered``.
     """
     rows = docs.withColumns({"_mix_source": F.coalesce(F.col(source).cast("string"), F.lit("")), "_mix_hash": F.xxhash64(F.col(key), F.lit(seed))})
-    counted = rows.groupBy("_mix_source").count().limit(MOST_SOURCES + 1).collect()
-    if len(counted) > MOST_SOURCES or len(counted) > period:
-        raise ValueError(f"more than {min(MOST_SOURCES, period)} sources")
-    counts = {r["_mix_source"]: r["count"] for r in counted}
+    counts = {r["_mix_source"]: r["count"] for r in rows.groupBy("_mix_source").count().toLocalIterator()}
     given = weights or tempered(counts)
     targets = {s: given.get(s, min(given.values())) for s in counts}
-    plan = plan_phases({s: -(-n // block_rows) for s, n in counts.items()}, targets, period)
+    blocks = {s: -(-n // block_rows) for s, n in counts.items()}
 
     bits = max(0, math.ceil(math.log2(max(1, sum(counts.values()) / bucket_rows))))
     rows = rows.withColumn("_mix_bucket", F.shiftrightunsigned("_mix_hash", 64 - bits) if bits else F.lit(0).cast("long"))
@@ -116,6 +148,12 @@ def mix(
     ranked = rows.withColumn("_mix_in", inside).join(firsts, group)
     ranked = ranked.withColumn("_mix_rank", F.col("_mix_first") + F.col("_mix_in")).withColumn("_mix_block", F.floor(F.col("_mix_rank") / block_rows).cast("long"))
 
+    own = ["_mix_source", "_mix_hash", "_mix_bucket", "_mix_first", "_mix_in"]
+    if len(counts) > min(MOST_SOURCES, period):
+        schedule = _table(docs.sparkSession, plan_blocks(blocks, targets))
+        placed = ranked.join(schedule, (F.col("_mix_source") == F.col("s")) & (F.col("_mix_block") == F.col("b")))
+        return placed.withColumns({f"_mix_{x}": F.col(f"_plan_{x}") for x in ("slot", "release", "deadline")}).drop("s", "b", "_plan_slot", "_plan_release", "_plan_deadline", *own)
+    plan = plan_phases(blocks, targets, period)
     schedule = docs.sparkSession.range(1).select(F.inline(F.from_json(F.lit(json.dumps(plan)), PLAN)))
     in_phase = (F.col("_mix_source") == F.col("s")) & (F.col("_mix_block") >= F.col("b0")) & (F.col("_mix_block") < F.col("b1"))
     placed = ranked.join(F.broadcast(schedule), in_phase)  # at most MOST_SOURCES phases of that many rows
@@ -127,7 +165,15 @@ def mix(
             "_mix_release": F.col("start") + F.expr(f"((_mix_block - b0) * {period}) div q"),
             "_mix_deadline": F.col("start") + F.expr(f"((_mix_block - b0 + 1) * {period} + q - 1) div q"),
         }
-    ).drop("s", "b0", "b1", "start", "q", "slots", "_mix_source", "_mix_hash", "_mix_bucket", "_mix_first", "_mix_in")
+    ).drop("s", "b0", "b1", "start", "q", "slots", *own)
+
+
+def _table(spark: SparkSession, plan: pd.DataFrame) -> DataFrame:
+    """The schedule of ``plan_blocks``, written to the shared folder in slices."""
+    path = new_path(spark, "schedule")
+    for k in range(0, len(plan), SLICE):
+        spark.createDataFrame(plan.iloc[k : k + SLICE], "s string, b long, _plan_slot long, _plan_release long, _plan_deadline long").write.mode("append").parquet(path)
+    return spark.read.parquet(path)
 
 
 def in_mixed_order(docs: DataFrame, weights: dict[str, float] | None = None, **kw) -> DataFrame:
