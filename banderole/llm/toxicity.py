@@ -4,6 +4,7 @@ A word is the bag of its character 3- to 6-grams (with word-end marks) and itsel
 buckets; its vector is the mean of their embeddings, a text's vector the mean over its words, and a
 two-class softmax reads that.  Embeddings and softmax are trained jointly in numpy on a bounded
 sample of labelled texts.  A misspelling that was never seen shares most n-grams with the word.
+Long runs without white space count as overlapping windows, one word each, so every n-gram counts.
 
 As the classifier is linear in the mean, every bucket's embedding collapses to one number for
 scoring: workers need one float per bucket and remember words' values.
@@ -26,6 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 STRIP = ".,;:!?\"'()[]{}<>|*#$%&-_=+/\\~`"
+WINDOW = 64  # characters of a long word that count as one word
 
 
 @dataclass(frozen=True)
@@ -46,14 +48,27 @@ class Settings:
     seed: int = 7
 
 
+def bare(word: str) -> str:
+    """The characters whose n-grams count: a word with its end marks, or a window as it is."""
+    return word[1:] if word[:1] == " " else "<" + word.strip(STRIP) + ">"
+
+
+def windows(word: str) -> list[str]:
+    """A word, or a long one's overlapping windows, each after a space: together they hold all its n-grams."""
+    if len(word) <= WINDOW or len(w := bare(word)) <= WINDOW + 2:
+        return [word]
+    return [" " + w[k : k + WINDOW] for k in range(0, len(w) - 5, WINDOW - 5)]
+
+
 def subwords(word: str, buckets: int) -> list[int]:
-    w = "<" + word.strip(STRIP)[:64] + ">"
+    w = bare(word)
     grams = {w[i : i + n] for n in (3, 4, 5, 6) for i in range(len(w) - n + 1)} | {w}
     return [zlib.crc32(g.encode("utf-8", "surrogatepass")) % buckets for g in grams]
 
 
 def text_words(text: str) -> list[str]:
-    return text.lower().split()
+    words = text.lower().split()
+    return words if max(map(len, words), default=0) <= WINDOW else [x for w in words for x in windows(w)]
 
 
 @dataclass
@@ -80,9 +95,9 @@ CRC = _crc_table()
 
 def word_values(model: Model, words: list[str]) -> np.ndarray:
     """``model.word`` of every word, all at once but for words that repeat a trigram."""
-    bare = ["<" + w.strip(STRIP)[:64] + ">" for w in words]
-    size = np.fromiter(map(len, bare), dtype=np.int64, count=len(bare))
-    flat = np.frombuffer("".join(bare).encode("utf-8", "surrogatepass"), dtype=np.uint8)
+    marked = [bare(w) for w in words]
+    size = np.fromiter(map(len, marked), dtype=np.int64, count=len(marked))
+    flat = np.frombuffer("".join(marked).encode("utf-8", "surrogatepass"), dtype=np.uint8)
     first = np.flatnonzero((flat & 0xC0) != 0x80)  # of each character's bytes
     wide = np.diff(np.append(first, flat.size))
     longer = [np.flatnonzero(wide > j) for j in (1, 2, 3)]
@@ -110,7 +125,7 @@ def word_values(model: Model, words: list[str]) -> np.ndarray:
             trigrams = np.sort((owner[at] << 32) | state[at])
             again = np.unique(trigrams[1:][trigrams[1:] == trigrams[:-1]] >> 32)
     whole = np.flatnonzero((size > 6) | (size < 3))  # others are among their own n-grams
-    crcs = np.fromiter((zlib.crc32(bare[i].encode("utf-8", "surrogatepass")) for i in whole.tolist()), dtype=np.uint32, count=whole.size)
+    crcs = np.fromiter((zlib.crc32(marked[i].encode("utf-8", "surrogatepass")) for i in whole.tolist()), dtype=np.uint32, count=whole.size)
     total[whole] += model.values[crcs % buckets]
     grams = sum(np.maximum(size - n + 1, 0) for n in range(3, 7)) + ((size > 6) | (size < 3))
     out = total / grams
