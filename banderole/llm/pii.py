@@ -3,7 +3,7 @@
 Four base patterns always count.  Beside them, high-recall generators propose overlapping spans
 (national phone numbers, card-like digit runs, obfuscated addresses, credential-like tokens);
 boosted trees over format and context features score each, and those at or above a calibrated
-threshold are redacted too, unless they overlap a base span.
+threshold are redacted too, unless they lie inside a base span.
 
 The trees are trained on the driver in numpy, on generated labelled candidates (their number and
 seed are parameters; no table is read), and become one SQL expression.  The threshold is the least
@@ -43,7 +43,7 @@ GENERATORS = {
     "phone": r"(?<![0-9A-Za-z+.-])\(?[0-9]{2,4}\)?[ .-][0-9]{3,4}[ .-][0-9]{3,4}(?![0-9])",
     "card": r"(?<![0-9])(?<![0-9][ -])[0-9](?:[ -]?+[0-9]){12,18}+(?![ -]?[0-9])",
     "email": r"(?<![A-Za-z0-9._-])[A-Za-z0-9._-]{1,40} ?[\[(](?:at|AT)[\])] ?[A-Za-z0-9-]{1,40}(?: ?[\[(](?:dot|DOT)[\])] ?|\.)[A-Za-z]{2,10}",
-    "secret": r"(?<![A-Za-z0-9_/+-])(?=[A-Za-z_/+-]{0,80}[0-9])[A-Za-z0-9_/+-]{16,80}(?![A-Za-z0-9_/+-])",
+    "secret": r"(?<![A-Za-z0-9_/+-])(?=[A-Za-z_/+-]*+[0-9])[A-Za-z0-9_/+-]{16,}+",
 }
 CONTEXT = 24
 CUES = {
@@ -204,6 +204,13 @@ def generate_candidates(n: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
         else:
             if y:
                 match, left = pick((text(hexa, int(pick(18, 32, 40))), words + pick("password=", 'token = "', "secret: ", "api_key=", "auth token=")), ("AKIA" + text("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", 16), words))
+                if rng.integers(3) == 0:  # longer than most: platform tokens, keys in base 64, segments of web tokens
+                    long = lambda *ks: text(low + low.upper() + digits, int(pick(*ks)))
+                    match = pick("ghp_" + long(36), "github_pat_" + long(22) + "_" + long(59), long(64, 88, 171, 344) + "/" + long(20), "eyJ" + long(90, 160, 300))
+                match = match if any(c.isdigit() for c in match) else match[:-1] + "7"
+            elif rng.integers(3) == 0:
+                match = pick(text(hexa, int(pick(64, 96, 128))), "-".join(text(low, int(k)) for k in rng.integers(3, 10, 15)) + text(digits, 3), "/" + "/".join(text(low, int(k)) for k in rng.integers(3, 12, 12)) + text(digits, 2))
+                left = words + pick("", "commit ", "id ", "part ", "see ")
                 match = match if any(c.isdigit() for c in match) else match[:-1] + "7"
             else:
                 match = pick(text(low, 9) + "-" + text(digits, 4) + "-" + text(low, 5), text(digits, int(rng.integers(16, 20))), text(hexa, int(pick(16, 32, 40))), text(low, 14) + text(digits, 3), "/" + text(low, 7) + "/" + text(low, 6) + text(digits, 2) + "/" + text(low, 4))
@@ -328,7 +335,7 @@ def with_spans(docs: DataFrame, *, text: str = "text", model: Model | None = Non
         return score >= model.threshold
 
     df = df.withColumn("_pii_g", F.concat(*proposed))
-    free = F.filter("_pii_g", lambda x: ~F.exists("_pii_b", lambda b: (b["start"] < x["stop"]) & (x["start"] < b["stop"])))
+    free = F.filter("_pii_g", lambda x: ~F.exists("_pii_b", lambda b: (b["start"] <= x["start"]) & (x["stop"] <= b["stop"])))
     df = df.withColumn("_pii_f", free).withColumn("_pii_x", F.filter("_pii_f", chosen))
     df = df.withColumn("_pii_base", _in_order(F.col("_pii_b"))).withColumn("_pii_all", _in_order(F.concat("_pii_b", "_pii_x")))
     return df.drop("_pii_digits", "_pii_b", "_pii_g", "_pii_f", "_pii_x", *base, *proposed)
