@@ -9,7 +9,7 @@ Labelled pages are generated on the driver from many page layouts (their number
 parameters): what each part of a page is, is known as it is written.  No table is read for training.
 
 Edge cases: a null page is an empty page (no text, zero characters); markup that is never closed is
-closed as browsers do; a page without article text gives the empty text; null ids and repeated rows
+closed as browsers do, but an embedded element without an end tag (svg, select, iframe and so on) holds nothing; a page without article text gives the empty text; null ids and repeated rows
 are handled one by one; an empty table gives no rows; extra columns pass through.
 """
 
@@ -28,17 +28,21 @@ from pyspark.sql import types as T
 # Fixed values of HTML.
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var".split())
 PLAIN = frozenset("p li ul ol h1 h2 h3 h4 h5 h6 blockquote pre dl dt dd table tbody thead tr td th figure figcaption".split())  # say little about where they stand
+EMBEDDED = frozenset("noscript template select svg iframe object".split())  # stand inside a run of text without ending it
+LEAVES = frozenset("svg select".split())  # hold no blocks of text: one that opens in them ends them
+BLOCKS = PLAIN | frozenset("div section article main header footer aside nav form address center".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 CLOSES = {"li": ("li", ("ul", "ol", "menu")), "dt": ("dt dd", ("dl",)), "dd": ("dt dd", ("dl",)), "tr": ("tr td th", ("table",)), "td": ("td th", ("tr", "table")), "th": ("td th", ("tr", "table")), "option": ("option", ("select", "datalist"))}
 
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    r"|<(script|style|noscript|template|textarea|select|svg|iframe|object)\b[^>]*+>.*?(?:</\1\s*>|\Z)"
+    r"|<(script|style|textarea)(?![\w:-])[^>]*+>.*?(?:</\1\s*>|\Z)"
     r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>"
     r"|<[a-zA-Z/!?][^>]*+>?"
     r"|([^<]++|<)",
     re.DOTALL | re.IGNORECASE,
 )
+ENDS = re.compile(rf"</({'|'.join(sorted(EMBEDDED))})\s*>", re.IGNORECASE)
 NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.IGNORECASE)
 WORDS = re.compile("[a-z]+")
 
@@ -59,11 +63,13 @@ def _element(tag: str, attributes: str) -> tuple[str, ...]:
 
 
 def leaf_blocks(page: str) -> list[Block]:
-    """The page's leaf blocks in order, without scripts, styles, comments and empty runs."""
+    """The page's leaf blocks in order, without scripts, styles, text areas, comments and empty runs."""
     stack: list[tuple[str, tuple[str, ...]]] = []
     out: list[Block] = []
     held: list[str] = []
     links, linked = 0, 0
+    around: list[tuple[list[str], int]] = []  # the runs that the open embedded elements stand in
+    last = {m[1].lower(): m.start() for m in ENDS.finditer(page)}  # without one after its start tag an element holds nothing
 
     def flush() -> None:
         nonlocal links
@@ -78,10 +84,13 @@ def leaf_blocks(page: str) -> list[Block]:
         links = 0
 
     def drop(k: int) -> None:
-        nonlocal linked
-        flush()
-        linked -= sum(t == "a" for t, _ in stack[k:])
-        del stack[k:]
+        nonlocal held, links, linked
+        while len(stack) > k:
+            flush()
+            tag, _ = stack.pop()
+            linked -= tag == "a"
+            if tag in EMBEDDED:
+                held, links = around.pop()
 
     for m in TOKEN.finditer(page):
         text, tag = m[5], m[3]
@@ -110,24 +119,36 @@ def leaf_blocks(page: str) -> list[Block]:
             else:
                 drop(k)
             continue
+        inmost = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] in EMBEDDED), -1) if around else -1
+        if tag in EMBEDDED:
+            if (m[4] or "").endswith("/") or last.get(tag, -1) < m.start():
+                continue
+            stack.append((tag, _element(tag, m[4] or "")))
+            around.append((held, links))
+            held, links = [], 0
+            continue
         if tag in INLINE:
             linked += tag == "a"
         else:
+            if tag in BLOCKS and inmost >= 0 and stack[inmost][0] in LEAVES and all(t != "foreignobject" for t, _ in stack[inmost:]):
+                drop(inmost)
+                inmost = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] in EMBEDDED), -1)
             flush()
             if tag in CLOSES:
                 ends, within = CLOSES[tag]
-                for i in range(len(stack) - 1, -1, -1):
+                for i in range(len(stack) - 1, inmost, -1):
                     if stack[i][0] in within:
                         break
                     if stack[i][0] in ends.split():
                         drop(i)
-            k = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == "p"), None)
+            k = next((i for i in range(len(stack) - 1, inmost, -1) if stack[i][0] == "p"), None)
             if k is not None:
                 drop(k)
         if not (m[4] or "").endswith("/"):
             stack.append((tag, _element(tag, m[4] or "")))
         if len(stack) > 500:
             drop(250)
+    drop(0)
     flush()
     return out
 
@@ -249,6 +270,7 @@ class Writer:
 
     def __init__(self, rng: np.random.Generator):
         self.rng, self.html, self.labels = rng, [], []
+        self.beside = rng.spawn(1)[0]  # for embedded elements, so that they leave the other draws alone
 
     def pick(self, *xs):
         return xs[self.rng.integers(len(xs))]
@@ -316,6 +338,21 @@ class Writer:
                 self.block(self.pick("p", "div", "p"), text, 0, link=self.chance(0.2))
         self.html.append(end)
 
+    def embedded(self) -> None:
+        """At times an element whose text isn't part of the article, or an icon without text."""
+        self.rng, rest = self.beside, self.rng
+        if self.chance(0.03):
+            tag = self.pick("svg", "svg", "select", "noscript", "template", "iframe", "object")
+            if tag == "svg" and self.chance(0.5):
+                self.html.append(self.pick('<svg class="icon"/>', '<svg><path d="M0 0"/></svg>', '<svg-icon name="x"></svg-icon>'))
+            else:
+                n = int(self.rng.integers(1, 4)) if tag == "select" else 1
+                texts = [self.words(1, 4 if tag in ("svg", "select") else 25, stop=self.chance(0.5)) for _ in range(n)]
+                inner = {"svg": "<title>{}</title>", "select": "<option>{}</option>", "template": "<p>{}</p>"}.get(tag, "{}")
+                self.html.append(f"<{tag}>" + "".join(inner.format(t) for t in texts) + f"</{tag}>")
+                self.labels += [0] * n
+        self.rng = rest
+
     def article(self) -> None:
         form = self.pick("article", "main", "div", "section", "article", "both")
         name = f' class="{self.pick(*ARTICLE_NAMES)}"' if form in ("div", "section") or self.chance(0.3) else ""
@@ -324,6 +361,7 @@ class Writer:
         self.block(self.pick("h1", "h1", "h2"), self.words(1, 14), 1)
         inner = ("ad", "share", "sidebar", "form", "notice", "nav")
         for _ in range(self.rng.integers(0, 14)):
+            self.embedded()
             r = self.rng.random()
             if r < 0.72:
                 self.block("p", self.words(1, 90, stop=True), 1)
@@ -357,7 +395,9 @@ def labelled_page(rng: np.random.Generator) -> tuple[str, list[int]]:
             w.other(kind)
     if w.chance(0.2):
         w.other("sidebar")
+    w.embedded()
     w.article()
+    w.embedded()
     for kind in ("share", "ad", "sidebar", "comments", "form", "nav", "notice", "footer"):
         if w.chance(0.35 if kind != "footer" else 0.85):
             w.other(kind)
