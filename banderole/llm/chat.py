@@ -8,7 +8,8 @@ Formatting never goes row by row: for a batch, numpy computes segment lengths, c
 and scatter indices, and copies headers and contents into one preallocated Arrow buffer.
 
 A conversation may hold any share of all turns: rows are range-partitioned by (conversation, turn),
-so a long one is formatted by many tasks as consecutive chunks; only finished chunks meet again.
+so a long one is formatted by many tasks as consecutive chunks.  They stay rows: digests stream over
+them in order, and no cell or list ever holds a whole conversation.
 
 Edge cases: null roles and texts are empty; null turns come first, turns with equal numbers go by
 role, then text; a null conversation id is a conversation of its own; no rows give no rows; extra
@@ -129,16 +130,6 @@ def _flat(column: pa.ChunkedArray) -> pa.Array:
     return column.combine_chunks() if column.num_chunks != 1 else column.chunk(0)
 
 
-def conversations_of(chunks: DataFrame) -> DataFrame:
-    """One row per conversation: its whole formatted text (``formatted`` binary)."""
-    whole = F.array_sort(F.collect_list(F.struct("part", "chunk", "formatted")))
-    return (
-        chunks.groupBy("conv_id")
-        .agg(whole.alias("w"))
-        .select("conv_id", F.aggregate("w", F.lit(b""), lambda a, x: F.concat(a, x["formatted"])).alias("formatted"))
-    )
-
-
 def parse_turns(formatted: bytes) -> list[tuple[str, str]]:
     """(role, text) of each turn, unescaped; raises ValueError on anything else in between."""
     out, at = [], 0
@@ -153,26 +144,57 @@ def parse_turns(formatted: bytes) -> list[tuple[str, str]]:
 
 
 def format_conversations(turns: DataFrame, **kw) -> DataFrame:
-    return conversations_of(format_chunks(turns, **kw))
+    """The conversations as rows of (conv_id, part, chunk, formatted), whole turns in each."""
+    return format_chunks(turns, **kw)
 
 
 DIGESTS = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
 
 
+class Digest:
+    """A conversation's digests, fed one chunk after another."""
+
+    def __init__(self, conv: int | None):
+        self.conv, self.turns, self.loss_chars, self.chars = conv, 0, 0, 0
+        self.every, self.loss = hashlib.sha256(), hashlib.sha256()
+
+    def add(self, raw: bytes, loss_role: str) -> None:
+        for r, x in parse_turns(raw):
+            self.turns += 1
+            self.every.update(f"{r}\n{x}\n".encode())
+            if r == loss_role:
+                self.loss_chars += len(x)
+                self.loss.update(x.encode())
+        self.chars += len(raw.decode())
+
+    def row(self) -> tuple:
+        return self.conv, self.turns, self.every.hexdigest(), self.loss_chars, self.loss.hexdigest(), self.chars
+
+
 def read_back(formatted: DataFrame, *, loss_role: str = "assistant") -> DataFrame:
-    """Digest each formatted conversation's turns and the texts under its loss mask."""
+    """Digest each formatted conversation's turns and the texts under its loss mask.
+
+    ``formatted``: rows of (conv_id, part, chunk, formatted).  Chunks are read in order and none is kept.
+    """
+    names = [c.split()[0] for c in DIGESTS.split(", ")]
+
+    def frame(rows: list[tuple]) -> pd.DataFrame:
+        return pd.DataFrame(rows, columns=names).astype({"conv_id": "Int64"})
 
-    def digest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, rows = None, []
         for b in batches:
-            rows = []
-            for c, raw in zip(b["conv_id"].astype(object), b["formatted"]):
-                raw = bytes(raw)
-                turns = parse_turns(raw)
-                every = hashlib.sha256()
-                for r, x in turns:
-                    every.update(f"{r}\n{x}\n".encode())
-                loss = [x for r, x in turns if r == loss_role]
-                rows.append((c, len(turns), every.hexdigest(), sum(map(len, loss)), hashlib.sha256("".join(loss).encode()).hexdigest(), len(raw.decode())))
-            yield pd.DataFrame(rows, columns=[c.split()[0] for c in DIGESTS.split(", ")]).astype({"conv_id": "Int64"})
-
-    return formatted.mapInPandas(digest, DIGESTS)
+            for c, raw in zip(b["conv_id"].to_pylist(), b["formatted"]):
+                if now is None or c != now.conv:
+                    if now is not None:
+                        rows.append(now.row())
+                    now = Digest(c)
+                now.add(raw.as_py(), loss_role)
+            if rows:
+                yield pa.RecordBatch.from_pandas(frame(rows), preserve_index=False)
+                rows = []
+        if now is not None:
+            yield pa.RecordBatch.from_pandas(frame([now.row()]), preserve_index=False)
+
+    dealt = formatted.repartition(shuffle_partitions(formatted.sparkSession), "conv_id").sortWithinPartitions("conv_id", "part", "chunk")
+    return dealt.select("conv_id", "formatted").mapInArrow(digest, DIGESTS)
