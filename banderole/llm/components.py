@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import materialise
+from .store import discard, written
 
 
 def _state(edges: DataFrame) -> tuple[int, int]:
@@ -37,13 +37,15 @@ def connected_components(edges: DataFrame, *, rounds: int = 60) -> DataFrame:
     a null end are ignored.
     """
     oriented = edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-    now = materialise(oriented, "edges")
+    now, path = written(oriented, "edges")
     state = _state(now)
     for _ in range(rounds):
         if not state[0]:
             break
-        after = materialise(_small_star(materialise(_large_star(now), "large-star")), "edges")
-        last, state, now = state, _state(after), after
+        star, between = written(_large_star(now), "large-star")
+        after, new_path = written(_small_star(star), "edges")
+        discard(path, between)
+        last, state, now, path = state, _state(after), after, new_path
         if last == state:
             break
     else:

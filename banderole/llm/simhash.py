@@ -25,10 +25,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from .batches import with_columns
 from .components import connected_components
 from .store import materialise
 
@@ -64,13 +67,11 @@ def fingerprint(text: str | None, width: int = 3) -> int:
 def fingerprints(docs: DataFrame, *, key: str = "doc_id", text: str = "text", shingle: int = 3) -> DataFrame:
     """(key long, fp long): one row per document, the fingerprint's bits as a signed long."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            fp = np.fromiter((fingerprint(t, shingle) for t in b["t"]), dtype=np.uint64, count=len(b))
-            yield pd.DataFrame({"key": b["k"].astype("Int64"), "fp": fp.view(np.int64)})
+    def make():
+        return lambda texts: [pa.array(np.fromiter((fingerprint(t, shingle) for t in texts), dtype=np.uint64, count=len(texts)).view(np.int64))]
 
-    rows = docs.select(F.col(key).cast("long").alias("k"), F.coalesce(F.col(text), F.lit("")).alias("t"))
-    return rows.mapInPandas(run, "key long, fp long")
+    rows = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("_t"))
+    return with_columns(rows, "_t", [T.StructField("fp", T.LongType())], make, drop=("_t",))
 
 
 # --- the tree ----------------------------------------------------------------------------------
@@ -90,7 +91,11 @@ def distance(fps: np.ndarray, point) -> np.ndarray:
 
 
 def choose_split(fps: np.ndarray, rng: np.random.Generator) -> tuple[int, int] | None:
-    """(vantage point, radius) for the most even of a few tries; None if nothing parts ``fps``."""
+    """(vantage point, radius) for the most even of a few tries; None if all of ``fps`` are equal.
+
+    A second round with more points and every radius is for lots that hardly part: there a small
+    share is better than none.
+    """
     best, found = 0.15, None
     for point in rng.choice(fps, size=min(4, fps.size), replace=False):
         d = distance(fps, point)
@@ -99,6 +104,13 @@ def choose_split(fps: np.ndarray, rng: np.random.Generator) -> tuple[int, int] |
             share = float(np.mean(d <= r)) if r >= 0 else 0.0
             if min(share, 1 - share) > best:
                 best, found = min(share, 1 - share), (int(point), r)
+    if found is None:
+        best = 0.0
+        for point in rng.choice(fps, size=min(32, fps.size), replace=False):
+            below = np.cumsum(np.bincount(distance(fps, point), minlength=65))[:64] / fps.size
+            shares = np.minimum(below, 1 - below)
+            if shares.max() > best:
+                best, found = float(shares.max()), (int(point), int(shares.argmax()))
     return found
 
 
@@ -194,21 +206,24 @@ def link(fps: np.ndarray, home: np.ndarray, r: int, seed: int = 0) -> np.ndarray
 
 
 # --- the distributed join ----------------------------------------------------------------------
-def links(classes: DataFrame, *, radius: int = 2, shard_size: int = 4096, most_shards: int = 8192) -> DataFrame:
+def links(classes: DataFrame, *, radius: int = 2, shard_size: int = 4096, most_shards: int = 32_768) -> DataFrame:
     """(u, v) edges that connect exactly the classes within ``radius`` bits of each other.
 
     ``classes``: distinct (fp long, rep long).  The tree is fitted on at most 16 * ``most_shards``
-    sampled fingerprints; beyond ``shard_size * most_shards`` classes the shards grow instead.
+    sampled fingerprints (4 MB), so that its size on the driver is bounded; nothing is left out by
+    that bound: past 134 million classes a shard takes more of them (17 bytes each and visit) and
+    splits further in its task, down to the same leaves.
     """
     n = classes.count()
     shards = min(most_shards, max(1, -(-n // shard_size)))
     sampled = classes.orderBy(F.xxhash64("fp"), "fp").limit(16 * shards).select("fp").toPandas()["fp"] if shards > 1 else pd.Series([], dtype="int64")
     tree, _ = build_tree(sampled.to_numpy(dtype=np.int64).view(np.uint64), shards)
+    shared = classes.sparkSession.sparkContext.broadcast(tree)
 
     def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             fps = b["fp"].to_numpy(dtype=np.int64).view(np.uint64)
-            for shard, homes, visits in route(tree, fps, radius):
+            for shard, homes, visits in route(shared.value, fps, radius):
                 at = np.concatenate((homes, visits))
                 yield pd.DataFrame({"shard": shard, "fp": b["fp"].to_numpy()[at], "rep": b["rep"].to_numpy()[at], "home": np.arange(at.size) < homes.size})
 

@@ -12,7 +12,9 @@ their UTF-8 byte pieces.
 
 Edge cases: null and empty texts have no ids and decode to the empty text; a literal U+2581 decodes
 to a space, as the library's does; null ids and repeated rows are encoded one by one; an empty table
-gives no rows; extra columns pass through ``encode``.
+gives no rows; extra columns pass through ``encode`` and ``decode``, one with the new column's name
+is replaced.  A model that this method doesn't reproduce (unigram, a normaliser other than identity,
+pieces with a mark inside) raises ValueError.
 """
 
 from __future__ import annotations
@@ -23,11 +25,13 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .batches import kept_fields, lists, quoted, slices, with_columns
+
 MARK = "▁"
 _CHUNK = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 
@@ -35,6 +39,8 @@ _CHUNK = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 class Pieces:
     """A SentencePiece BPE vocabulary: merge ranks, how pieces come about, bytes to decode."""
 
+    MOST_FITS, MOST_PAIRS = 50_000, 1_000_000  # remembered pairs of pieces; forgotten ones are worked out anew
+
     def __init__(self, model_file: str):
         import sentencepiece
 
@@ -86,6 +92,8 @@ class Pieces:
         """
         known = self.fits.get((a, b))
         if known is None:
+            if len(self.fits) >= self.MOST_FITS:
+                self.fits.clear()
             known = self.fits[a, b] = self._fit(a, b)
         return known
 
@@ -102,7 +110,7 @@ class Pieces:
         if new.size:
             n = len(self.pieces)
             fits[new] = [self._fit(self.pieces[k // n], self.pieces[k % n]) for k in asked[new].tolist()]
-            if self.pair_keys.size > 4_000_000:
+            if self.pair_keys.size > self.MOST_PAIRS:
                 self.pair_keys, self.pair_fits, at = self.pair_keys[:0], self.pair_fits[:0], at * 0
             self.pair_keys = np.insert(self.pair_keys, at[new], asked[new])
             self.pair_fits = np.insert(self.pair_fits, at[new], fits[new])
@@ -167,13 +175,26 @@ def occurrences(codes: np.ndarray, order: np.ndarray, chars: np.ndarray, lengths
 class Encoder:
     """Encodes texts chunk by chunk, remembering short chunks."""
 
-    LIMIT, SHORT, BATCH = 300_000, 48, 1 << 19
+    LIMIT, SHORT, BATCH, HELD = 150_000, 48, 1 << 18, 1 << 20
 
     def __init__(self, model_file: str):
         self.pieces = Pieces(model_file)
         self.width = 2 if self.pieces.size <= 1 << 16 else 4
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}  # the generation before, so that frequent chunks survive
+        self._check(model_file)
+
+    def _check(self, model_file: str) -> None:
+        """Hold ids against the library's on probes that other kinds of models encode otherwise."""
+        import sentencepiece
+
+        sp = sentencepiece.SentencePieceProcessor(model_file=model_file)
+        p = self.pieces.pieces
+        probes = ["a", "ab ba", " a", "a ", "a  b", "\n\t", "\ufb01\u2460\uff21e\u0301", "\U0001f389", "x" * 99]
+        probes += ["".join(p[k::97][:60]).replace(MARK, " ") for k in range(97)]
+        if any(MARK in x.lstrip(MARK) for x in self.pieces.id) or [np.frombuffer(x, dtype=f"<u{self.width}").tolist() for x in self.encode(probes)] != [sp.encode(x) for x in probes]:
+            raise ValueError(f"{model_file}: only BPE models with an identity normaliser and no pieces across words")
+        self.known = {}
 
     @staticmethod
     def chunks(text: str) -> list[str]:
@@ -184,25 +205,45 @@ class Encoder:
         return [MARK + w for w in text.split(" ")]
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        cut = [self.chunks(t) for t in texts]
-        if len(self.known) > self.LIMIT:
-            self.known, self.older = {}, self.known
-        new = []
-        for c in set().union(*cut).difference(self.known):
-            if (raw := self.older.get(c)) is None:
-                new.append(c)
-            else:
-                self.known[c] = raw
-        start, size = 0, 0
-        for k, c in enumerate(new):
-            size += len(c) + 1
-            if size > self.BATCH or k == len(new) - 1:
-                self.known.update(self._match(new[start : k + 1]))
-                start, size = k + 1, 0
-        out = [b"".join(map(self.known.__getitem__, c)) for c in cut]
-        for c in new:
-            if len(c) > self.SHORT:
-                del self.known[c]
+        """The ids' bytes of each text.  Texts wait as rows of shared bytes until their unknown
+        chunks are enough for a match, or the rows are."""
+        out: list[bytes] = []
+        rows: list[list[bytes]] = []
+        asked: dict[str, list[tuple[list[bytes], int]]] = {}  # unknown chunks and where they stand
+        size = held = 0
+
+        def settle() -> None:
+            nonlocal size, held
+            for c, raw in self._match(list(asked)) if asked else ():
+                for row, i in asked[c]:
+                    row[i] = raw
+                if len(c) <= self.SHORT:
+                    self.known[c] = raw
+            out.extend(map(b"".join, rows))
+            rows.clear()
+            asked.clear()
+            size = held = 0
+
+        for t in texts:
+            if len(self.known) > self.LIMIT:
+                self.known, self.older = {}, self.known
+            cut = self.chunks(t)
+            row = list(map(self.known.get, cut))
+            rows.append(row)
+            if None in row:
+                for i, c in enumerate(cut):
+                    if row[i] is None:
+                        if (raw := self.older.get(c)) is not None:
+                            row[i] = self.known[c] = raw
+                        elif (places := asked.get(c)) is not None:
+                            places.append((row, i))
+                        else:
+                            asked[c] = [(row, i)]
+                            size += len(c) + 1
+            held += len(row)
+            if size > self.BATCH or held > self.HELD:
+                settle()
+        settle()
         return out
 
     def _match(self, chunks: list[str]) -> Iterator[tuple[str, bytes]]:
@@ -309,59 +350,55 @@ def encoder(model_file: str) -> Encoder:
     return _encoders[model_file]
 
 
-SLICE = 2048
+def _field(name: str, kind: T.DataType) -> T.StructField:
+    return T.StructField(name, kind)
 
 
 def encode(docs: DataFrame, model_file: str, *, text: str = "text", column: str = "ids") -> DataFrame:
     """``docs`` with the token ids of ``text`` added as an array of ints."""
-    schema = T.StructType([*docs.schema.fields, T.StructField(column, T.ArrayType(T.IntegerType()))])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def make():
         enc = encoder(model_file)
-        for b in batches:
-            for k in range(0, len(b), SLICE):
-                part = b.iloc[k : k + SLICE].copy()
-                raw = enc.encode(["" if t is None else t for t in part[text]])
-                part[column] = [np.frombuffer(x, dtype=f"<u{enc.width}").astype(np.int32) for x in raw]
-                yield part
+        return lambda texts: [lists(enc.encode(texts), enc.width)]
 
-    return docs.mapInPandas(run, schema)
+    return with_columns(docs, text, [_field(column, T.ArrayType(T.IntegerType()))], make)
 
 
 def decode(encoded: DataFrame, model_file: str, *, ids: str = "ids", column: str = "decoded") -> DataFrame:
     """``encoded`` with the text of its ids added."""
-    schema = T.StructType([*encoded.schema.fields, T.StructField(column, T.StringType())])
+    kept = kept_fields(encoded, [column])
+    at = [f.name for f in kept].index(ids)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(model_file)
         for b in batches:
-            b[column] = [enc.decode([] if x is None else np.asarray(x).tolist()) for x in b[ids]]
-            yield b
-
-    return encoded.mapInPandas(run, schema)
+            for part in slices(b):
+                made = pa.array([enc.decode(x or []) for x in part.column(at).to_pylist()], pa.string())
+                yield pa.RecordBatch.from_arrays([*part.columns, made], names=[*part.schema.names, column])
 
-
-DIGESTS = "key long, n_ids long, ids_crc32 long, decoded_sha256 string, round_trip boolean"
+    return encoded.select(*(F.col(quoted(f.name)) for f in kept)).mapInArrow(run, T.StructType([*kept, _field(column, T.StringType())]))
 
 
 def digest(docs: DataFrame, model_file: str, *, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Per document: id count, crc32 of the ids (unsigned 32-bit), the decoded text's sha256, and
-    whether decoding gives the text again (but for U+2581)."""
+    """Per document: key, id count, crc32 of the ids (unsigned 32-bit), the decoded text's sha256,
+    and whether decoding gives the text again (but for U+2581)."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def make():
         enc = encoder(model_file)
-        for b in batches:
-            for k in range(0, len(b), SLICE):
-                part = b.iloc[k : k + SLICE]
-                texts = part["t"].tolist()
-                rows = []
-                for t, raw in zip(texts, enc.encode(texts)):
-                    ids = np.frombuffer(raw, dtype=f"<u{enc.width}")
-                    back = enc.decode(ids.tolist())
-                    rows.append((ids.size, zlib.crc32(ids.astype("<u4")), hashlib.sha256(back.encode()).hexdigest(), back == t.replace(MARK, " ")))
-                out = pd.DataFrame(rows, columns=["n_ids", "ids_crc32", "decoded_sha256", "round_trip"])
-                out.insert(0, "key", part["k"].astype("Int64").to_numpy())
-                yield out.astype({"key": "Int64"})
-
-    rows = docs.select(F.col(key).cast("long").alias("k"), F.coalesce(F.col(text), F.lit("")).alias("t"))
-    return rows.mapInPandas(run, DIGESTS)
+
+        def of(texts: list[str]) -> list[pa.Array]:
+            n, crc, sha, same = [], [], [], []
+            for t, raw in zip(texts, enc.encode(texts)):
+                ids = np.frombuffer(raw, dtype=f"<u{enc.width}")
+                back = enc.decode(ids.tolist())
+                n.append(ids.size)
+                crc.append(zlib.crc32(ids.astype("<u4")))
+                sha.append(hashlib.sha256(back.encode()).hexdigest())
+                same.append(back == t.replace(MARK, " "))
+            return [pa.array(n, pa.int64()), pa.array(crc, pa.int64()), pa.array(sha, pa.string()), pa.array(same, pa.bool_())]
+
+        return of
+
+    rows = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("_t"))
+    added = [_field("n_ids", T.LongType()), _field("ids_crc32", T.LongType()), _field("decoded_sha256", T.StringType()), _field("round_trip", T.BooleanType())]
+    return with_columns(rows, "_t", added, make, drop=("_t",))

@@ -2,16 +2,21 @@
 
 A word is the bag of its character 3- to 6-grams (with word-end marks) and itself, hashed into
 buckets; its vector is the mean of their embeddings, a text's vector the mean over its words, and a
-two-class softmax reads that.  Embeddings and softmax are trained jointly in numpy on a bounded
-sample of labelled texts.  A misspelling that was never seen shares most n-grams with the word.
-Long runs without white space count as overlapping windows, one word each, so every n-gram counts.
+two-class softmax reads that.  Embeddings and softmax are trained jointly in numpy on a sample of
+labelled texts, bounded in rows; the texts are read whole.  A misspelling that was never seen shares
+most n-grams with the word.  Long runs without white space count as overlapping windows, one word
+each, so every n-gram counts.
 
-As the classifier is linear in the mean, every bucket's embedding collapses to one number for
-scoring: workers need one float per bucket and remember words' values.
+The sample's texts stay on the executors: tasks count the buckets' texts by class, the driver picks
+the buckets that tell the classes apart, and tasks return the bags of those alone.  As the
+classifier is linear in the mean, every bucket's embedding collapses to one number for scoring:
+workers need one float per bucket and remember words' values.
 
 Edge cases: null and empty texts have no words and get the bias's score; a row without a label or
 with a null id is scored all the same; if either class has no training rows, every score is the
-smoothed share of the other; repeated rows repeat; extra columns pass through ``score`` untouched.
+smoothed share of the other; repeated rows repeat, and of several texts with one labelled id the
+least is trained on; an empty table gives no rows; extra columns pass through ``score``, one with
+the score's name is replaced.
 """
 
 from __future__ import annotations
@@ -21,11 +26,14 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .batches import slices, texts_of, with_columns
+from .store import materialise, shuffle_partitions
+
 STRIP = ".,;:!?\"'()[]{}<>|*#$%&-_=+/\\~`"
 WINDOW = 64  # characters of a long word that count as one word
 
@@ -36,7 +44,6 @@ class Settings:
 
     toxic_rows: int = 1200
     clean_rows: int = 2400
-    longest: int = 12_000  # longer texts aren't drawn for training; all texts are scored whole
     buckets: int = 1 << 16
     dim: int = 8
     epochs: int = 30
@@ -137,8 +144,8 @@ def word_values(model: Model, words: list[str]) -> np.ndarray:
 class Scorer:
     """Scores texts, remembering words' values."""
 
-    LIMIT = 400_000  # remembered words
-    CHUNK = 1 << 18  # words of texts whose new words are valued together
+    LIMIT = 200_000  # remembered words
+    CHUNK = 1 << 17  # words of texts whose new words are valued together
 
     def __init__(self, model: Model):
         self.model, self.known = model, {}
@@ -165,57 +172,79 @@ class Scorer:
         return 1 / (1 + np.exp(-np.clip(np.array(means) + self.model.bias, -30, 30)))
 
 
-def _bags(texts: list[str], buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """CSR (starts, bucket, weight) of the texts' mean subword bags."""
-    known: dict[str, list[int]] = {}
-    starts, cols, weights = [0], [], []
-    for t in texts:
+class Bags:
+    """Mean subword bags of texts, with words' buckets remembered."""
+
+    LIMIT = 100_000
+
+    def __init__(self, buckets: int):
+        self.buckets, self.known = buckets, {}
+
+    def of(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        """(bucket, weight) of a text; the weights add up to one, or there are none."""
+        if len(self.known) > self.LIMIT:
+            self.known.clear()
         bag: dict[int, float] = {}
-        words = text_words(t)
+        words = text_words(text)
         for w in words:
-            ids = known.get(w)
+            ids = self.known.get(w)
             if ids is None:
-                ids = known[w] = subwords(w, buckets)
+                ids = self.known[w] = subwords(w, self.buckets)
             share = 1 / (len(ids) * len(words))
             for k in ids:
                 bag[k] = bag.get(k, 0.0) + share
-        cols.append(np.fromiter(bag.keys(), dtype=np.int64, count=len(bag)))
-        weights.append(np.fromiter(bag.values(), dtype=np.float32, count=len(bag)))
-        starts.append(starts[-1] + len(bag))
-    return np.array(starts), np.concatenate(cols), np.concatenate(weights)
+        return np.fromiter(bag.keys(), dtype=np.int64, count=len(bag)), np.fromiter(bag.values(), dtype=np.float32, count=len(bag))
+
+
+def telling(texts_with: np.ndarray, of_toxic: np.ndarray, n: int, n1: int, s: Settings) -> np.ndarray:
+    """The buckets that enough texts hold and whose shares in the two classes differ."""
+    pooled = texts_with / n
+    noise = np.sqrt(np.maximum(pooled * (1 - pooled), 1e-9) * (1 / n1 + 1 / (n - n1)))
+    z = (of_toxic / n1 - (texts_with - of_toxic) / (n - n1)) / noise
+    return np.flatnonzero((texts_with >= s.least_texts) & (np.abs(z) >= s.least_z))
+
+
+def constant(share: float, s: Settings) -> Model:
+    return Model(np.zeros(s.buckets, dtype=np.float32), float(np.log(share / (1 - share))))
 
 
 def train(texts: list[str], labels: np.ndarray, prior: float, s: Settings = Settings()) -> Model:
+    """``fit`` on texts in memory."""
+    labels = np.asarray(labels)
+    of = Bags(s.buckets)
+    bags = [of.of(t) for t in texts]
+    some = np.array([c.size > 0 for c, _ in bags], dtype=bool)
+    labels = labels[some] if labels.size else labels
+    bags = [b for b in bags if b[0].size]
+    n, n1 = labels.size, int(labels.sum())
+    if not 0 < n1 < n:
+        return constant((n1 + 0.5) / (n + 1), s)
+    rows = [np.bincount(np.concatenate([c for (c, _), y in zip(bags, labels) if y in ys]), minlength=s.buckets) for ys in ((0, 1), (1,))]
+    used = telling(*rows, n, n1, s)
+    if not used.size:
+        return constant(prior, s)
+    kept = [within(b, used) for b in bags]
+    return descend(np.cumsum([0, *(c.size for c, _ in kept)]), np.concatenate([c for c, _ in kept]), np.concatenate([w for _, w in kept]), labels, used, rows[0][used], prior, s)
+
+
+def within(bag: tuple[np.ndarray, np.ndarray], used: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The part of a bag in the sorted buckets ``used``, by its places there."""
+    cols, weights = bag
+    at = np.searchsorted(used, cols)
+    keep = used[np.minimum(at, used.size - 1)] == cols
+    return at[keep], weights[keep]
+
+
+def descend(starts: np.ndarray, cols: np.ndarray, weights: np.ndarray, labels: np.ndarray, used: np.ndarray, texts_with: np.ndarray, prior: float, s: Settings) -> Model:
     """Joint training of embeddings and softmax by plain gradient steps with momentum.
 
     Every bucket's weights are scaled to one mean square, then all share one step size: n-grams that
     many toxic texts share outgrow those that a single text could memorise.  ``prior`` is the share of label 1 that scores are calibrated to.
     """
-    labels = np.asarray(labels)
-    texts, labels = [t for t in texts if t.strip()], labels[[bool(t.strip()) for t in texts]]
-    seen = float(labels.mean()) if labels.size else 0.0
-    if not 0 < seen < 1:
-        share = (labels.sum() + 0.5) / (labels.size + 1)
-        return Model(np.zeros(s.buckets, dtype=np.float32), float(np.log(share / (1 - share))))
+    seen = float(labels.mean())
     rng = np.random.default_rng(s.seed)
-    starts, cols, weights = _bags(texts, s.buckets)
-    texts_with = np.bincount(cols, minlength=s.buckets)
-    of_toxic = np.bincount(cols[labels[np.repeat(np.arange(labels.size), np.diff(starts))] == 1], minlength=s.buckets)
-    n1 = int(labels.sum())
-    pooled = texts_with / labels.size
-    noise = np.sqrt(np.maximum(pooled * (1 - pooled), 1e-9) * (1 / n1 + 1 / (labels.size - n1)))
-    z = (of_toxic / n1 - (texts_with - of_toxic) / (labels.size - n1)) / noise
-    used = np.flatnonzero((texts_with >= s.least_texts) & (np.abs(z) >= s.least_z))
-    if not used.size:
-        return Model(np.zeros(s.buckets, dtype=np.float32), float(np.log(prior / (1 - prior))))
-    place = np.full(s.buckets, -1)
-    place[used] = np.arange(used.size)
-    keep = place[cols] >= 0
-    row = np.repeat(np.arange(labels.size), np.diff(starts))[keep]
-    cols, weights = place[cols][keep], weights[keep]
-    level = np.sqrt(np.bincount(cols, weights=weights**2, minlength=used.size) / texts_with[used])
+    level = np.sqrt(np.bincount(cols, weights=weights**2, minlength=used.size) / texts_with)
     weights = (weights / level[cols]).astype(np.float32)
-    starts = np.concatenate(([0], np.cumsum(np.bincount(row, minlength=labels.size))))
     emb = np.zeros((used.size, s.dim), dtype=np.float32)
     out = rng.standard_normal((s.dim, 2)).astype(np.float32)
     unit = s.rate * labels.size / float((weights**2).sum())  # one over the mean squared length of a text
@@ -249,37 +278,67 @@ def fit(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str =
     """Train on a sample of at most ``toxic_rows + clean_rows`` labelled texts, drawn by id hash.
 
     ``labels`` must already be free of rows that are held out.  Only ids are drawn first; the
-    texts are then found by a broadcast of that bounded list of ids.
+    texts are then found by a broadcast of that bounded list of ids and kept in the shared folder.
+    The driver gets one count per bucket, then the bags within the telling buckets.
     """
     rows = labels.select(F.col(key).cast("long").alias("k"), F.col(label).cast("int").alias("y")).where("k is not null and y in (0, 1)")
     share = rows.agg(F.sum("y").alias("n1"), F.count("*").alias("n")).first()
     draws = [rows.where(F.col("y") == y).orderBy(F.xxhash64("k"), "k").limit(n) for y, n in ((1, s.toxic_rows), (0, s.clean_rows))]
-    drawn = draws[0].unionByName(draws[1]).dropDuplicates(["k"])
-    ids = drawn.toPandas()
-    if ids.empty:
-        return train([], np.zeros(0, dtype=np.int64), 0.5, s)
-    few = docs.sparkSession.createDataFrame(ids.astype({"k": "int64", "y": "int32"}))
-    found = (
-        docs.select(F.col(key).cast("long").alias("k"), F.col(text).alias("t"))
-        .where(F.length("t") <= s.longest)
-        .join(F.broadcast(few), "k")
-        .toPandas()
-        .drop_duplicates("k")
-        .sort_values("k")
-    )
+    drawn = draws[0].unionByName(draws[1]).dropDuplicates(["k"]).toPandas()
+    if drawn.empty:
+        return constant(0.5, s)
+    few = docs.sparkSession.createDataFrame(drawn.astype({"k": "int64", "y": "int32"}))
+    found = docs.select(F.col(key).cast("long").alias("k"), F.col(text).alias("t")).join(F.broadcast(few), "k")
+    one_each = found.groupBy("k").agg(F.min("t").alias("t"), F.max("y").cast("int").alias("y")).repartition(shuffle_partitions(docs.sparkSession), "k")
+    sample = materialise(one_each, "toxic-sample")
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of, seen, texts = Bags(s.buckets), np.zeros((2, s.buckets), dtype=np.int64), np.zeros(2, dtype=np.int64)
+        for b in batches:
+            for part in slices(b):
+                for t, y in zip(texts_of(part["t"]), part["y"].to_pylist()):
+                    cols, _ = of.of(t)
+                    seen[y, cols] += 1
+                    texts[y] += cols.size > 0
+        at = np.flatnonzero(seen.sum(axis=0))
+        made = [np.append(at, s.buckets), *(np.append(seen[y, at], texts[y]) for y in (0, 1))]  # the last row counts texts
+        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in made], names=["bucket", "n0", "n1"])
+
+    tallies = sample.select("t", "y").mapInArrow(count, "bucket long, n0 long, n1 long").groupBy("bucket").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).toPandas()
+    by = np.zeros((2, s.buckets + 1), dtype=np.int64)
+    by[:, tallies["bucket"]] = tallies[["n0", "n1"]].to_numpy().T
+    n, n1 = int(by[:, -1].sum()), int(by[1, -1])
+    if not 0 < n1 < n:
+        return constant((n1 + 0.5) / (n + 1), s)
+    texts_with = by[:, :-1].sum(axis=0)
+    used = telling(texts_with, by[1, :-1], n, n1, s)
     prior = (float(share["n1"]) + 0.5) / (float(share["n"]) + 1)
-    return train(found["t"].tolist(), found["y"].to_numpy(dtype=np.int64), prior, s)
+    if not used.size:
+        return constant(prior, s)
+    wanted = docs.sparkSession.sparkContext.broadcast(used)
+
+    def bag(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of = Bags(s.buckets)
+        for b in batches:
+            for part in slices(b):
+                bags = [of.of(t) for t in texts_of(part["t"])]
+                some = pa.array([c.size > 0 for c, _ in bags], pa.bool_())
+                made = [within(x, wanted.value) for x in bags if x[0].size]
+                lists = [pa.array([x[i] for x in made], pa.list_(kind)) for i, kind in ((0, pa.int32()), (1, pa.float32()))]
+                yield pa.RecordBatch.from_arrays([part["k"].filter(some), part["y"].filter(some), *lists], names=["k", "y", "cols", "weights"])
+
+    bags = sample.select("k", "t", "y").mapInArrow(bag, "k long, y int, cols array<int>, weights array<float>").toPandas().sort_values("k")
+    wanted.unpersist()
+    starts = np.cumsum([0, *map(len, bags["cols"])])
+    return descend(starts, np.concatenate(bags["cols"].to_list()).astype(np.int64), np.concatenate(bags["weights"].to_list()), bags["y"].to_numpy(dtype=np.int64), used, texts_with[used], prior, s)
 
 
 def score(docs: DataFrame, model: Model, *, text: str = "text", column: str = "score") -> DataFrame:
     """``docs`` with a score in 0..1 added under ``column``."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    schema = T.StructType([*docs.schema.fields, T.StructField(column, T.DoubleType())])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def make():
         scorer = Scorer(shared.value)
-        for b in batches:
-            b[column] = scorer.scores(["" if t is None else t for t in b[text]])
-            yield b
+        return lambda texts: [pa.array(scorer.scores(texts), pa.float64())]
 
-    return docs.mapInPandas(run, schema)
+    return with_columns(docs, text, [T.StructField(column, T.DoubleType())], make)
