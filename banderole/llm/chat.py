@@ -9,7 +9,8 @@ and scatter indices, and copies headers and contents into one preallocated Arrow
 
 A conversation may hold any share of all turns: rows are range-partitioned by (conversation, turn),
 so a long one is formatted by many tasks as consecutive chunks.  They stay rows: digests stream over
-them in order, and no cell or list ever holds a whole conversation.
+them in order, and no cell or list ever holds a whole conversation.  A SHA-256 over a whole
+conversation is a chain, so one task passes over its chunks, one chunk in memory at a time.
 
 Edge cases: null roles and texts are empty; null turns come first, turns with equal numbers go by
 role, then text; a null conversation id is a conversation of its own; no rows give no rows; extra
@@ -23,7 +24,6 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
@@ -89,7 +89,7 @@ def assemble(roles: pa.Array, texts: pa.Array) -> tuple[np.ndarray, pa.Buffer]:
     return ends, buffer
 
 
-CHUNKS = "conv_id long, first_turn long, first_role string, chunk int, formatted binary"
+CHUNKS = "conv_id long, part int, chunk int, formatted binary"
 
 
 def format_chunks(turns: DataFrame, *, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text", batch_bytes: int = 8 << 20) -> DataFrame:
@@ -123,7 +123,7 @@ def format_chunks(turns: DataFrame, *, conv: str = "conv_id", turn: str = "turn"
                 )
                 seq += len(first)
 
-    return dealt.mapInArrow(fmt, "conv_id long, part int, chunk int, formatted binary")
+    return dealt.mapInArrow(fmt, CHUNKS)
 
 
 def _flat(column: pa.ChunkedArray) -> pa.Array:
@@ -177,9 +177,10 @@ def read_back(formatted: DataFrame, *, loss_role: str = "assistant") -> DataFram
     ``formatted``: rows of (conv_id, part, chunk, formatted).  Chunks are read in order and none is kept.
     """
     names = [c.split()[0] for c in DIGESTS.split(", ")]
+    kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
 
-    def frame(rows: list[tuple]) -> pd.DataFrame:
-        return pd.DataFrame(rows, columns=names).astype({"conv_id": "Int64"})
+    def table(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)], names=names)
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, rows = None, []
@@ -191,10 +192,10 @@ def read_back(formatted: DataFrame, *, loss_role: str = "assistant") -> DataFram
                     now = Digest(c)
                 now.add(raw.as_py(), loss_role)
             if rows:
-                yield pa.RecordBatch.from_pandas(frame(rows), preserve_index=False)
+                yield table(rows)
                 rows = []
         if now is not None:
-            yield pa.RecordBatch.from_pandas(frame([now.row()]), preserve_index=False)
+            yield table([now.row()])
 
     dealt = formatted.repartition(shuffle_partitions(formatted.sparkSession), "conv_id").sortWithinPartitions("conv_id", "part", "chunk")
     return dealt.select("conv_id", "formatted").mapInArrow(digest, DIGESTS)

@@ -9,27 +9,29 @@ probes, whatever the shard holds; a key that the shard doesn't hold fails its fi
 keys; ``read_documents`` fetches every document back by key.
 
 Edge cases: a null text is an empty text (only the end id is stored); null keys sort first;
-repeated keys get occurrence numbers 0, 1, ... in text order and are separate entries; an empty
+repeated keys get occurrence numbers 0, 1, ... in a part's files and are separate entries, ordered
+by their texts' hash, and one that many rows share is parted by that hash; an empty
 table yields no files and no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
 
-import itertools
 import json
 import os
 import re
 import struct
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .batches import slices, texts_of
 from .store import materialise, new_path, shuffle_partitions
 
 MAGIC = b"BNDTOK01"
@@ -159,11 +161,17 @@ class Shard:
 class WordEncoder:
     """Encodes texts with a byte-level BPE of the tokenizers library, remembering word encodings.
 
-    Byte-level pre-tokens never span a break between a non-space and a space, so a text cut there
-    gives the same ids piecewise.  Texts where a space follows white space take the whole-text path.
+    Its pre-tokens never span a break before white space, but for runs of three or more and runs
+    at the end of a text or before an added token, so any other text may be cut before each space
+    and line end and encoded piecewise.  New pieces without white space inside are encoded together,
+    a vertical tab between them; texts with such runs go to the library whole.  Probes hold this against the library; a
+    tokenizer that cuts otherwise gets all texts whole.
     """
 
-    LIMIT = 400_000
+    LIMIT, TOGETHER, HELD = 250_000, 4096, 1 << 19
+    SEPARATOR = "\x0b"
+    RUNS = re.compile(r"\s\s(?:\s|\Z)")
+    PROBES = ("It's a  test\nof\n\nwords, 12 x3 <|endoftext|> and\t\ttabs", " \nx", "a \nb\u00e9\u3000 c", "don't\nwe'll 100% [ok] ", "")
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -171,41 +179,101 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
-        self.known: dict[str, bytes] = {}
+        self.known: dict[str | tuple[str], bytes] = {}  # pieces by themselves, a text's first one as a tuple
+        self.older: dict[str | tuple[str], bytes] = {}
+        self.added = [x.content for x in self.tokenizer.get_added_tokens_decoder().values()]
+        (mark,) = self._ids([self.SEPARATOR])
+        self.mark = int.from_bytes(mark, "little") if len(mark) == self.width else None
+        self.cuts = self.mark is not None
+        self.cuts = self.cuts and self.encode(list(self.PROBES), None) == list(self._ids(list(self.PROBES)))
 
     def _ids(self, pieces: list[str]) -> Iterator[bytes]:
+        code = "H" if self.width == 2 else "I"
         for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False):
-            yield np.array(e.ids, dtype=f"<u{self.width}").tobytes()
+            yield array(code, e.ids).tobytes()
+
+    def _together(self, pieces: list[str]) -> Iterator[bytes]:
+        """``_ids`` of pieces without white space inside, some thousand in one call."""
+        for k in range(0, len(pieces), self.TOGETHER):
+            some = pieces[k : k + self.TOGETHER]
+            (raw,) = self._ids([self.SEPARATOR.join(some)])
+            ids = np.frombuffer(raw, dtype=f"<u{self.width}")
+            ends = np.append(np.flatnonzero(ids == self.mark), ids.size)
+            if ends.size != len(some):
+                yield from self._ids(some)
+                continue
+            begins = np.append(0, ends[:-1] + 1)
+            for a, b in zip((begins * self.width).tolist(), (ends * self.width).tolist()):
+                yield raw[a:b]
+
+    @staticmethod
+    def _clean(piece: str | tuple[str]) -> bool:
+        """Whether a piece has no white space but the one that it starts with."""
+        bare = piece[0] if isinstance(piece, tuple) else piece[1:] if piece[:1] == "\n" else piece
+        return bare.split() == [bare] or piece == ("",)
 
     def encode(self, texts: list[str], end: int | None) -> list[bytes]:
         tail = b"" if end is None else int(end).to_bytes(self.width, "little")
-        out: list[bytes] = [b""] * len(texts)
-        for at in range(0, len(texts), 256):
-            self._some(texts, range(at, min(at + 256, len(texts))), tail, out)
-        return out
-
-    def _some(self, texts: list[str], which: range, tail: bytes, out: list[bytes]) -> None:
-        cut, whole, words = {}, [], set()
-        for i in which:
-            t = texts[i]
-            if any(x in t for x in ("  ", "\n ", "\t ", "\r ", "\x0b ", "\x0c ", "\x85 ", "　 ")) or not t.isascii() and _ODD_SPACE.search(t):
-                whole.append(i)
+        if not self.cuts:
+            return [ids + tail for k in range(0, len(texts), 64) for ids in self._ids(texts[k : k + 64])]
+        out: list[bytes] = []
+        rows: list[list[bytes] | str] = []  # a text's pieces, or a text to encode whole
+        asked: dict[str | tuple[str], list[tuple[list[bytes], int]]] = {}  # unknown pieces and where they stand
+        odd: dict[str | tuple[str], list[tuple[list[bytes], int]]] = {}  # never remembered: a text with one is looked at for runs
+        held = 0
+
+        def settle() -> None:
+            nonlocal held
+            for c, raw in zip(list(asked), self._together([self._written(c) for c in asked])):
+                self.known[c] = raw
+                for row, i in asked[c]:
+                    row[i] = raw
+            for places, raw in zip(odd.values(), self._ids([self._written(c) for c in odd])):
+                for row, i in places:
+                    row[i] = raw
+            of_whole = self._ids([r for r in rows if isinstance(r, str)])
+            out.extend((next(of_whole) if isinstance(r, str) else b"".join(r)) + tail for r in rows)
+            rows.clear()
+            asked.clear()
+            odd.clear()
+            held = 0
+
+        for t in texts:
+            if len(self.known) > self.LIMIT:
+                self.known, self.older = {}, self.known
+            cut: list = t.replace("\n", " \n").split(" ")
+            cut[0] = (cut[0],)
+            row: list = list(map(self.known.get, cut))
+            doubtful = False
+            if None in row:
+                for i, raw in enumerate(row):
+                    if raw is None:
+                        c = cut[i]
+                        if (places := asked.get(c)) is not None:
+                            places.append((row, i))
+                        elif (raw := self.older.get(c)) is not None:
+                            row[i] = self.known[c] = raw
+                        elif self._clean(c):
+                            asked[c] = [(row, i)]
+                        else:
+                            doubtful = True
+                            odd.setdefault(c, []).append((row, i))
+            if doubtful and (self.RUNS.search(t) or any(x in t for x in self.added)):
+                rows.append(t)
+                held += len(t)
             else:
-                cut[i] = t.split(" ")  # all but the first follow a space
-                words.update(cut[i][1:])
-        if len(self.known) > self.LIMIT:
-            self.known.clear()
-        new = list(words.difference(self.known))
-        self.known.update(zip(new, self._ids([" " + w for w in new])))
-        first = list(cut)
-        for i, head in zip(first, self._ids([cut[i][0] for i in first])):
-            out[i] = b"".join((head, *map(self.known.__getitem__, itertools.islice(cut[i], 1, None)), tail))
-        for i, ids in zip(whole, self._ids([texts[i] for i in whole])):
-            out[i] = ids + tail
+                rows.append(row)
+                held += len(row)
+            if held > self.HELD:
+                settle()
+        settle()
+        return out
 
+    @staticmethod
+    def _written(piece: str | tuple[str]) -> str:
+        return piece[0] if isinstance(piece, tuple) else piece if piece[:1] == "\n" else " " + piece
 
 
-_ODD_SPACE = re.compile(r"\s ")
 _encoders: dict[str, WordEncoder] = {}
 
 
@@ -239,42 +307,39 @@ def write_shards(docs: DataFrame, out: str, tokenizer: str, *, key: str = "doc_i
     document makes a longer file), so a task holds one shard at most.
     """
     spark = docs.sparkSession
-    rows = (
-        docs.select(F.col(key).cast("long").alias("k"), F.coalesce(F.col(text), F.lit("")).alias("t"))
-        .repartitionByRange(shuffle_partitions(spark), "k")
-        .sortWithinPartitions("k", "t")
-    )
+    rows = docs.select(F.col(key).cast("long").alias("k"), F.xxhash64(F.col(text)).alias("h"), F.coalesce(F.col(text), F.lit("")).alias("t"))
+    rows = rows.repartitionByRange(shuffle_partitions(spark), "k", "h").sortWithinPartitions("k", "h", "t")  # the hash parts a key that many rows share
 
-    def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, part = encoder(tokenizer), TaskContext.get().partitionId()
         keys, null, occ, counts, parts, size, seq = [], [], [], [], [], 0, 0
         last, times = object(), 0
 
-        def flush() -> pd.DataFrame:
-            payload = b"".join(parts)
+        def flush() -> pa.RecordBatch:
             path = f"{out}/part-{part:06d}-{seq:05d}.tok"
             n = np.array(counts, dtype=np.int64)
-            _put(path, pack_shard(np.array(keys, dtype=np.int64), np.array(null, dtype=np.uint8), np.array(occ, dtype=np.uint32), n, payload, enc.width))
-            return pd.DataFrame({"part": [part], "seq": [seq], "path": [path], "n_docs": [n.size], "n_ids": [int(n.sum())]})
+            _put(path, pack_shard(np.array(keys, dtype=np.int64), np.array(null, dtype=np.uint8), np.array(occ, dtype=np.uint32), n, b"".join(parts), enc.width))
+            made = [pa.array([part], pa.int32()), pa.array([seq], pa.int32()), pa.array([path]), pa.array([n.size], pa.int64()), pa.array([int(n.sum())], pa.int64())]
+            return pa.RecordBatch.from_arrays(made, names=[c.split()[0] for c in MANIFEST.split(", ")])
 
         for b in batches:
-            for k, ids in zip(b["k"].astype(object), enc.encode(b["t"].tolist(), end)):
-                k = None if k is None or k != k else int(k)
-                times = times + 1 if k == last else 0
-                last = k
-                if parts and size + len(ids) > shard_bytes:
-                    yield flush()
-                    keys, null, occ, counts, parts, size, seq = [], [], [], [], [], 0, seq + 1
-                keys.append(k or 0)
-                null.append(k is None)
-                occ.append(times)
-                counts.append(len(ids) // enc.width)
-                parts.append(ids)
-                size += len(ids)
+            for some in slices(b):
+                for k, ids in zip(some["k"].to_pylist(), enc.encode(texts_of(some["t"]), end)):
+                    times = times + 1 if k == last else 0
+                    last = k
+                    if parts and size + len(ids) > shard_bytes:
+                        yield flush()
+                        keys, null, occ, counts, parts, size, seq = [], [], [], [], [], 0, seq + 1
+                    keys.append(k or 0)
+                    null.append(k is None)
+                    occ.append(times)
+                    counts.append(len(ids) // enc.width)
+                    parts.append(ids)
+                    size += len(ids)
         if parts:
             yield flush()
 
-    return materialise(rows.mapInPandas(encode, MANIFEST), "token-manifest")
+    return materialise(rows.mapInArrow(encode, MANIFEST), "token-manifest")
 
 
 def read_documents(manifest: DataFrame) -> DataFrame:
@@ -285,9 +350,9 @@ def read_documents(manifest: DataFrame) -> DataFrame:
     before = Window.orderBy("part", "seq").rowsBetween(Window.unboundedPreceding, -1)
     files = manifest.select("path", F.coalesce(F.sum("n_ids").over(before), F.lit(0)).alias("base"))
 
-    def fetch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for path, base in zip(b["path"], b["base"]):
+            for path, base in zip(b["path"].to_pylist(), b["base"].to_pylist()):
                 source, at = _open(path)
                 with source.open_input_stream(at) as f:
                     shard = Shard(f.read())
@@ -296,10 +361,11 @@ def read_documents(manifest: DataFrame) -> DataFrame:
                 if not found.all():
                     raise ValueError(f"{path}: the index misses stored keys")
                 crc = [zlib.crc32(shard.ids[o : o + n].astype("<u4")) for o, n in zip(offset, count)]
-                yield pd.DataFrame({"key": pd.array(np.where(null == 1, None, keys), dtype="Int64"), "start": base + offset, "n_tokens": count, "ids_crc32": np.array(crc, dtype=np.int64)})
+                made = [pa.array(keys, mask=null == 1), pa.array(base + offset), pa.array(count), pa.array(crc, pa.int64())]
+                yield pa.RecordBatch.from_arrays(made, names=["key", "start", "n_tokens", "ids_crc32"])
 
     n = shuffle_partitions(manifest.sparkSession)
-    return files.repartition(n).mapInPandas(fetch, "key long, start long, n_tokens long, ids_crc32 long")
+    return files.repartition(n).mapInArrow(fetch, "key long, start long, n_tokens long, ids_crc32 long")
 
 
 def tokenise_and_index(docs: DataFrame, tokenizer: str, **kw) -> DataFrame:
