@@ -6,8 +6,9 @@ and tiles, undoes horizontal predictors and gives one row per page.  ``encode_ti
 as RGB samples and reads them back.
 
 Edge cases: a null text is an empty text (its payload is one row of spaces); a null file gives no
-page rows; a damaged file gives one row with its ``error`` set instead of failing the job; equal
-payloads give equal files; extra columns are dropped from results.
+page rows; a damaged file gives the pages before the damage and a row with its ``error`` set instead
+of failing the job, whatever sides it claims; equal payloads give equal files; null ids and repeated
+rows are handled one by one; an empty table gives no rows; extra columns are dropped from results.
 """
 
 from __future__ import annotations
@@ -19,10 +20,12 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from .batches import slices, with_columns
 from .store import materialise
 
 # Fixed values of the TIFF 6.0 format.
@@ -80,42 +83,34 @@ def packbits_decode(data: bytes) -> bytes:
 
 def lzw_encode(data: bytes) -> bytes:
     """TIFF flavour: most significant bit first, codes widen one early, 256 clears, 257 ends."""
-    table = {bytes((i,)): i for i in range(256)}
-    bits, held, width, following, w = 0, 0, 9, 258, b""
-    out = bytearray()
-
-    def put(code: int) -> None:
-        nonlocal bits, held
-        bits, held = bits << width | code, held + width
-        while held >= 8:
-            held -= 8
-            out.append(bits >> held & 255)
-        bits &= (1 << held) - 1
-
-    put(256)
-    for i in range(len(data)):
-        c = data[i : i + 1]
-        if w + c in table:
-            w += c
+    codes, clears = [256], [0]
+    table, following, w = {}, 258, -1  # (code << 8 | byte) to the code of both
+    for c in data:
+        if w < 0:
+            w = c
             continue
-        put(table[w])
-        table[w + c] = following
+        pair = w << 8 | c
+        code = table.get(pair)
+        if code is not None:
+            w = code
+            continue
+        codes.append(w)
+        table[pair] = following
         following += 1
         if following == 4095:
-            put(256)
-            table, width, following = {bytes((i,)): i for i in range(256)}, 9, 258
-        elif following + 1 > 1 << width:
-            width += 1
+            clears.append(len(codes))
+            codes.append(256)
+            table, following = {}, 258
         w = c
-    if w:
-        put(table[w])
-        following += 1
-        if following + 1 > 1 << width and width < 12:
-            width += 1
-    put(257)
-    if held:
-        out.append(bits << 8 - held & 255)
-    return bytes(out)
+    if w >= 0:
+        codes.append(w)
+    codes.append(257)
+    # The k-th code after a clear code is written when the table holds 257 + k entries.
+    since = np.arange(len(codes)) - np.repeat(clears, np.diff([*clears, len(codes)]))
+    since[clears[1:]] = np.diff(clears)  # a clear code still belongs to the table that it clears
+    widths = np.where(since + 257 >= 2048, 12, np.where(since + 257 >= 1024, 11, np.where(since + 257 >= 512, 10, 9)))
+    bits = (np.array(codes)[:, None] >> np.arange(11, -1, -1)) & 1
+    return np.packbits(bits[np.arange(12) >= (12 - widths)[:, None]].astype(np.uint8)).tobytes()
 
 
 def lzw_decode(data: bytes) -> bytes:
@@ -252,11 +247,18 @@ def walk_tiff(raw: bytes) -> Iterator[Page]:
         if set(tags.get(258, [1])) != {8} or one(284, 1) != 1 or codec not in DECODERS or predictor not in (1, 2):
             raise ValueError("unsupported samples, codec or predictor")
         rows, cols = (one(323, height), one(322, width)) if tiled else (min(one(278, height), height), width)
-        across = -(-width // cols)
+        if min(width, height, channels, rows, cols) < 1:
+            raise ValueError("a side is zero")
+        across, down = -(-width // cols), -(-height // rows)
+        places, sizes = tags[324 if tiled else 273], tags[325 if tiled else 279]
+        if len(places) != across * down or len(sizes) != len(places):
+            raise ValueError("the strips or tiles don't cover the page")
+        blocks = [np.frombuffer(DECODERS[codec](raw[place : place + size]), dtype=np.uint8) for place, size in zip(places, sizes)]
+        if sum(x.size for x in blocks) < height * width * channels:  # before room for the claimed sides is taken
+            raise ValueError("fewer samples than the page claims")
         samples = np.zeros((height, width, channels), dtype=np.uint8)
-        for k, (place, size) in enumerate(zip(tags[324 if tiled else 273], tags[325 if tiled else 279], strict=True)):
+        for k, block in enumerate(blocks):
             top, left = k // across * rows, k % across * cols
-            block = np.frombuffer(DECODERS[codec](raw[place : place + size]), dtype=np.uint8)
             block = block.reshape(-1, cols, channels)
             if predictor == 2:
                 block = np.cumsum(block, axis=1, dtype=np.uint8)
@@ -267,38 +269,46 @@ def walk_tiff(raw: bytes) -> Iterator[Page]:
 
 
 PAGES = "key long, page int, width int, height int, channels int, codec int, tiled boolean, samples binary, error string"
+PAGE_KINDS = [pa.int64(), *[pa.int32()] * 5, pa.bool_(), pa.binary(), pa.string()]
+DAMAGE = (ValueError, KeyError, IndexError, struct.error, zlib.error, OverflowError, MemoryError)
 
 
 def tiff_pages(files: DataFrame, *, key: str = "doc_id", media: str = "media") -> DataFrame:
     """One row per page of each file, with decoded samples."""
 
-    def pages(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def rows_of(k: int | None, raw: bytes) -> Iterator[tuple]:
+        try:
+            for p in walk_tiff(raw):
+                yield k, p.index, p.width, p.height, p.channels, p.codec, p.tiled, p.samples.tobytes(), None
+        except DAMAGE as e:
+            yield k, None, None, None, None, None, None, None, f"{type(e).__name__}: {e}"
+
+    def pages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for k, raw in zip(b["k"].astype(object), b["m"]):
-                if raw is None:
-                    continue
-                rows = []
-                try:
-                    for p in walk_tiff(bytes(raw)):
-                        rows.append((k, p.index, p.width, p.height, p.channels, p.codec, p.tiled, p.samples.tobytes(), None))
-                except (ValueError, KeyError, IndexError, struct.error, zlib.error) as e:
-                    rows = [(k, None, None, None, None, None, None, None, f"{type(e).__name__}: {e}")]
-                yield pd.DataFrame(rows, columns=[c.split()[0] for c in PAGES.split(", ")])
+            for k, raw in zip(b["k"].to_pylist(), b["m"]):
+                for row in rows_of(k, raw.as_py()) if raw.is_valid else ():
+                    yield pa.RecordBatch.from_arrays([pa.array([x], kind) for x, kind in zip(row, PAGE_KINDS)], names=[c.split()[0] for c in PAGES.split(", ")])
 
-    return files.select(F.col(key).cast("long").alias("k"), F.col(media).alias("m")).mapInPandas(pages, PAGES)
+    return files.select(F.col(key).cast("long").alias("k"), F.col(media).alias("m")).mapInArrow(pages, PAGES)
 
 
 # --- payloads as pictures ----------------------------------------------------------------------
 PAGE_ROWS = 4096
-SMALL = 3072
+LAYOUTS = (
+    Layout(PACKBITS),
+    Layout(LZW, predictor=True),
+    Layout(DEFLATE, tile=16),
+    Layout(DEFLATE, predictor=True),
+    Layout(PACKBITS, tile=256),
+    Layout(LZW, tile=64),
+    Layout(DEFLATE),
+    Layout(DEFLATE, strip_rows=64),
+)
 
 
 def layout_for(payload: bytes) -> Layout:
-    """A layout chosen by the payload alone; the byte-at-a-time codecs only get small payloads."""
-    kind = zlib.crc32(payload) % 4
-    if len(payload) <= SMALL:
-        return (Layout(PACKBITS), Layout(LZW, predictor=True), Layout(DEFLATE, tile=16), Layout(LZW, tile=16))[kind]
-    return (Layout(), Layout(tile=256), Layout(predictor=True), Layout(strip_rows=64))[kind]
+    """A layout chosen by the payload's checksum, whatever its size."""
+    return LAYOUTS[zlib.crc32(payload) % len(LAYOUTS)]
 
 
 def payload_of(text: str | None) -> tuple[bytes, int]:
@@ -323,15 +333,15 @@ def feature_of(samples: np.ndarray, pages: int) -> str:
 def encode_payloads(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, n_bytes, media: every whole text as a TIFF."""
 
-    def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            keys, texts = b["k"].astype(object).tolist(), b["t"].tolist()
-            for at in range(0, len(keys), 256):
-                made = [payload_of(t) for t in texts[at : at + 256]]
-                yield pd.DataFrame({"key": pd.array(keys[at : at + 256], dtype="Int64"), "n_bytes": [n for _, n in made], "media": [payload_to_tiff(p) for p, _ in made]})
+    def make():
+        def of(texts: list[str]) -> list[pa.Array]:
+            made = [payload_of(t) for t in texts]
+            return [pa.array([n for _, n in made], pa.int64()), pa.array([payload_to_tiff(p) for p, _ in made], pa.binary())]
 
-    rows = docs.select(F.col(key).cast("long").alias("k"), F.coalesce(F.col(text), F.lit("")).alias("t"))
-    return rows.mapInPandas(encode, "key long, n_bytes long, media binary")
+        return of
+
+    rows = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("_t"))
+    return with_columns(rows, "_t", [T.StructField("n_bytes", T.LongType()), T.StructField("media", T.BinaryType())], make, drop=("_t",))
 
 
 DIGESTS = "key long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
@@ -340,19 +350,21 @@ DIGESTS = "key long, n_bytes long, payload_bytes long, payload_sha256 string, ta
 def payload_digests(media: DataFrame) -> DataFrame:
     """Walk each stored file's pages and digest the payload that they hold together."""
 
-    def digest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    names = [c.split()[0] for c in DIGESTS.split(", ")]
+    kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
+
+    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = []
-            for k, n, raw in zip(b["key"].astype(object), b["n_bytes"], b["media"]):
-                raw = bytes(raw)
-                pages = [p.samples for p in walk_tiff(raw)]
-                samples = np.concatenate(pages)
-                data = samples.tobytes()
-                rows.append((k, n, len(data), hashlib.sha256(data).hexdigest(), zlib.crc32(data[-16:]), len(raw), hashlib.sha256(raw).hexdigest(), feature_of(samples, len(pages))))
-            out = pd.DataFrame(rows, columns=[c.split()[0] for c in DIGESTS.split(", ")])
-            yield out.astype({"key": "Int64"})
-
-    return media.mapInPandas(digest, DIGESTS)
+            for part in slices(b):
+                rows = []
+                for raw in (x.as_py() for x in part["media"]):
+                    pages = [p.samples for p in walk_tiff(raw)]
+                    samples = np.concatenate(pages)
+                    data = samples.tobytes()
+                    rows.append((len(data), hashlib.sha256(data).hexdigest(), zlib.crc32(data[-16:]), len(raw), hashlib.sha256(raw).hexdigest(), feature_of(samples, len(pages))))
+                yield pa.RecordBatch.from_arrays([part["key"], part["n_bytes"], *(pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds))], names=names)
+
+    return media.select("key", "n_bytes", "media").mapInArrow(digest, DIGESTS)
 
 
 def store_payloads(docs: DataFrame, **kw) -> DataFrame:
