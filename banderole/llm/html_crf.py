@@ -10,21 +10,23 @@ parameters): what each part of a page is, is known as it is written.  No table i
 
 Edge cases: a null page is an empty page (no text, zero characters); markup that is never closed is
 closed as browsers do, but an embedded element without an end tag (svg, select, iframe and so on) holds nothing; a page without article text gives the empty text; null ids and repeated rows
-are handled one by one; an empty table gives no rows; extra columns pass through.
+are handled one by one; elements may be nested to any depth; an empty table gives no rows; extra
+columns pass through, those named as the results are replaced.
 """
 
 from __future__ import annotations
 
 import html as htmllib
 import re
-from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from .batches import with_columns
+
 # Fixed values of HTML.
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var".split())
 PLAIN = frozenset("p li ul ol h1 h2 h3 h4 h5 h6 blockquote pre dl dt dd table tbody thead tr td th figure figcaption".split())  # say little about where they stand
@@ -62,35 +64,74 @@ def _element(tag: str, attributes: str) -> tuple[str, ...]:
     return (f"a:{tag}", *sorted({f"c:{w}" for w in WORDS.findall(names.lower()) if len(w) > 1}))
 
 
-def leaf_blocks(page: str) -> list[Block]:
+class Open:
+    """An open element: what its blocks' features take from it and all around it.
+
+    ``path`` is the elements' features in order, without repeats, and only the ones in ``known``
+    where that is given, so that it stays short however deep a page is nested.
+    """
+
+    __slots__ = ("around", "near", "parent", "path", "tag")
+
+    def __init__(self, tag: str, features: tuple[str, ...], above: Open | None, known: frozenset[str] | None):
+        self.tag, path, self.parent, self.near = tag, (), "none", ()
+        if above:
+            path, self.parent, self.near = above.path, above.parent, above.near
+        if tag not in INLINE:
+            self.parent = tag
+            if tag not in PLAIN:
+                self.near = features if known is None else tuple(f for f in features if f"n:{f}" in known)
+        new = tuple(f for f in dict.fromkeys(features) if (known is None or f in known) and f not in path)
+        self.path = path + new if new else path
+        self.around: tuple[list[str], int] | None = None  # of an embedded element: the run that it stands in
+
+
+def leaf_blocks(page: str, known: frozenset[str] | None = None) -> list[Block]:
     """The page's leaf blocks in order, without scripts, styles, text areas, comments and empty runs."""
-    stack: list[tuple[str, tuple[str, ...]]] = []
+    stack: list[Open] = []
+    open_now: dict[str, int] = {}  # how many elements of a tag are open
+    embedded: list[int] = []  # where the open embedded elements stand in the stack
     out: list[Block] = []
     held: list[str] = []
     links, linked = 0, 0
-    around: list[tuple[list[str], int]] = []  # the runs that the open embedded elements stand in
     last = {m[1].lower(): m.start() for m in ENDS.finditer(page)}  # without one after its start tag an element holds nothing
 
+    def push(tag: str, attributes: str) -> None:
+        stack.append(Open(tag, _element(tag, attributes), stack[-1] if stack else None, known))
+        open_now[tag] = open_now.get(tag, 0) + 1
+
+    def pop() -> Open:
+        nonlocal linked
+        gone = stack.pop()
+        open_now[gone.tag] -= 1
+        linked -= gone.tag == "a"
+        return gone
+
+    def innermost(tag: str, above: int = -1) -> int:
+        """Where the innermost open element of a tag stands; ``above`` if there is none beyond it."""
+        if not open_now.get(tag):
+            return above
+        return next((i for i in range(len(stack) - 1, above, -1) if stack[i].tag == tag), above)
+
     def flush() -> None:
         nonlocal links
         if held:
             text = " ".join(htmllib.unescape("".join(held)).split())
             if text:
-                parent = next((t for t, _ in reversed(stack) if t not in INLINE), "none")
-                path = dict.fromkeys(f for _, fs in stack for f in fs)
-                near = next((fs for t, fs in reversed(stack) if t not in INLINE and t not in PLAIN), ())
+                top = stack[-1] if stack else None
+                path, parent, near = (top.path, top.parent, top.near) if top else ((), "none", ())
                 out.append(Block(text, (*path, f"p:{parent}", *(f"n:{f}" for f in near)), links))
             held.clear()
         links = 0
 
     def drop(k: int) -> None:
-        nonlocal held, links, linked
+        nonlocal held, links
         while len(stack) > k:
             flush()
-            tag, _ = stack.pop()
-            linked -= tag == "a"
-            if tag in EMBEDDED:
-                held, links = around.pop()
+            gone = pop()
+            if gone.around is not None:
+                held, links = gone.around
+                embedded.pop()
 
     for m in TOKEN.finditer(page):
         text, tag = m[5], m[3]
@@ -109,45 +150,44 @@ def leaf_blocks(page: str) -> list[Block]:
                 held.append(" ")
             continue
         if m[2]:
-            k = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), None)
-            if k is None:
+            k = innermost(tag)
+            if k < 0:
                 continue
-            if tag in INLINE:
-                if all(t in INLINE for t, _ in stack[k:]):
-                    linked -= sum(t == "a" for t, _ in stack[k:])
-                    del stack[k:]
-            else:
+            if tag not in INLINE:
                 drop(k)
+            elif all(x.tag in INLINE for x in stack[k:]):
+                while len(stack) > k:
+                    pop()
             continue
-        inmost = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] in EMBEDDED), -1) if around else -1
         if tag in EMBEDDED:
             if (m[4] or "").endswith("/") or last.get(tag, -1) < m.start():
                 continue
-            stack.append((tag, _element(tag, m[4] or "")))
-            around.append((held, links))
+            push(tag, m[4] or "")
+            stack[-1].around = (held, links)
+            embedded.append(len(stack) - 1)
             held, links = [], 0
             continue
         if tag in INLINE:
             linked += tag == "a"
         else:
-            if tag in BLOCKS and inmost >= 0 and stack[inmost][0] in LEAVES and all(t != "foreignobject" for t, _ in stack[inmost:]):
+            inmost = embedded[-1] if embedded else -1
+            if tag in BLOCKS and inmost >= 0 and stack[inmost].tag in LEAVES and innermost("foreignobject", inmost) == inmost:
                 drop(inmost)
-                inmost = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] in EMBEDDED), -1)
+                inmost = embedded[-1] if embedded else -1
             flush()
             if tag in CLOSES:
                 ends, within = CLOSES[tag]
-                for i in range(len(stack) - 1, inmost, -1):
-                    if stack[i][0] in within:
-                        break
-                    if stack[i][0] in ends.split():
-                        drop(i)
-            k = next((i for i in range(len(stack) - 1, inmost, -1) if stack[i][0] == "p"), None)
-            if k is not None:
+                floor = max(inmost, *(innermost(x, inmost) for x in within))
+                first = [i for x in ends.split() if (i := innermost(x, floor)) > floor]
+                if first:
+                    drop(min(first))
+            k = innermost("p", inmost)
+            if k > inmost:
                 drop(k)
         if not (m[4] or "").endswith("/"):
-            stack.append((tag, _element(tag, m[4] or "")))
-        if len(stack) > 500:
-            drop(250)
+            push(tag, m[4] or "")
+        elif tag == "a":
+            linked -= 1
     drop(0)
     flush()
     return out
@@ -168,6 +208,7 @@ class Field:
 
     def __init__(self, weights: dict[str, tuple[float, float]], moves: np.ndarray, starts: np.ndarray):
         self.weights, self.moves, self.starts = weights, moves.tolist(), starts.tolist()
+        self.known = frozenset(weights)
         self._paths: dict[tuple[str, ...], tuple[float, float]] = {}
 
     def _sum(self, features: tuple[str, ...]) -> tuple[float, float]:
@@ -421,21 +462,22 @@ def trained(pages: int = 400, seed: int = 3) -> Field:
 
 def main_text(page: str | None, field: Field) -> str:
     """The article's blocks, joined in page order by blank lines."""
-    blocks = leaf_blocks(page or "")
+    blocks = leaf_blocks(page or "", field.known)
     return "\n\n".join(b.text for b, y in zip(blocks, field.viterbi(blocks)) if y)
 
 
 def extract(pages: DataFrame, *, html: str = "html", column: str = "text", field: Field | None = None) -> DataFrame:
     """``pages`` with ``html`` replaced by its main text and ``n_chars`` (its code points) added."""
     field = field or trained()
-    kept = [f for f in pages.schema.fields if f.name != html]
-    schema = T.StructType([*kept, T.StructField(column, T.StringType()), T.StructField("n_chars", T.LongType())])
     shared = pages.sparkSession.sparkContext.broadcast((field.weights, np.array(field.moves), np.array(field.starts)))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def make():
         f = Field(*shared.value)
-        for b in batches:
-            texts = [main_text(x, f) for x in b[html]]
-            yield b.drop(columns=[html]).assign(**{column: texts, "n_chars": [len(t) for t in texts]})
 
-    return pages.mapInPandas(run, schema)
+        def of(texts: list[str]) -> list[pa.Array]:
+            made = [main_text(x, f) for x in texts]
+            return [pa.array(made, pa.string()), pa.array(map(len, made), pa.int64())]
+
+        return of
+
+    return with_columns(pages, html, [T.StructField(column, T.StringType()), T.StructField("n_chars", T.LongType())], make, drop=(html,))

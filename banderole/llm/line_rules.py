@@ -2,8 +2,7 @@
 
 Base rules look at one text.  The cross-document rule hashes normalised lines, counts for every
 (host, line) the distinct documents that hold it, removes lines above the limits, and rejects
-documents of which too little is left.  Under one host, identical texts count as one document:
-exact copies are for deduplication to judge.
+documents of which too little is left.  A document is an id; rows without one count by their text.
 
 Scale: counts are combined map-side at both levels of the distinct count; only lines above the
 limits are written and joined back, by broadcast if their table is small enough for the session's
@@ -96,17 +95,18 @@ def normalised(line: Column) -> Column:
 
 
 def _line_rows(docs: DataFrame) -> DataFrame:
-    """(id, host, text_hash, at, h, n): one row per line with words."""
+    """(id, host, text_hash, doc, at, h, n): one row per line with words."""
     lines = F.transform(
         lines_with_words(F.col("t")), lambda x: F.struct(F.xxhash64(normalised(x)).alias("h"), F.size(words(x)).alias("n"))
     )
-    rows = docs.select("id", "host", F.xxhash64("t").alias("text_hash"), F.posexplode(lines).alias("at", "line"))
-    return rows.select("id", "host", "text_hash", "at", "line.h", "line.n")
+    doc = F.when(F.col("id").isNull(), F.xxhash64("t")).otherwise(F.xxhash64("id")).alias("doc")
+    rows = docs.select("id", "host", F.xxhash64("t").alias("text_hash"), doc, F.posexplode(lines).alias("at", "line"))
+    return rows.select("id", "host", "text_hash", "doc", "at", "line.h", "line.n")
 
 
 def frequent_lines(docs: DataFrame, limits: Limits = Limits()) -> DataFrame:
     """(host, h, n_docs) of lines above the limits; ``docs`` has id, host, t."""
-    counted = _line_rows(docs).groupBy("host", "h").agg(F.countDistinct("text_hash").alias("n_docs"), F.max("n").alias("n"))
+    counted = _line_rows(docs).groupBy("host", "h").agg(F.countDistinct("doc").alias("n_docs"), F.max("n").alias("n"))
     limit = F.when(F.col("n") <= limits.short_words, limits.short_docs).otherwise(limits.long_docs)
     return counted.where(F.col("n_docs") > limit).select("host", "h", "n_docs")
 

@@ -15,9 +15,11 @@ due at (j + 1) / w.  That schedule, one row a block, is a table in the shared fo
 Ranks inside a source come from two levels (hash buckets, then rows of a bucket), so no task holds
 a whole source.  Nothing but one count per source reaches the driver.
 
-Edge cases: a null source is the source with the empty name; null ids and repeated rows are placed
-like any other; a source without a weight gets the least one given; an empty table gives no rows;
-all columns pass through (``_mix_*`` names are reserved).
+Edge cases: a null source is the source with the empty name; rows without an id or with a repeated
+one are placed by all their columns, so no id fills a bucket (only rows that are equal in all columns
+meet in one; the window over a bucket streams); a source without a weight gets the least one given;
+an empty table gives no rows; all columns pass through, but for names that start with ``_mix_``,
+which are reserved and replaced.
 """
 
 from __future__ import annotations
@@ -36,7 +38,7 @@ from .store import new_path, shuffle_partitions
 
 MOST_SOURCES = 512  # bounds the broadcast schedule, with the period; more sources have a joined one
 SLICE = 1 << 17  # rows of the joined schedule that go to Spark at once
-PLAN = "array<struct<s:string,b0:long,b1:long,start:long,q:long,slots:array<int>>>"
+PLAN = "array<struct<{}:string,{}:long,{}:long,{}:long,{}:long,{}:array<int>>>".format(*(f"_mix_p_{x}" for x in ("s", "b0", "b1", "start", "q", "slots")))
 
 
 def shares(weights: dict[str, float], period: int) -> dict[str, int]:
@@ -87,7 +89,7 @@ def plan_phases(blocks: dict[str, int], weights: dict[str, float], period: int)
             whole, rest = divmod(last + 1, period)
             took = whole * q[s] + sum(x < rest for x in slots[s])
             if took:
-                rows.append({"s": s, "b0": done[s], "b1": done[s] + took, "start": start, "q": q[s], "slots": slots[s]})
+                rows.append({"_mix_p_s": s, "_mix_p_b0": done[s], "_mix_p_b1": done[s] + took, "_mix_p_start": start, "_mix_p_q": q[s], "_mix_p_slots": slots[s]})
             done[s] += took
             left[s] = n - took
         start += last + 1
@@ -133,7 +135,9 @@ def mix(
 
     Sorting by (_mix_slot, _mix_rank) gives the mixed order.  Without ``weights``, those of ``tempered``.
     """
-    rows = docs.withColumns({"_mix_source": F.coalesce(F.col(source).cast("string"), F.lit("")), "_mix_hash": F.xxhash64(F.col(key), F.lit(seed))})
+    docs = docs.drop(*(c for c in docs.columns if c.lower().startswith("_mix_")))
+    hashed = [F.col(f"`{f.name}`") for f in docs.schema.fields if "map<" not in f.dataType.simpleString()]
+    rows = docs.withColumns({"_mix_source": F.coalesce(F.col(source).cast("string"), F.lit("")), "_mix_hash": F.xxhash64(F.col(key), F.lit(seed), *hashed)})
     counts = {r["_mix_source"]: r["count"] for r in rows.groupBy("_mix_source").count().toLocalIterator()}
     given = weights or tempered(counts)
     targets = {s: given.get(s, min(given.values())) for s in counts}
@@ -151,28 +155,27 @@ def mix(
     own = ["_mix_source", "_mix_hash", "_mix_bucket", "_mix_first", "_mix_in"]
     if len(counts) > min(MOST_SOURCES, period):
         schedule = _table(docs.sparkSession, plan_blocks(blocks, targets))
-        placed = ranked.join(schedule, (F.col("_mix_source") == F.col("s")) & (F.col("_mix_block") == F.col("b")))
-        return placed.withColumns({f"_mix_{x}": F.col(f"_plan_{x}") for x in ("slot", "release", "deadline")}).drop("s", "b", "_plan_slot", "_plan_release", "_plan_deadline", *own)
+        placed = ranked.join(schedule, (F.col("_mix_source") == F.col("_mix_p_s")) & (F.col("_mix_block") == F.col("_mix_p_b")))
+        return placed.withColumns({f"_mix_{x}": F.col(f"_mix_p_{x}") for x in ("slot", "release", "deadline")}).drop(*schedule.columns, *own)
     plan = plan_phases(blocks, targets, period)
     schedule = docs.sparkSession.range(1).select(F.inline(F.from_json(F.lit(json.dumps(plan)), PLAN)))
-    in_phase = (F.col("_mix_source") == F.col("s")) & (F.col("_mix_block") >= F.col("b0")) & (F.col("_mix_block") < F.col("b1"))
+    in_phase = (F.col("_mix_source") == F.col("_mix_p_s")) & (F.col("_mix_block") >= F.col("_mix_p_b0")) & (F.col("_mix_block") < F.col("_mix_p_b1"))
     placed = ranked.join(F.broadcast(schedule), in_phase)  # at most MOST_SOURCES phases of that many rows
-    j = F.col("_mix_block") - F.col("b0")
-    q = F.col("q")
+    j, q, start = "(_mix_block - _mix_p_b0)", "_mix_p_q", F.col("_mix_p_start")
     return placed.withColumns(
         {
-            "_mix_slot": F.col("start") + F.expr("(_mix_block - b0) div q") * period + F.get("slots", ((j % q)).cast("int")),
-            "_mix_release": F.col("start") + F.expr(f"((_mix_block - b0) * {period}) div q"),
-            "_mix_deadline": F.col("start") + F.expr(f"((_mix_block - b0 + 1) * {period} + q - 1) div q"),
+            "_mix_slot": start + F.expr(f"{j} div {q}") * period + F.get("_mix_p_slots", F.expr(f"cast({j} % {q} as int)")),
+            "_mix_release": start + F.expr(f"({j} * {period}) div {q}"),
+            "_mix_deadline": start + F.expr(f"(({j} + 1) * {period} + {q} - 1) div {q}"),
         }
-    ).drop("s", "b0", "b1", "start", "q", "slots", *own)
+    ).drop(*schedule.columns, *own)
 
 
 def _table(spark: SparkSession, plan: pd.DataFrame) -> DataFrame:
     """The schedule of ``plan_blocks``, written to the shared folder in slices."""
     path = new_path(spark, "schedule")
     for k in range(0, len(plan), SLICE):
-        spark.createDataFrame(plan.iloc[k : k + SLICE], "s string, b long, _plan_slot long, _plan_release long, _plan_deadline long").write.mode("append").parquet(path)
+        spark.createDataFrame(plan.iloc[k : k + SLICE], "_mix_p_s string, _mix_p_b long, _mix_p_slot long, _mix_p_release long, _mix_p_deadline long").write.mode("append").parquet(path)
     return spark.read.parquet(path)
 
 

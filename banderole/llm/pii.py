@@ -2,20 +2,21 @@
 
 Four base patterns always count.  Beside them, high-recall generators propose overlapping spans
 (national phone numbers, card-like digit runs, obfuscated addresses, credential-like tokens);
-boosted trees over format and context features score each, and those at or above a calibrated
-threshold are redacted too, unless they lie inside a base span.
+boosted trees over format and context features score each, and those at or above their kind's
+calibrated threshold are redacted too, unless they lie inside a base span.
 
 The trees are trained on the driver in numpy, on generated labelled candidates (their number and
-seed are parameters; no table is read), and become one SQL expression.  The threshold is the least
-one whose precision on held-out candidates reaches ``PRECISION``.
+seed are parameters; no table is read), and become one SQL expression.  A kind's threshold is the
+least one whose precision on held-out candidates of that kind reaches ``PRECISION``.
 
 Spans are 0-based code points, end exclusive.  Patterns are written with look-behind and
 possessive repeats so that each finds exactly the leftmost non-overlapping matches of the plain
-pattern in linear time, and only those long enough to matter.
+pattern in linear time, and only those long enough to matter.  Repeats of groups are possessive,
+or Java would recurse once a repeat and overflow its stack on long texts.
 
 Edge cases: null and empty texts have no spans; null ids and repeated rows are handled one by one;
 an empty table gives no rows; spans that start together are ordered by kind; extra columns pass
-through ``redact``.
+through ``redact`` (names that start with ``_pii_`` are reserved).
 """
 
 from __future__ import annotations
@@ -31,7 +32,7 @@ from pyspark.sql import functions as F
 KINDS = ("email", "ip", "card", "phone", "secret")
 LOCAL = "A-Za-z0-9._%+-"
 BASE = {
-    "email": rf"(?:\G|(?<![{LOCAL}]))[{LOCAL}]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+",
+    "email": rf"(?:\G|(?<![{LOCAL}]))[{LOCAL}]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
     "ip": r"(?:\G|(?<![0-9]))[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
     "card": r"(?<![0-9])(?<![0-9][ -])[0-9](?:[ -]?+[0-9]){13,}+",
     "phone": r"\+[0-9][ ().0-9-]+[0-9]",
@@ -42,9 +43,10 @@ PART = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 GENERATORS = {
     "phone": r"(?<![0-9A-Za-z+.-])\(?[0-9]{2,4}\)?[ .-][0-9]{3,4}[ .-][0-9]{3,4}(?![0-9])",
     "card": r"(?<![0-9])(?<![0-9][ -])[0-9](?:[ -]?+[0-9]){12,18}+(?![ -]?[0-9])",
-    "email": r"(?<![A-Za-z0-9._-])[A-Za-z0-9._-]{1,40} ?[\[(](?:at|AT)[\])] ?[A-Za-z0-9-]{1,40}(?: ?[\[(](?:dot|DOT)[\])] ?|\.)[A-Za-z]{2,10}",
+    "email": r"(?<![A-Za-z0-9._-])[A-Za-z0-9._-]++ ?[\[(](?:at|AT)[\])] ?[A-Za-z0-9-]++(?:(?: ?[\[(](?:dot|DOT)[\])] ?|\.)[A-Za-z0-9-]++)++",
     "secret": r"(?<![A-Za-z0-9_/+-])(?=[A-Za-z_/+-]*+[0-9])[A-Za-z0-9_/+-]{16,}+",
 }
+LONGEST = 19  # digits of a card number; longer runs have no check digit
 CONTEXT = 24
 CUES = {
     "cue_phone": "(?i)tel|phone|call|mobile|fax",
@@ -76,7 +78,7 @@ def features_of(kind: str, match: str, left: str) -> list[float]:
         len(letters),
         len(re.sub("[^A-Z]", "", match)),
         len(match) - len(digits) - len(letters),
-        float(luhn_ok(digits)),
+        float(len(digits) <= LONGEST and luhn_ok(digits)),
         float(bool(re.search("[=:]\\s*[\"']?$", left))),
         *(float(bool(re.search(p, left))) for p in CUES.values()),
     ]
@@ -98,13 +100,14 @@ def luhn(digits: Column) -> Column:
 
 def feature_columns(kind: Column, match: Column, left: Column) -> dict[str, Column]:
     digits = F.regexp_replace(match, "[^0-9]", "")
+    short = F.length(digits) <= LONGEST
     out = {
         "kind": F.array_position(F.array(*map(F.lit, KINDS)), kind) - 1,
         "length": F.length(match),
         "digits": F.length(digits),
         "letters": _count(match, "[^A-Za-z]"),
         "uppers": _count(match, "[^A-Z]"),
-        "luhn": luhn(digits).cast("int"),
+        "luhn": (short & luhn(F.when(short, digits).otherwise("0"))).cast("int"),
         "assigned": left.rlike("[=:]\\s*[\"']?$").cast("int"),
         **{name: left.rlike(p).cast("int") for name, p in CUES.items()},
     }
@@ -225,7 +228,7 @@ def generate_candidates(n: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
 class Model:
     start: float
     trees: tuple
-    threshold: float  # on the margin
+    thresholds: tuple  # on the margin, one per kind
 
     def margin(self, x: np.ndarray) -> np.ndarray:
         return self.start + sum(t.predict(x) for t in self.trees)
@@ -233,17 +236,20 @@ class Model:
 
 @lru_cache
 def trained(n: int = 4000, seed: int = 11) -> Model:
-    """The model from ``n`` generated candidates; the threshold from as many held-out ones."""
+    """The model from ``n`` generated candidates; each kind's threshold from its own among as many
+    held-out ones.  A kind whose candidates never reach the precision proposes nothing."""
     x, y = generate_candidates(n, seed)
     start, trees = boost(x, y)
-    model = Model(start, tuple(trees), np.inf)
+    model = Model(start, tuple(trees), ())
     hx, hy = generate_candidates(n, seed + 1)
     m = model.margin(hx)
-    for cut in np.unique(np.round(m, 3)):
-        chosen = m >= cut
-        if hy[chosen].mean() >= PRECISION:
-            return Model(start, tuple(trees), float(cut))
-    return model
+
+    def threshold(kind: int) -> float:
+        own = hx[:, 0] == kind
+        cuts = np.unique(np.floor(m[own] * 1000) / 1000)
+        return next((float(c) for c in cuts if hy[own & (m >= c)].mean() >= PRECISION), float("inf"))
+
+    return Model(start, tuple(trees), tuple(map(threshold, range(len(KINDS)))))
 
 
 # --- spans ------------------------------------------------------------------------------------
@@ -285,7 +291,7 @@ def _passes(kind: str, m: Column) -> Column:
     if kind == "ip":
         return m.rlike(rf"^{PART}(?:\.{PART}){{3}}$")
     if kind == "card":
-        return F.length(digits).between(14, 19) & luhn(F.when(F.length(digits) <= 19, digits).otherwise("0"))
+        return F.length(digits).between(14, LONGEST) & luhn(F.when(F.length(digits) <= LONGEST, digits).otherwise("0"))
     if kind == "phone":
         return F.length(digits).between(10, 15)
     return F.lit(True)
@@ -332,7 +338,10 @@ def with_spans(docs: DataFrame, *, text: str = "text", model: Model | None = Non
         score = F.lit(model.start)
         for tree in model.trees:
             score = score + tree.column(features)
-        return score >= model.threshold
+        least = F.lit(float("inf"))
+        for kind, threshold in zip(KINDS, model.thresholds):
+            least = F.when(x["kind"] == kind, F.lit(threshold)).otherwise(least)
+        return score >= least
 
     df = df.withColumn("_pii_g", F.concat(*proposed))
     free = F.filter("_pii_g", lambda x: ~F.exists("_pii_b", lambda b: (b["start"] <= x["start"]) & (x["stop"] <= b["stop"])))
@@ -346,10 +355,10 @@ def _joined(spans: Column) -> Column:
 
 
 def report(docs: DataFrame, *, key: str = "doc_id", text: str = "text", model: Model | None = None) -> DataFrame:
-    """key, base counts, base_sha256 and spans of each document."""
+    """key, base counts, base_sha256, spans, and how many spans and credentials there are in all."""
     df = with_spans(docs.select(F.col(key), F.col(text)), text=text, model=model)
     counts = [F.size(F.filter("_pii_base", _of_kind(k))).cast("long").alias(f"n_{k}") for k in BASE]
-    return df.select(key, *counts, F.sha2(_joined(F.col("_pii_base")), 256).alias("base_sha256"), _joined(F.col("_pii_all")).alias("spans"))
+    return df.select(key, *counts, F.sha2(_joined(F.col("_pii_base")), 256).alias("base_sha256"), _joined(F.col("_pii_all")).alias("spans"), F.size("_pii_all").cast("long").alias("n_spans"), F.size(F.filter("_pii_all", _of_kind("secret"))).cast("long").alias("n_secret"))
 
 
 def redact(docs: DataFrame, *, text: str = "text", model: Model | None = None) -> DataFrame:

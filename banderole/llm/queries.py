@@ -101,10 +101,10 @@ w AS (SELECT doc_id, host, t, list_filter(regexp_split_to_array(t, '[\x20\x09-\x
 grams AS (SELECT doc_id, i, list_slice(w, i, i + 4) AS g FROM w, LATERAL (SELECT unnest(range(1, len(w) - 3)) AS i)),
 twice AS (SELECT doc_id, unnest(list(i)) AS i FROM grams GROUP BY doc_id, g HAVING count(*) > 1),
 covered AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(i, i + 5)) AS p FROM twice) GROUP BY doc_id),
-lines AS (SELECT doc_id, host, t, unnest(l) AS line FROM w),
-norm AS (SELECT doc_id, host, t, trim(regexp_replace(regexp_replace(lower(line), '[0-9]+', '0', 'g'), '[\x20\x09-\x0D]+', ' ', 'g')) AS h,
+lines AS (SELECT doc_id, host, unnest(l) AS line FROM w),
+norm AS (SELECT doc_id, host, trim(regexp_replace(regexp_replace(lower(line), '[0-9]+', '0', 'g'), '[\x20\x09-\x0D]+', ' ', 'g')) AS h,
   len(list_filter(regexp_split_to_array(line, '[\x20\x09-\x0D]+'), lambda x: x <> '')) AS n FROM lines),
-frequent AS (SELECT host, h FROM norm GROUP BY host, h HAVING count(DISTINCT t) > CASE WHEN max(n) <= 3 THEN 100 ELSE 10 END),
+frequent AS (SELECT host, h FROM norm GROUP BY host, h HAVING count(DISTINCT doc_id) > CASE WHEN max(n) <= 3 THEN 100 ELSE 10 END),
 removed AS (SELECT doc_id, sum(n) AS n FROM norm JOIN frequent USING (host, h) GROUP BY doc_id),
 base AS (SELECT w.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g')) AS BIGINT) AS word_chars,
   CAST(length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines,
