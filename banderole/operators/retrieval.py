@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..store import once
+
 K1, B = 1.5, 0.75
-# Words that never count.
-STOP = "the of and to in a is for that on as by with are be at or this from an".split()
+# Words that never count, and the characters of a token.
+STOP = "the a an and or of to in for on is are was were be been by with as at from that this it its".split()
+KEPT = "a-z0-9£%.\\-"
 
 
-def tokens(text: Column, keep: str = "a-z0-9") -> Column:
+def tokens(text: Column, keep: str = KEPT) -> Column:
     """Lower-case runs of the kept characters, longer than one, without stop words."""
     words = F.split(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), f"[^{keep}]+", " "), " ")
     return F.filter(words, lambda w: (F.length(w) > 1) & ~w.isin(*STOP))
@@ -19,25 +24,30 @@ def tokens(text: Column, keep: str = "a-z0-9") -> Column:
 def bm25(docs: DataFrame, query: str, *, key: str = "doc_id", text: str = "text", k: int | None = 8) -> DataFrame:
     """(key, score) of documents that score above zero, best first, ties by key; all without ``k``.
 
-    A term's count in a document is computed in the row, so only matching (document, term) pairs
-    and document lengths are aggregated; nothing but two corpus statistics and one count per query
-    term is broadcast.  A query word that is given twice counts twice.
+    Every text is split once; of its tokens only the asked ones are kept, beside its length, in a small
+    table that serves the statistics and the scores.  What is broadcast is one count per query term
+    and two corpus statistics.  A query word that is given twice counts twice.
     """
-    asked = [w for w in "".join(c if c.isalnum() else " " for c in query.lower()).split() if len(w) > 1 and w not in STOP]
+    words = re.sub(f"[^{KEPT}]+", " ", query.lower()).split()
+    asked = [w for w in words if len(w) > 1 and w not in STOP]
     times = {w: asked.count(w) for w in dict.fromkeys(asked)}
-    t = docs.select(key, tokens(F.col(text)).alias("t")).withColumn("len", F.size("t"))
     if not times:
-        return t.select(key, F.lit(0.0).alias("score")).limit(0)
-    of = lambda w: F.size(F.filter("t", lambda x: x == w))
-    counted = t.select(key, "len", *(of(w).alias(f"tf{i}") for i, w in enumerate(times)))
-    stats = counted.agg(F.count("*").alias("n"), F.avg("len").alias("avg"), *(F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(times))))
-    score = F.lit(0.0)
-    for i, times_asked in enumerate(times.values()):
-        tf, df = F.col(f"tf{i}"), F.col(f"df{i}")
+        return docs.select(key, F.lit(0.0).alias("score")).limit(0)
+    wanted = F.array(*map(F.lit, times))
+    t = docs.select(key, tokens(F.col(text)).alias("t"))
+    hits = once(t.select(key, F.size("t").alias("len"), F.filter("t", lambda w: F.array_contains(wanted, w)).alias("hit")))
+    corpus = hits.agg(F.count("*").alias("n"), F.avg("len").alias("avg"))
+    each = hits.select(F.explode(F.array_distinct("hit")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+    found = each.agg(F.map_from_entries(F.collect_list(F.struct("term", "df"))).alias("dfs"))  # one entry a query term
+    asked_times = F.create_map(*(F.lit(x) for pair in times.items() for x in pair))
+
+    def part(w: Column) -> Column:
+        tf, df = F.size(F.filter("hit", lambda x: x == w)), F.col("dfs")[w]
         idf = F.log(1 + (F.col("n") - df + 0.5) / (df + 0.5))
-        score = score + times_asked * idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("len") / F.col("avg")))
-    any_hit = F.greatest(*(F.col(f"tf{i}") for i in range(len(times)))) if len(times) > 1 else F.col("tf0")
-    out = counted.where(any_hit > 0).join(F.broadcast(stats)).select(key, score.alias("score")).where("score > 0")
+        return asked_times[w] * idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("len") / F.col("avg")))
+
+    score = F.aggregate(F.array_distinct("hit"), F.lit(0.0), lambda a, w: a + part(w))
+    out = hits.where(F.size("hit") > 0).join(F.broadcast(found)).join(F.broadcast(corpus)).select(key, score.alias("score")).where("score > 0")
     return out if k is None else out.orderBy(F.desc("score"), key).limit(k)
 
 

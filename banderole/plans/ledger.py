@@ -434,8 +434,9 @@ def restatements(spark, sf):
 
 # --- text -----------------------------------------------------------------------------------------
 QUESTION = "license version token would than the thing"
-_ASKED = [w for w in QUESTION.split() if w not in retrieval.STOP]
-_TOKENS = f"""tok AS (SELECT doc_id, list_filter(string_split(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g'), ' '), lambda w: length(w) > 1 AND NOT list_contains([{', '.join(f"'{w}'" for w in retrieval.STOP)}], w)) AS t FROM documents)"""
+_ASKED = ["license", "version", "token", "would", "than", "thing"]
+_TOKENS = """tok AS (SELECT doc_id, list_filter(string_split(regexp_replace(lower(coalesce(text, '')), '[^a-z0-9£%.\\-]+', ' ', 'g'), ' '), lambda w: length(w) > 1 AND NOT list_contains(
+  ['the', 'a', 'an', 'and', 'or', 'of', 'to', 'in', 'for', 'on', 'is', 'are', 'was', 'were', 'be', 'been', 'by', 'with', 'as', 'at', 'from', 'that', 'this', 'it', 'its'], w)) AS t FROM documents)"""
 
 
 @query(

@@ -11,14 +11,16 @@ from ..operators import cube as cubes
 from ..operators import lineage, periods
 from ..operators import series as s
 from ..schema import BIN
+from ..store import once
 from .stand_in import CUBE, MEASURES, POSTS, WITH_CUBE, chosen_sql, cut, posts, query, rounded, series_sql, table
 
 def day():
     return F.col("date").cast("string").alias("date")
 
 
-def cube_of(spark: SparkSession, sf: str) -> DataFrame:
-    return cubes.build(posts(spark, sf))
+def cube_of(spark: SparkSession, sf: str, grain: list[str] = cubes.PROF) -> DataFrame:
+    """The cube, written once: filings, totals and quantiles read it, the posts are read one time."""
+    return once(cubes.build(posts(spark, sf), grain))
 
 
 def orgs_of(spark: SparkSession, sf: str) -> DataFrame:
@@ -64,7 +66,7 @@ def cube_core(spark, sf):
 
 @query(f"WITH {POSTS}, {CUBE} SELECT * EXCLUDE (family, tier) REPLACE (CAST(date AS VARCHAR) AS date) FROM cube")
 def cube_prof(spark, sf):
-    return cube_of(spark, sf).withColumn("date", day())
+    return cubes.build(posts(spark, sf)).withColumn("date", day())
 
 
 _SUMS = ", ".join(f"CAST(sum({m}) AS BIGINT) AS {m}" for m in cubes.MEASURES)
@@ -73,7 +75,7 @@ _SUMS = ", ".join(f"CAST(sum({m}) AS BIGINT) AS {m}" for m in cubes.MEASURES)
 @query(f"""WITH {POSTS}, {CUBE}, core AS (SELECT org, date, grade, bin_low, bin_high, {MEASURES} FROM posts GROUP BY ALL)
 SELECT 'prof' AS grain, count(*) AS cells, {_SUMS} FROM cube UNION ALL SELECT 'core', count(*), {_SUMS} FROM core""")
 def cube_rollup_check(spark, sf):
-    return cubes.grand_check(cube_of(spark, sf))
+    return cubes.grand_check(cubes.build(posts(spark, sf)))
 
 
 @query(f"WITH {POSTS} SELECT org, CAST(date AS VARCHAR) AS date, grade, bin_low, bin_high, {MEASURES}, TRUE AS same FROM posts GROUP BY org, date, grade, bin_low, bin_high")
@@ -132,7 +134,8 @@ def coverage_matrix(spark, sf):
 
 # --- series ---------------------------------------------------------------------------------------
 def run(spark, sf, measures, f=s.Filter(), dimension="none", **kw) -> DataFrame:
-    return s.series(cube_of(spark, sf), orgs_of(spark, sf), f, measures, dimension, **kw)
+    cube = cube_of(spark, sf, cubes.PROF if f.needs_prof(dimension) else cubes.CORE)
+    return s.series(cube, orgs_of(spark, sf), f, measures, dimension, **kw)
 
 
 @query(series_sql("group_key, period, headcount, CAST(headcount AS DOUBLE) AS value, orgs_filed"))
