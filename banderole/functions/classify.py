@@ -114,9 +114,10 @@ TITLES = (
     ("scs", UNBANDED, None),
 )
 JUNIOR = (
-    "grade 7,grade7,g7,grade 6,grade6,g6,grade 6 7,seo,heo,eo,ao,aa,ea ao,fast st,fast stream,faststream,fs,band a,band b,band c,band d,band e,"
-    "executive officer,higher executive officer,senior executive officer,administrative officer,administrative assistant,apprentice,industrial,non industrial"
-).split(",")
+    "grade 7", "grade7", "g7", "grade 6", "grade6", "g6", "grade 6 7", "seo", "heo", "eo", "ao", "aa", "ea ao", "fast st", "fast stream", "faststream", "fs",
+    "band a", "band b", "band c", "band d", "band e", "executive officer", "higher executive officer", "senior executive officer",
+    "administrative officer", "administrative assistant", "apprentice", "industrial", "non industrial",
+)
 
 
 def grade(raw: Column) -> Column:
