@@ -1,6 +1,6 @@
 """Registered queries over the driver's tables, with their SQL."""
 
-from . import ingest, ledger, pay  # noqa: F401
+from . import corpus, ingest, ledger, pay  # noqa: F401
 from .stand_in import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
