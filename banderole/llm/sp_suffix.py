@@ -175,7 +175,7 @@ def occurrences(codes: np.ndarray, order: np.ndarray, chars: np.ndarray, lengths
 class Encoder:
     """Encodes texts chunk by chunk, remembering short chunks."""
 
-    LIMIT, SHORT, BATCH, HELD = 150_000, 48, 1 << 18, 1 << 20
+    LIMIT, SHORT, BATCH, HELD = 400_000, 48, 1 << 19, 1 << 20
 
     def __init__(self, model_file: str):
         self.pieces = Pieces(model_file)

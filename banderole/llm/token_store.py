@@ -168,8 +168,8 @@ class WordEncoder:
     tokenizer that cuts otherwise gets all texts whole.
     """
 
-    LIMIT, TOGETHER, HELD = 250_000, 4096, 1 << 19
-    SEPARATOR = "\x0b"
+    LIMIT, TOGETHER, HELD = 500_000, 512, 1 << 20
+    SEPARATOR, MARKS = "\x0b", ".,;:!?)"
     RUNS = re.compile(r"\s\s(?:\s|\Z)")
     PROBES = ("It's a  test\nof\n\nwords, 12 x3 <|endoftext|> and\t\ttabs", " \nx", "a \nb\u00e9\u3000 c", "don't\nwe'll 100% [ok] ", "")
 
@@ -181,6 +181,7 @@ class WordEncoder:
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
         self.known: dict[str | tuple[str], bytes] = {}  # pieces by themselves, a text's first one as a tuple
         self.older: dict[str | tuple[str], bytes] = {}
+        self.marks: dict[str, bytes] = {}
         self.added = [x.content for x in self.tokenizer.get_added_tokens_decoder().values()]
         (mark,) = self._ids([self.SEPARATOR])
         self.mark = int.from_bytes(mark, "little") if len(mark) == self.width else None
@@ -245,19 +246,19 @@ class WordEncoder:
             cut[0] = (cut[0],)
             row: list = list(map(self.known.get, cut))
             doubtful = False
-            if None in row:
-                for i, raw in enumerate(row):
-                    if raw is None:
-                        c = cut[i]
-                        if (places := asked.get(c)) is not None:
-                            places.append((row, i))
-                        elif (raw := self.older.get(c)) is not None:
-                            row[i] = self.known[c] = raw
-                        elif self._clean(c):
-                            asked[c] = [(row, i)]
-                        else:
-                            doubtful = True
-                            odd.setdefault(c, []).append((row, i))
+            for i in [i for i, raw in enumerate(row) if raw is None]:
+                c = cut[i]
+                if (raw := self.known.get(c)) is not None:  # new when it stood in this text before
+                    row[i] = raw
+                elif (places := asked.get(c)) is not None:
+                    places.append((row, i))
+                elif (raw := self.older.get(c)) is not None or (raw := self._from_base(c)) is not None:
+                    row[i] = self.known[c] = raw
+                elif self._clean(c):
+                    asked[c] = [(row, i)]
+                else:
+                    doubtful = True
+                    odd.setdefault(c, []).append((row, i))
             if doubtful and (self.RUNS.search(t) or any(x in t for x in self.added)):
                 rows.append(t)
                 held += len(t)
@@ -269,6 +270,18 @@ class WordEncoder:
         settle()
         return out
 
+    def _from_base(self, piece: str | tuple[str]) -> bytes | None:
+        """A known word of letters and the marks after it, which are pre-tokens of their own."""
+        if isinstance(piece, tuple):
+            return None
+        base = piece.rstrip(self.MARKS)
+        if len(base) == len(piece) or not base.isalpha() or (raw := self.known.get(base) or self.older.get(base)) is None:
+            return None
+        marks = piece[len(base) :]
+        if marks not in self.marks:
+            (self.marks[marks],) = self._ids([marks])
+        return raw + self.marks[marks]
+
     @staticmethod
     def _written(piece: str | tuple[str]) -> str:
         return piece[0] if isinstance(piece, tuple) else piece if piece[:1] == "\n" else " " + piece
