@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, fim, html_crf, line_rules, mixing, pii, simhash, sp_suffix, tiff, token_store, toxicity
+from . import chat, fim, html_crf, line_rules, mixing, pii, simhash, sp_suffix, tiff, token_store, topk, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -96,8 +96,13 @@ def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("key").alias("doc_id"), "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(back, 256).alias("restored_sha256"))
 
 
+def op12_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return topk.search(vectors, F.col("vec_id") % 20 == 0, k=20, scale=64.0)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_line_quality, op2_html_crf, op3_pii_boosting, op4_simhash_neardup, op5_sentencepiece, op6_toxicity, op7_token_output, op8_media_tiff, op9_pfair_mix, op10_chat_format, op11_fill_in_middle)}
+    return {f.__name__: f for f in (op1_line_quality, op2_html_crf, op3_pii_boosting, op4_simhash_neardup, op5_sentencepiece, op6_toxicity, op7_token_output, op8_media_tiff, op9_pfair_mix, op10_chat_format, op11_fill_in_middle, op12_exact_topk)}
 
 
 #: Base columns by lists and windows; frequent lines by their normalised text.
@@ -140,5 +145,15 @@ SELECT doc_id, CAST(n AS BIGINT) AS n, form, CAST(CASE WHEN form <> 'plain' THEN
   sha256(t) AS restored_sha256 FROM p"""
 
 
+#: Every query against every other vector, as whole numbers.
+OP12_SQL = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS w FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(list_zip(q.w, c.w), lambda p: p[1] * p[2])) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id % 20 = 0 AND c.vec_id <> q.vec_id),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_line_quality": OP1_SQL, "op10_chat_format": OP10_SQL, "op11_fill_in_middle": OP11_SQL}
+    return {"op1_line_quality": OP1_SQL, "op10_chat_format": OP10_SQL, "op11_fill_in_middle": OP11_SQL, "op12_exact_topk": OP12_SQL}
