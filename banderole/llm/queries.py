@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, fim, html_crf, line_rules, mixing, pii, simhash, sp_suffix, tiff, token_store, topk, toxicity
+from . import chat, fim, html_crf, line_rules, mixing, pii, repair, simhash, sp_suffix, tiff, token_store, topk, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -101,8 +101,17 @@ def op12_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.search(vectors, F.col("vec_id") % 20 == 0, k=20, scale=64.0)
 
 
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    found = repair.report(repair.damage(turns), times=F.col("times")).withColumnRenamed("conv_id", "repaired_id")
+    every = turns.groupBy(F.col("conv_id").cast("long").alias("conv_id")).agg(F.count("*").alias("rows"))
+    out = every.join(found, F.col("conv_id").eqNullSafe(F.col("repaired_id")), "left")
+    numbers = [F.coalesce(c, F.lit(0)).alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    return out.select("conv_id", *numbers, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_line_quality, op2_html_crf, op3_pii_boosting, op4_simhash_neardup, op5_sentencepiece, op6_toxicity, op7_token_output, op8_media_tiff, op9_pfair_mix, op10_chat_format, op11_fill_in_middle, op12_exact_topk)}
+    return {f.__name__: f for f in (op1_line_quality, op2_html_crf, op3_pii_boosting, op4_simhash_neardup, op5_sentencepiece, op6_toxicity, op7_token_output, op8_media_tiff, op9_pfair_mix, op10_chat_format, op11_fill_in_middle, op12_exact_topk, op13_conversation_repair)}
 
 
 #: Base columns by lists and windows; frequent lines by their normalised text.
@@ -155,5 +164,38 @@ r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DES
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20"""
 
 
+#: CRC-32 bit by bit; cost-to-go by recursion from the last row, edits by recursion from the first.
+OP13_SQL = r"""
+WITH RECURSIVE ids AS (SELECT conv_id, row_number() OVER () AS cid FROM (SELECT DISTINCT conv_id FROM conversations)),
+raw AS (SELECT cid, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(CAST(c.conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS k FROM conversations c JOIN ids ON c.conv_id IS NOT DISTINCT FROM ids.conv_id),
+crc AS (SELECT *, xor(list_reduce(list_prepend(4294967295, list_transform(string_split(k, ''), lambda x: CAST(ascii(x) AS BIGINT))),
+  lambda c, x: list_reduce(list_prepend(xor(c, x), [CAST(0 AS BIGINT), 0, 0, 0, 0, 0, 0, 0]), lambda a, b: xor(a >> 1, (a & 1) * 3988292384))), 4294967295) % 20 AS hit FROM raw),
+hurt AS (SELECT cid, turn, CASE WHEN hit = 4 THEN 'user' ELSE role END AS role, CASE hit WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, copy
+  FROM crc, LATERAL (SELECT unnest(range(CASE WHEN hit = 3 THEN 2 ELSE 1 END)) AS copy) WHERE hit <> 0),
+sorted AS (SELECT *, row_number() OVER (PARTITION BY cid ORDER BY turn NULLS FIRST, role, text, copy) AS i, row_number() OVER (PARTITION BY cid, role, text ORDER BY turn NULLS FIRST, copy) > 1 AS dup FROM hurt),
+judged AS (SELECT *, CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 'blank' WHEN dup THEN 'duplicate' WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*$') THEN 'truncated' ELSE '' END AS fault,
+  role[1:1] AS f, lag(role[1:1]) OVER (PARTITION BY cid ORDER BY i) AS g FROM sorted),
+facts AS (SELECT cid, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (WHERE fault = 'blank') AS blank, count(*) FILTER (WHERE fault = 'duplicate') AS duplicate,
+  count(*) FILTER (WHERE fault = 'truncated') AS truncated, count(*) FILTER (WHERE g || f NOT IN ('su', 'ua', 'au')) AS illegal FROM judged GROUP BY cid),
+back AS (SELECT cid, n + 1 AS i, [0, 10, 5, 0] AS c FROM facts UNION ALL
+  SELECT cid, i, [least(b[1], 5 + least(b[3], 5 + b[4])), least(b[2], 5 + least(b[3], 5 + b[4])), least(b[3], 5 + b[4]), least(b[4], 5 + b[3])] FROM (
+    SELECT r.cid, r.i, list_transform([0, 1, 2, 3], lambda s: CASE WHEN fault IN ('blank', 'duplicate') THEN 2 + c[s + 1] ELSE least(2 + c[s + 1],
+      CASE WHEN fault = 'truncated' THEN 5 ELSE 0 END + least(1 + c[([2, 2, 3, 2])[s + 1] + 1], CASE WHEN f = 's' AND s = 0 THEN c[2] WHEN f = (['u', 'u', 'a', 'u'])[s + 1] THEN c[([2, 2, 3, 2])[s + 1] + 1] ELSE 1000000000 END)) END) AS b
+    FROM back JOIN judged r ON r.cid = back.cid AND r.i = back.i - 1)),
+moves AS (SELECT b.cid, b.i, b.c AS now, a.c AS after, r.role, r.text, r.f, r.fault, CASE WHEN fault = 'truncated' THEN 5 ELSE 0 END AS extra FROM back b LEFT JOIN back a ON a.cid = b.cid AND a.i = b.i + 1 LEFT JOIN judged r ON r.cid = b.cid AND r.i = b.i),
+steps AS (SELECT cid, i, s, CASE WHEN i2 = i AND now[s + 1] = 0 AND after IS NULL THEN 'end' ELSE e END AS e, role, text FROM (
+  SELECT cid, i, s, role, text, now, after, i AS i2, CASE WHEN after IS NOT NULL AND 2 + after[s + 1] = now[s + 1] THEN 'D' WHEN now[s + 1] = 5 + now[([2, 2, 3, 2])[s + 1] + 1] THEN 'I'
+    WHEN fault IN ('', 'truncated') AND f = 's' AND s = 0 AND extra + after[2] = now[1] THEN 'S' WHEN fault IN ('', 'truncated') AND f = (['u', 'u', 'a', 'u'])[s + 1] AND extra + after[([2, 2, 3, 2])[s + 1] + 1] = now[s + 1] THEN 'K' ELSE 'R' END AS e
+  FROM moves, LATERAL (SELECT unnest([0, 1, 2, 3]) AS s))),
+walk AS (SELECT cid, CAST(1 AS BIGINT) AS i, 0 AS s, '' AS audit, CAST([] AS VARCHAR[]) AS said FROM facts UNION ALL
+  SELECT w.cid, CASE WHEN e = 'I' THEN w.i ELSE w.i + 1 END, CASE e WHEN 'D' THEN w.s WHEN 'S' THEN 1 ELSE ([2, 2, 3, 2])[w.s + 1] END, audit || CASE e WHEN 'S' THEN 'K' ELSE e END,
+    CASE e WHEN 'D' THEN said WHEN 'I' THEN list_append(said, (['user', 'user', 'assistant', 'user'])[w.s + 1] || ':') WHEN 'R' THEN list_append(said, (['user', 'user', 'assistant', 'user'])[w.s + 1] || ':' || text) ELSE list_append(said, role || ':' || text) END
+  FROM walk w JOIN steps t ON t.cid = w.cid AND t.i = w.i AND t.s = w.s WHERE e <> 'end'),
+done AS (SELECT walk.cid, audit, said FROM walk JOIN steps t ON t.cid = walk.cid AND t.i = walk.i AND t.s = walk.s AND e = 'end')
+SELECT conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, CAST(coalesce(blank, 0) AS BIGINT) AS blank, CAST(coalesce(duplicate, 0) AS BIGINT) AS duplicate, CAST(coalesce(truncated, 0) AS BIGINT) AS truncated, CAST(coalesce(illegal, 0) AS BIGINT) AS illegal,
+  CAST(coalesce(c[1], 0) AS BIGINT) AS cost, coalesce(audit, '') AS audit, sha256(coalesce(array_to_string(said, chr(10)), '')) AS repaired_sha256
+FROM ids LEFT JOIN facts USING (cid) LEFT JOIN back ON back.cid = ids.cid AND back.i = 1 LEFT JOIN done ON done.cid = ids.cid"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_line_quality": OP1_SQL, "op10_chat_format": OP10_SQL, "op11_fill_in_middle": OP11_SQL, "op12_exact_topk": OP12_SQL}
+    return {"op1_line_quality": OP1_SQL, "op10_chat_format": OP10_SQL, "op11_fill_in_middle": OP11_SQL, "op12_exact_topk": OP12_SQL, "op13_conversation_repair": OP13_SQL}
