@@ -129,41 +129,76 @@ def join_key_choice(spark, sf):
 
 # --- trees ----------------------------------------------------------------------------------------
 def tree_rows(spark, sf) -> DataFrame:
-    """Parts report to part key div 4; filings are blocks of 500 parts."""
+    """Blocks of 500 parts as filings: every second one a chain, the others reporting to part key div 4.
+
+    In both some posts are eliminated, have no reference or a repeated one, report to themselves, outside, or in a circle of two or three.
+    """
     p = table(spark, sf, "part")
     k = F.col("p_partkey")
     block, inner = F.floor(k / 500), k % 500 + 1
+    above = (
+        F.when(inner == 1, F.lit(None))
+        .when(inner % 89 == 3, inner)
+        .when((inner % 50 == 7) | (inner % 111 == 40) | (inner % 111 == 41), inner + 1)
+        .when(inner % 50 == 8, inner - 1)
+        .when(inner % 111 == 42, inner - 2)
+        .when((block % 2 == 1) | inner.between(100, 180), inner - 1)
+        .otherwise(F.floor(inner / 4))
+    )
     return p.select(
         F.concat(F.lit("org"), block).alias("org"),
         F.lit("2000-01-31").cast("date").alias("date"),
-        inner.cast("string").alias("pur"),
-        F.when(inner == 1, "").otherwise(F.floor(inner / 4).cast("string")).alias("reports_to"),
+        F.when(inner % 83 == 11, "").when(inner % 61 == 9, (inner - 1).cast("string")).otherwise(inner.cast("string")).alias("pur"),
+        F.coalesce(above.cast("long").cast("string"), F.lit("")).alias("reports_to"),
         F.when(inner % 97 == 5, "eliminated").otherwise("filled-named").alias("status"),
         F.floor("p_retailprice").cast("long").alias("floor"),
+        (k % 3 != 0).alias("disclosed"),
+        F.col("p_brand").alias("grade"),
         F.col("p_name").alias("title"),
         k.alias("row_idx"),
     )
 
 
-_TREE = """RECURSIVE trows AS (SELECT 'org' || CAST(floor(p_partkey / 500) AS BIGINT) AS org, p_partkey % 500 + 1 AS pur, CAST(floor((p_partkey % 500 + 1) / 4) AS BIGINT) AS reports_to,
-  (p_partkey % 500 + 1) % 97 = 5 AS gone, CAST(floor(p_retailprice) AS BIGINT) AS pay FROM part),
-nodes AS (SELECT c.org, c.pur, c.pay, CASE WHEN c.pur = 1 THEN NULL ELSE p.pur END AS parent, c.pur = 1 AS is_root, c.pur <> 1 AND p.pur IS NULL AS dangling
-  FROM trows c LEFT JOIN trows p ON p.org = c.org AND p.pur = c.reports_to WHERE NOT c.gone),
-walk AS (SELECT org, pur, 1 AS depth FROM nodes WHERE is_root UNION ALL SELECT n.org, n.pur, w.depth + 1 FROM walk w JOIN nodes n ON n.org = w.org AND n.parent = w.pur WHERE w.depth < 41)"""
-
-
-@query(f"WITH {_TREE} SELECT org, CAST(pur AS VARCHAR) AS pur, CAST(depth AS INTEGER) AS depth FROM walk")
+_TREE = """RECURSIVE trows AS (SELECT *, CASE WHEN inner_no % 83 = 11 THEN '' WHEN inner_no % 61 = 9 THEN CAST(inner_no - 1 AS VARCHAR) ELSE CAST(inner_no AS VARCHAR) END AS pur,
+  coalesce(CAST(CASE WHEN inner_no = 1 THEN NULL WHEN inner_no % 89 = 3 THEN inner_no WHEN inner_no % 50 = 7 OR inner_no % 111 IN (40, 41) THEN inner_no + 1 WHEN inner_no % 50 = 8 THEN inner_no - 1 WHEN inner_no % 111 = 42 THEN inner_no - 2
+    WHEN block % 2 = 1 OR inner_no BETWEEN 100 AND 180 THEN inner_no - 1 ELSE inner_no // 4 END AS VARCHAR), '') AS reports_to, inner_no % 97 = 5 AS gone, 'org' || block AS org
+  FROM (SELECT p_partkey AS idx, p_partkey // 500 AS block, p_partkey % 500 + 1 AS inner_no, CAST(floor(p_retailprice) AS BIGINT) AS pay, p_partkey % 3 <> 0 AS disclosed, p_brand AS grade, p_name AS title FROM part)),
+known AS (SELECT org, pur, bool_or(NOT gone) AS lives FROM trows WHERE pur <> '' GROUP BY ALL),
+nodes AS (SELECT c.*, CASE WHEN c.pur <> '' AND c.reports_to <> c.pur THEN k.pur END AS parent, c.pur = '' OR (c.reports_to NOT IN ('', c.pur) AND k.pur IS NULL) AS dangling, c.pur <> '' AND c.reports_to IN ('', c.pur) AS is_root
+  FROM trows c LEFT JOIN known k ON k.org = c.org AND k.pur = c.reports_to WHERE NOT c.gone),
+own AS (SELECT org, pur, arg_max(parent, idx) FILTER (WHERE parent IS NOT NULL) AS parent, min(idx) AS place FROM nodes WHERE pur <> '' GROUP BY ALL),
+edges AS (SELECT * FROM own UNION ALL SELECT DISTINCT org, parent, NULL, NULL FROM nodes n WHERE parent IS NOT NULL AND NOT EXISTS (SELECT 1 FROM own o WHERE o.org = n.org AND o.pur = n.parent)),
+walk AS (SELECT org, pur, place, 1 AS depth FROM edges WHERE parent IS NULL UNION ALL SELECT e.org, e.pur, e.place, w.depth + 1 FROM walk w JOIN edges e ON e.org = w.org AND e.parent = w.pur),
+endless AS (SELECT * FROM edges e WHERE NOT EXISTS (SELECT 1 FROM walk w WHERE w.org = e.org AND w.pur = e.pur)),
+round AS (SELECT org, pur AS start, parent AS reached, 1 AS d FROM endless UNION ALL SELECT r.org, r.start, e.parent, r.d + 1 FROM round r JOIN endless e ON e.org = r.org AND e.pur = r.reached WHERE r.reached <> r.start AND r.d < 10),
+closed AS (SELECT org, start, d AS members FROM round WHERE reached = start),
+ring AS (SELECT c.org, c.start AS pur, c.members, arg_min(e.pur, e.place) AS cycle FROM closed c JOIN round r ON r.org = c.org AND r.start = c.start JOIN edges e ON e.org = r.org AND e.pur = r.reached GROUP BY ALL),
+below AS (SELECT org, pur, members + 1 AS depth FROM ring WHERE pur = cycle UNION ALL SELECT e.org, e.pur, b.depth + 1 FROM below b JOIN endless e ON e.org = b.org AND e.parent = b.pur WHERE NOT EXISTS (SELECT 1 FROM ring r WHERE r.org = e.org AND r.pur = e.pur AND r.cycle = e.pur)),
+depths AS (SELECT org, pur, CAST(depth AS INTEGER) AS depth FROM walk WHERE place IS NOT NULL UNION ALL SELECT org, pur, CAST(depth AS INTEGER) FROM below)"""
+
+
+@query(f"WITH {_TREE} SELECT org, pur, depth FROM depths")
 def org_tree_depth(spark, sf):
     return tree.depths(tree.resolved(tree_rows(spark, sf))).select("org", "pur", "depth")
 
 
-@query(f"WITH {_TREE} SELECT org, CAST(depth AS INTEGER) AS depth, count(*) AS posts FROM walk GROUP BY ALL")
+@query(f"WITH {_TREE} SELECT org, depth, count(*) AS posts FROM nodes JOIN depths USING (org, pur) GROUP BY ALL")
 def org_layers(spark, sf):
     return tree.layers(tree.resolved(tree_rows(spark, sf))).select("org", "depth", "posts")
 
 
+@query(f"WITH {_TREE} SELECT org, depth, grade, count(*) AS posts FROM nodes JOIN depths USING (org, pur) GROUP BY ALL")
+def org_layers_by_grade(spark, sf):
+    return tree.layers(tree.resolved(tree_rows(spark, sf)), "grade").select("org", "depth", "grade", "posts")
+
+
+@query(f"WITH {_TREE} SELECT org, pur, cycle, CAST(members AS BIGINT) AS members FROM ring")
+def org_cycles(spark, sf):
+    return tree.cycles(tree.resolved(tree_rows(spark, sf))).select("org", "pur", "cycle", "members")
+
+
 _SPANS = """reports AS (SELECT org, parent, count(*) AS reports FROM nodes WHERE parent IS NOT NULL GROUP BY ALL),
-per AS (SELECT org, count(*) AS parents, max(reports) AS widest, list_sort(list(reports))[CAST(floor(count(*) / 2) AS BIGINT) + 1] AS median_span FROM reports GROUP BY org),
+per AS (SELECT org, count(*) AS parents, max(reports) AS widest, list_sort(list(reports))[CAST(floor(count(*) / 2) AS BIGINT) + 1] AS median_span, CAST(sum(reports) AS BIGINT) AS reporting FROM reports GROUP BY org),
 sizes AS (SELECT org, count(*) AS posts, count(*) FILTER (WHERE dangling) AS dangling, count(*) FILTER (WHERE is_root) AS roots FROM nodes GROUP BY org)"""
 
 
@@ -172,17 +207,41 @@ def org_span(spark, sf):
     return tree.spans(tree.resolved(tree_rows(spark, sf))).select("org", "posts", "dangling", "roots", "parents", "widest", "median_span", "leaves")
 
 
-@query(f"""WITH {_TREE}, {_SPANS} SELECT org, CASE WHEN posts < 30 THEN 'fewer than 30 posts' WHEN dangling > 0 THEN 'dangling reports' WHEN roots > 2 THEN 'too many roots' WHEN parents = 0 THEN 'incomplete' END AS reason,
-CASE WHEN posts < 30 OR dangling > 0 OR roots > 2 OR parents = 0 THEN FALSE ELSE TRUE END AS kept FROM sizes JOIN per USING (org)""")
+@query(f"""WITH {_TREE}, {_SPANS}, judged AS (SELECT org, CASE WHEN posts < 30 THEN 'fewer than 30 posts' WHEN dangling > 0 THEN 'dangling reports' WHEN roots > 2 THEN 'too many roots' WHEN reporting < posts - 3 THEN 'incomplete' END AS reason FROM sizes JOIN per USING (org))
+SELECT org, reason, reason IS NULL AS kept FROM judged""")
 def org_structure_verdict(spark, sf):
     return tree.verdicts(tree.spans(tree.resolved(tree_rows(spark, sf)))).select("org", "reason", "kept")
 
 
-@query(f"""WITH {_TREE}, up AS (SELECT org, pur AS ancestor, pur, 0 AS distance FROM nodes UNION ALL SELECT u.org, n.parent, u.pur, u.distance + 1 FROM up u JOIN nodes n ON n.org = u.org AND n.pur = u.ancestor WHERE n.parent IS NOT NULL),
-own AS (SELECT u.*, n.pay FROM up u JOIN nodes n ON n.org = u.org AND n.pur = u.pur)
-SELECT org, CAST(ancestor AS VARCHAR) AS pur, count(*) AS size, CAST(max(distance) + 1 AS INTEGER) AS height, CAST(sum(pay) AS BIGINT) AS subtree_floor FROM own GROUP BY ALL""")
+_NODES = f"""{_TREE}, firsts AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY org, pur ORDER BY idx) AS nth FROM trows WHERE NOT gone AND pur <> '') WHERE nth = 1),
+grade_order AS (SELECT org, grade, min(idx) AS grade_place FROM trows WHERE NOT gone GROUP BY ALL),
+tnodes AS (SELECT f.*, grade_place, CASE WHEN f.reports_to NOT IN ('', f.pur) AND k.lives THEN f.reports_to END AS up, f.reports_to NOT IN ('', f.pur) AND k.pur IS NULL AS outside
+  FROM firsts f LEFT JOIN known k ON k.org = f.org AND k.pur = f.reports_to JOIN grade_order g ON g.org = f.org AND g.grade = f.grade),
+grown AS (SELECT org, pur, 1 AS depth FROM tnodes WHERE up IS NULL UNION ALL SELECT t.org, t.pur, g.depth + 1 FROM grown g JOIN tnodes t ON t.org = g.org AND t.up = g.pur),
+led AS (SELECT t.*, g.depth FROM tnodes t JOIN grown g USING (org, pur)),
+lines AS (SELECT org, pur AS ancestor, pur, 0 AS distance FROM led UNION ALL SELECT l.org, t.up, l.pur, l.distance + 1 FROM lines l JOIN led t ON t.org = l.org AND t.pur = l.ancestor WHERE t.up IS NOT NULL)"""
+
+
+@query(f"""WITH {_NODES},
+sums AS (SELECT l.org, l.ancestor AS pur, count(*) AS size, max(distance) + 1 AS height, sum(CASE WHEN t.disclosed THEN t.pay ELSE 0 END) AS subtree_floor FROM lines l JOIN led t ON t.org = l.org AND t.pur = l.pur GROUP BY ALL)
+SELECT org, pur, up AS parent, depth, size, CAST(height AS INTEGER) AS height, CAST(subtree_floor AS BIGINT) AS subtree_floor,
+  CAST(CASE WHEN up IS NULL THEN row_number() OVER (PARTITION BY org, up ORDER BY size DESC, grade_place, idx) ELSE row_number() OVER (PARTITION BY org, up ORDER BY grade_place, size DESC, title, pur) END AS INTEGER) AS sibling
+FROM led JOIN sums USING (org, pur)""")
 def org_subtree(spark, sf):
-    return tree.subtrees(tree.resolved(tree_rows(spark, sf))).select("org", "pur", "size", "height", "subtree_floor")
+    return tree.trees(tree.tree_nodes(tree_rows(spark, sf))).select("org", "pur", "parent", "depth", "size", "height", "subtree_floor", "sibling")
+
+
+@query(f"""WITH {_NODES}, lives AS (SELECT org, count(*) AS live FROM trows WHERE NOT gone GROUP BY org)
+SELECT t.org, (SELECT count(*) FROM led l WHERE l.org = t.org) AS nodes, count(*) FILTER (WHERE up IS NULL) AS roots, CAST(any_value(live) - count(*) + count(*) FILTER (WHERE outside) AS BIGINT) AS orphans,
+  count(*) - (SELECT count(*) FROM led l WHERE l.org = t.org) AS endless FROM tnodes t JOIN lives USING (org) GROUP BY t.org""")
+def org_tree_totals(spark, sf):
+    return tree.tree_totals(tree_rows(spark, sf)).select("org", "nodes", "roots", "orphans", "endless")
+
+
+@query(f"WITH {_NODES} SELECT DISTINCT l.org, l.ancestor AS pur FROM lines l JOIN led t ON t.org = l.org AND t.pur = l.pur WHERE contains(lower(t.title), 'gear')")
+def org_tree_reveal(spark, sf):
+    nodes = tree.tree_nodes(tree_rows(spark, sf))
+    return tree.reveal(nodes, nodes.where(F.contains(F.lower("title"), F.lit("gear")))).select("org", "pur")
 
 
 # --- high earners, diffs, surveys -------------------------------------------------------------------

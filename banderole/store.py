@@ -1,4 +1,8 @@
-"""Small tables that several passes of one query read, written once to the shared folder."""
+"""Tables that several passes of one operator read, written once to the shared folder.
+
+Iterative operators write each round and read it again: the plan stays as short as one round's, and files
+survive lost executors.  What a later round has replaced is discarded at once, everything else when the process ends.
+"""
 
 from __future__ import annotations
 
@@ -7,14 +11,15 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 _KEY = "spark.checkpoint.dir"
 _own: list[str] = []
+_made: list[str] = []
 
 
-def _folder(df: DataFrame) -> str:
-    spark = df.sparkSession
+def shared_dir(spark: SparkSession) -> str:
+    """The cluster's shared folder; only a local session without one gets a temporary folder of its own."""
     path = spark.conf.get(_KEY, None) or spark.sparkContext.getConf().get(_KEY, None)
     if path:
         return path.rstrip("/")
@@ -26,11 +31,33 @@ def _folder(df: DataFrame) -> str:
     return f"file://{_own[0]}"
 
 
+def discard(*paths: str) -> None:
+    """Delete tables that nothing will read again."""
+    from pyarrow import fs
+
+    for path in paths:
+        try:
+            files, at = fs.FileSystem.from_uri(path)
+            if files.get_file_info(at).type == fs.FileType.Directory:
+                files.delete_dir(at)
+        except (OSError, ValueError):  # a folder on a file system that only Spark can reach stays
+            continue
+
+
+def written(df: DataFrame, label: str = "once") -> tuple[DataFrame, str]:
+    """``df`` written as Parquet and read again, and its path for ``discard``."""
+    if not _made:
+        atexit.register(lambda: discard(*_made))
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    _made.append(path)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
 def once(df: DataFrame) -> DataFrame:
-    """``df`` written as Parquet and read again, so that its readers don't compute it anew.
+    """``df`` written and read again, so that its readers don't compute it anew.
 
     For additive cubes and other tables far smaller than what they are made of.
     """
-    path = f"{_folder(df)}/once-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return written(df)[0]

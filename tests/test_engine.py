@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from banderole.functions import dates
-from banderole.operators import cube, joins, lineage, periods, posts, quality, series, tree
+from banderole.operators import cube, joins, periods, posts, quality, series
 from banderole.plans import stand_in
 from banderole.schema import POST, assert_schema
 from banderole.sources import posts_csv, shards
@@ -90,30 +90,12 @@ def test_constant_scope_and_window(spark):
     assert (best["first"], best["last"], best["orgs"], best["score"]) == ("2001", "2002", 2, 4)
 
 
-def test_lineage_cycles_end(spark):
-    edges = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a")], "pred string, succ string")
-    assert lineage.closure(edges).count() == 6
-
-
 def test_quantiles_are_discrete(spark):
     bins = spark.createDataFrame([("g", "p", "lo", 10, 1.0), ("g", "p", "lo", 20, 1.0), ("g", "p", "hi", 11, 2.0)], "group_key string, period string, side string, bin int, w double")
     r = series.quantiles(bins).first()
     assert (r["median_lo"], r["median_hi"], r["p90_lo"]) == (50000.0, 59999.0, 100000.0)
 
 
-def test_tree_with_cycle_repeat_and_eliminated_parent(spark):
-    rows = [
-        ("1", "", "filled-named", 5), ("2", "1", "filled-named", 4), ("2", "1", "filled-named", 3), ("3", "2", "eliminated", 1), ("4", "3", "filled-named", 2),
-        ("5", "5", "filled-named", 1), ("6", "7", "filled-named", 1), ("7", "6", "filled-named", 1), ("8", "zzz", "filled-named", 1),
-    ]
-    df = spark.createDataFrame([("o", "2000-01-31", p, r, s, pay, f"t{i}", i) for i, (p, r, s, pay) in enumerate(rows)], "org string, date string, pur string, reports_to string, status string, floor long, title string, row_idx int")
-    nodes = tree.resolved(df)
-    depth = {r["pur"]: r["depth"] for r in tree.depths(nodes).collect()}
-    assert depth == {"1": 1, "2": 2, "5": 1}
-    stats = tree.verdicts(tree.spans(nodes)).first()
-    assert (stats["posts"], stats["dangling"], stats["reason"]) == (8, 1, "fewer than 30 posts")
-
-
 def test_join_only_uses_unique_keys(spark):
     left = spark.createDataFrame([("a",), ("b",), ("b",), ("N/A",), ("c",)], "k string")
     right = spark.createDataFrame([("a", 1), ("b", 2), ("c", 3), ("c", 4), ("n/a", 5)], "k string, pay int")
