@@ -1,6 +1,6 @@
 """Registered queries over the driver's tables, with their SQL."""
 
-from . import corpus, ingest, ledger, pay, recovery, reports  # noqa: F401
+from . import books, corpus, ingest, ledger, pay, recovery, reports  # noqa: F401
 from .stand_in import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
