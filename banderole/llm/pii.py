@@ -15,7 +15,8 @@ pattern in linear time, and only those long enough to matter.  Repeats of groups
 or Java would recurse once a repeat and overflow its stack on long texts.
 
 Edge cases: null and empty texts have no spans; null ids and repeated rows are handled one by one;
-an empty table gives no rows; spans that start together are ordered by kind; extra columns pass
+an empty table gives no rows; work grows in proportion to a text and its spans (running values are made in
+blocks, contexts and redacted pieces never from the text's start); spans that start together are ordered by kind; extra columns pass
 through ``redact`` (names that start with ``_pii_`` are reserved).
 """
 
@@ -253,37 +254,93 @@ def trained(n: int = 4000, seed: int = 11) -> Model:
 
 
 # --- spans ------------------------------------------------------------------------------------
-BLOCK = 128  # appending to an array copies it, so offsets are summed in blocks
+BLOCK = 128  # appending to an array copies it, so running values are made in blocks
+PAGE = 4096  # code points of a text that one substring looks through
 
 
-def _offsets(steps: Column, first: Column) -> Column:
-    """Running sums before each element of ``steps``, starting at ``first``."""
+def _let(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once; inside array functions Spark would compute it for every element."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _most(a: Column, x: Column) -> Column:
+    return F.greatest(a, x)
+
+
+def _scan(steps: Column, first: Column, join) -> Column:
+    """What ``join`` has made of ``first`` and the elements before each one."""
     empty = F.array().cast("array<bigint>")
     state = F.struct(first.cast("bigint").alias("at"), empty.alias("out"))
-    return F.aggregate(steps, state, lambda a, x: F.struct((a["at"] + x).alias("at"), F.concat(a["out"], F.array(a["at"])).alias("out")), lambda a: a["out"])
+    return F.aggregate(steps, state, lambda a, x: F.struct(join(a["at"], x).alias("at"), F.concat(a["out"], F.array(a["at"])).alias("out")), lambda a: a["out"])
+
+
+def _running(steps: Column, first: Column, join) -> Column:
+    """``_scan`` in two levels, for arrays of any length; ``join`` takes 0 as nothing."""
+
+    def blocks(s: Column) -> Column:
+        last = F.greatest(F.ceil(F.size(s) / BLOCK).cast("int") - 1, F.lit(0))
+        return F.transform(F.sequence(F.lit(0), last), lambda b: F.slice(s, b * BLOCK + 1, F.lit(BLOCK)))
+
+    def over(bs: Column) -> Column:
+        whole = F.transform(bs, lambda s: F.aggregate(s, F.lit(0).cast("bigint"), join))
+        return F.flatten(F.zip_with(bs, _scan(whole, first, join), lambda s, f: _scan(s, f, join)))
+
+    return _let(steps, lambda s: _let(blocks(s), over))
 
 
 def _starts(gaps: Column, lengths: Column) -> Column:
     """Start of each match: all gaps up to its own plus all earlier matches."""
-    n = F.size(lengths)
-    steps = F.transform(lengths, lambda x, i: (F.get(gaps, i + 1) + x).cast("bigint"))  # to the next start
-    blocks = F.transform(F.sequence(F.lit(0), F.greatest(F.ceil(n / BLOCK).cast("int") - 1, F.lit(0))), lambda b: F.slice(steps, b * BLOCK + 1, F.lit(BLOCK)))
-    sums = F.transform(blocks, lambda s: F.aggregate(s, F.lit(0).cast("bigint"), lambda a, x: a + x))
-    firsts = _offsets(sums, F.get(gaps, F.lit(0)))
-    return F.flatten(F.zip_with(blocks, firsts, _offsets))
 
+    def made(v: Column) -> Column:
+        steps = F.transform(v["n"], lambda x, i: (F.get(v["g"], i + 1) + x).cast("bigint"))  # to the next start
+        return _running(steps, F.get(v["g"], F.lit(0)), lambda a, x: a + x)
+
+    return _let(F.struct(gaps.alias("g"), lengths.alias("n")), made)
+
+
+def _lefts(pieces: Column, matches: Column) -> Column:
+    """The ``CONTEXT`` code points before each match, from the pieces and matches ahead of it: three are long enough."""
 
-def find(text: str, pattern: str, kind: str, when: Column, name: str, df: DataFrame) -> DataFrame:
-    """Add ``name``: array of (start, stop, kind, match) of all matches, empty where ``when`` fails."""
+    def left(v: Column, i: Column) -> Column:
+        parts = [F.right(F.get(v["p"], i), F.lit(CONTEXT))]
+        for k in (1, 2, 3):
+            ahead = F.when(i >= k, F.concat(F.right(F.get(v["p"], F.greatest(i - k, F.lit(0))), F.lit(CONTEXT)), F.right(F.get(v["m"], F.greatest(i - k, F.lit(0))), F.lit(CONTEXT))))
+            parts.insert(0, F.coalesce(ahead, F.lit("")))
+        return F.right(F.concat(*parts), F.lit(CONTEXT))
+
+    return _let(F.struct(pieces.alias("p"), matches.alias("m")), lambda v: F.transform(v["m"], lambda _, i: left(v, i)))
+
+
+def find(text: str, pattern: str, kind: str, when: Column, name: str, df: DataFrame, *, context: bool = False) -> DataFrame:
+    """Add ``name``: array of (start, stop, kind, match) of all matches, empty where ``when`` fails; with ``context`` also what stands left of them."""
     t, none = F.col(text), F.array().cast("array<string>")
     df = df.withColumns({f"{name}_m": F.when(when, F.regexp_extract_all(t, F.lit(pattern), F.lit(0))).otherwise(none)})
     any_match = F.size(f"{name}_m") > 0
-    df = df.withColumn(f"{name}_g", F.when(any_match, F.transform(F.split(t, pattern, -1), lambda p: F.length(p))))
-    df = df.withColumn(f"{name}_n", F.transform(f"{name}_m", lambda m: F.length(m)))
-    df = df.withColumn(f"{name}_s", F.when(any_match, _starts(F.col(f"{name}_g"), F.col(f"{name}_n"))))
+    df = df.withColumn(f"{name}_g", F.when(any_match, F.split(t, pattern, -1)))
+    lengths = lambda c: F.transform(c, lambda x: F.length(x))
+    df = df.withColumn(f"{name}_s", F.when(any_match, _starts(lengths(f"{name}_g"), lengths(f"{name}_m"))))
+    fields = "start:bigint,stop:bigint,kind:string,match:string" + ",left:string" * context
     spans = F.zip_with(f"{name}_m", f"{name}_s", lambda m, s: F.struct(s.alias("start"), (s + F.length(m)).alias("stop"), F.lit(kind).alias("kind"), m.alias("match")))
-    empty = F.array().cast("array<struct<start:bigint,stop:bigint,kind:string,match:string>>")
-    return df.withColumn(name, F.when(any_match, spans).otherwise(empty)).drop(*(f"{name}_{x}" for x in "mgns"))
+    if context:
+        spans = F.zip_with(spans, _lefts(F.col(f"{name}_g"), F.col(f"{name}_m")), lambda x, left: F.struct(*(x[c].alias(c) for c in ("start", "stop", "kind", "match")), left.alias("left")))
+    return df.withColumn(name, F.when(any_match, spans).otherwise(F.array().cast(f"array<struct<{fields}>>"))).drop(*(f"{name}_{x}" for x in "mgs"))
+
+
+def _outside(candidates: Column, base: Column) -> Column:
+    """Candidates that no base span contains, from one pass in the order of starts with the furthest stop so far."""
+
+    def merged(v: Column) -> Column:
+        of_base = F.transform(v["b"], lambda x: F.struct(x["start"].alias("start"), F.lit(0).alias("own"), x["stop"].alias("stop"), F.get(v["c"], F.lit(-1)).alias("x")))
+        own = F.transform(v["c"], lambda x: F.struct(x["start"].alias("start"), F.lit(1).alias("own"), x["stop"].alias("stop"), x.alias("x")))
+        return F.array_sort(F.concat(of_base, own))
+
+    def judged(ms: Column) -> Column:
+        reach = _running(F.transform(ms, lambda m: F.when(m["own"] == 0, m["stop"]).otherwise(0).cast("bigint")), F.lit(0), _most)
+        both = F.zip_with(ms, reach, lambda m, r: F.struct(m.alias("m"), r.alias("r")))
+        return F.transform(F.filter(both, lambda s: (s["m"]["own"] == 1) & (s["r"] < s["m"]["stop"])), lambda s: s["m"]["x"])
+
+    free = _let(_let(F.struct(candidates.alias("c"), base.alias("b")), merged), judged)
+    return F.when((F.size(candidates) > 0) & (F.size(base) > 0), free).otherwise(candidates)
 
 
 def _passes(kind: str, m: Column) -> Column:
@@ -329,23 +386,27 @@ def with_spans(docs: DataFrame, *, text: str = "text", model: Model | None = Non
     df = df.withColumn("_pii_b", F.concat(*base))
     for kind, pattern in GENERATORS.items():
         gate = (F.contains(t, F.lit("at)")) | F.contains(t, F.lit("at]")) | F.contains(t, F.lit("AT"))) if kind == "email" else F.col("_pii_digits")
-        df = find("_pii_t", pattern, kind, gate, f"_pii_g_{kind}", df)
+        df = find("_pii_t", pattern, kind, gate, f"_pii_g_{kind}", df, context=True)
     proposed = [f"_pii_g_{k}" for k in GENERATORS]
 
     def chosen(x: Column) -> Column:
-        left = t.substr(F.greatest(x["start"] - CONTEXT, F.lit(0)).cast("int") + 1, F.least(x["start"], F.lit(CONTEXT)).cast("int"))
-        features = feature_columns(x["kind"], x["match"], left)
-        score = F.lit(model.start)
-        for tree in model.trees:
-            score = score + tree.column(features)
+        features = feature_columns(x["kind"], x["match"], x["left"])
+
+        def scored(f: Column) -> Column:
+            score = F.lit(model.start)
+            for tree in model.trees:
+                score = score + tree.column({name: f[name] for name in features})
+            return score
+
         least = F.lit(float("inf"))
         for kind, threshold in zip(KINDS, model.thresholds):
             least = F.when(x["kind"] == kind, F.lit(threshold)).otherwise(least)
-        return score >= least
+        return _let(F.struct(*(c.alias(name) for name, c in features.items())), scored) >= least
 
     df = df.withColumn("_pii_g", F.concat(*proposed))
-    free = F.filter("_pii_g", lambda x: ~F.exists("_pii_b", lambda b: (b["start"] <= x["start"]) & (x["stop"] <= b["stop"])))
-    df = df.withColumn("_pii_f", free).withColumn("_pii_x", F.filter("_pii_f", chosen))
+    df = df.withColumn("_pii_f", _outside(F.col("_pii_g"), F.col("_pii_b")))
+    chosen_spans = F.transform(F.filter("_pii_f", chosen), lambda x: F.struct(*(x[c].alias(c) for c in ("start", "stop", "kind", "match"))))
+    df = df.withColumn("_pii_x", chosen_spans)
     df = df.withColumn("_pii_base", _in_order(F.col("_pii_b"))).withColumn("_pii_all", _in_order(F.concat("_pii_b", "_pii_x")))
     return df.drop("_pii_digits", "_pii_b", "_pii_g", "_pii_f", "_pii_x", *base, *proposed)
 
@@ -361,17 +422,34 @@ def report(docs: DataFrame, *, key: str = "doc_id", text: str = "text", model: M
     return df.select(key, *counts, F.sha2(_joined(F.col("_pii_base")), 256).alias("base_sha256"), _joined(F.col("_pii_all")).alias("spans"), F.size("_pii_all").cast("long").alias("n_spans"), F.size(F.filter("_pii_all", _of_kind("secret"))).cast("long").alias("n_secret"))
 
 
+def _between(pages: Column, start: Column, stop: Column) -> Column:
+    """Code points from ``start`` to ``stop`` of a text given as pages of ``PAGE``; only pages in between are copied."""
+    first, last = F.floor(start / PAGE).cast("int"), F.floor(stop / PAGE).cast("int")
+    within, upto = (start % PAGE).cast("int"), (stop % PAGE).cast("int")
+    page = lambda k: F.coalesce(F.get(pages, k), F.lit(""))
+    inner = F.array_join(F.slice(pages, first + 2, F.greatest(last - first - 1, F.lit(0))), "")
+    long = F.concat(page(first).substr(within + 1, F.lit(PAGE)), inner, page(last).substr(F.lit(1), upto))
+    return F.when(first == last, page(first).substr(within + 1, F.greatest(stop - start, F.lit(0)).cast("int"))).otherwise(long)
+
+
+def _redacted(text: Column, spans: Column) -> Column:
+    """The text with each span, or run of overlapping ones, replaced by the kind of its first."""
+
+    def made(v: Column) -> Column:
+        def piece(x: Column, i: Column) -> Column:
+            mark = lambda at: F.when(x["start"] >= at, F.concat(_between(v["pages"], at, x["start"]), F.lit("["), F.upper(x["kind"]), F.lit("]"))).otherwise("")
+            return _let(F.get(v["reach"], i), mark)
+
+        tail = _between(v["pages"], F.array_max(F.transform(v["spans"], lambda x: x["stop"])), v["n"])
+        return F.concat(F.array_join(F.transform(v["spans"], piece), ""), tail)
+
+    reach = lambda s: _running(F.transform(s, lambda x: x["stop"].cast("bigint")), F.lit(0), _most)
+    pages = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{PAGE}}}"), F.lit(0))
+    return _let(spans, lambda s: _let(F.struct(s.alias("spans"), reach(s).alias("reach"), pages.alias("pages"), F.length(text).cast("bigint").alias("n")), made))
+
+
 def redact(docs: DataFrame, *, text: str = "text", model: Model | None = None) -> DataFrame:
     """``docs`` with every span in ``text`` replaced by its kind in brackets; overlaps become one."""
     df = with_spans(docs, text=text, model=model)
-    t = F.col("_pii_t")
-    state = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast("array<string>").alias("out"))
-
-    def step(a: Column, x: Column) -> Column:
-        fresh = x["start"] >= a["at"]
-        before = t.substr(a["at"].cast("int") + 1, F.greatest(x["start"] - a["at"], F.lit(0)).cast("int"))
-        more = F.when(fresh, F.array(before, F.concat(F.lit("["), F.upper(x["kind"]), F.lit("]")))).otherwise(F.array().cast("array<string>"))
-        return F.struct(F.greatest(a["at"], x["stop"]).alias("at"), F.concat(a["out"], more).alias("out"))
-
-    whole = F.aggregate("_pii_all", state, step, lambda a: F.concat(F.array_join(a["out"], ""), t.substr(a["at"].cast("int") + 1, F.length(t))))
+    whole = _redacted(F.col("_pii_t"), F.col("_pii_all"))
     return df.withColumn(text, F.when(F.size("_pii_all") > 0, whole).otherwise(F.col(text))).drop("_pii_t", "_pii_base", "_pii_all")
