@@ -11,7 +11,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -64,3 +64,15 @@ def with_columns(df: DataFrame, text: str, added: list[T.StructField], make: Mak
 
     rows = df.select(*(F.col(quoted(f.name)) for f in kept), F.col(quoted(text)).cast("string").alias(source))
     return rows.mapInArrow(run, T.StructType([*kept, *added]))
+
+
+SHORT = 64
+
+
+def short_keys(first: str, second: str) -> list[Column]:
+    """Range keys that order rows as (first, second) does, up to rows that share long starts, which stay together.
+
+    Spark samples range keys to the driver, so whole texts must not be keys.
+    """
+    start = F.substring(first, 1, SHORT)
+    return [start, F.when(F.length(first) < SHORT, F.substring(second, 1, SHORT)).otherwise("")]

@@ -29,6 +29,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .batches import short_keys
 from .store import shuffle_partitions
 
 # Fixed values of the template.
@@ -98,7 +99,7 @@ def format_chunks(turns: DataFrame, *, conv: str = "conv_id", turn: str = "turn"
     rows = turns.select(
         F.col(conv).cast("long").alias("c"), F.col(turn).cast("long").alias("n"), F.coalesce(F.col(role), empty).alias("r"), F.coalesce(F.col(text), empty).alias("x")
     )
-    dealt = rows.repartitionByRange(shuffle_partitions(turns.sparkSession), "c", "n", "r", "x").sortWithinPartitions("c", "n", "r", "x")
+    dealt = rows.repartitionByRange(shuffle_partitions(turns.sparkSession), "c", "n", *short_keys("r", "x")).sortWithinPartitions("c", "n", "r", "x")
 
     def fmt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext

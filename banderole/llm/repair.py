@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .batches import quoted
+from .batches import quoted, short_keys
 from .store import materialise, shuffle_partitions
 
 # What edits cost.
@@ -167,8 +167,7 @@ def counted(turns: DataFrame, *, conv: str, turn: str, role: str, text: str, tim
 def chunks(rows: DataFrame) -> DataFrame:
     """The rows of ``counted`` as consecutive chunks of one conversation each, with their cost tables."""
     spark = rows.sparkSession
-    # the start of a text keeps the bounds that Spark samples small; within a partition whole texts sort
-    dealt = rows.repartitionByRange(shuffle_partitions(spark), "c", "n", "r", F.substring("x", 1, 64)).sortWithinPartitions("c", "n", "r", "x")
+    dealt = rows.repartitionByRange(shuffle_partitions(spark), "c", "n", *short_keys("r", "x")).sortWithinPartitions("c", "n", "r", "x")
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext

@@ -42,3 +42,13 @@ def test_chunks_split_a_long_conversation(spark):
 def test_empty_table(spark):
     df = spark.createDataFrame([], "conv_id long, turn long, role string, text string")
     assert chat.read_back(chat.format_conversations(df)).count() == 0
+
+
+def test_long_roles_and_texts_that_start_alike_keep_their_order(spark):
+    import random
+
+    rows = [(1, i % 3, "r" * (60 + i % 9), "t" * (i % 130) + str(i)) for i in range(400)]
+    random.Random(2).shuffle(rows)
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(7)
+    every = "".join(f"{r}\n{x}\n" for _, _, r, x in sorted(rows))
+    assert chat.read_back(chat.format_conversations(df)).first()["turns_sha256"] == hashlib.sha256(every.encode()).hexdigest()
