@@ -332,14 +332,18 @@ def _sql_values(rows: list[tuple]) -> str:
 
 
 def expected(inputs: list[str], outputs: str, rows: list[tuple]):
-    """Register a query over fixture rows whose results are stated next to their inputs."""
+    """Register a query over the parts: each has one of the cells, in turn, some with white space around it; the SQL states what a cell means."""
     names = [*inputs, *(x.split()[0] for x in outputs.split(", "))]
-    sql = f"SELECT * FROM (VALUES {_sql_values(rows)}) AS t({', '.join(names)})"
+    cells = ", ".join(f"lpad('', CAST(p_partkey % 3 AS INTEGER), ' ') || c.{n} || lpad('', CAST(p_partkey % 2 AS INTEGER), chr(9)) AS {n}" for n in inputs)
+    sql = f"SELECT p_partkey, {cells}, {', '.join(names[len(inputs):])} FROM part JOIN (VALUES {_sql_values([(i, *r) for i, r in enumerate(rows)])}) AS c(i, {', '.join(names)}) ON p_partkey % {len(rows)} = i"
 
     def put(f):
         def go(spark, sf):
-            given = values(spark, [r[: len(inputs)] for r in rows], ", ".join(f"{n} string" for n in inputs))
-            return f(given)
+            given = values(spark, [(str(i), *r[: len(inputs)]) for i, r in enumerate(rows)], ", ".join(f"{n} string" for n in ("i", *inputs)))
+            k = F.col("p_partkey")
+            dressed = [F.concat(F.repeat(F.lit(" "), (k % 3).cast("int")), F.col(n), F.repeat(F.lit("\t"), (k % 2).cast("int"))).alias(n) for n in inputs]
+            parts = table(spark, sf, "part").select("p_partkey").join(given, (k % len(rows)).cast("string") == F.col("i"))
+            return f(parts.select("p_partkey", *dressed))
 
         go.__name__ = f.__name__
         query(sql)(go)
@@ -371,7 +375,7 @@ GRADE_CASES = [
 
 @expected(["raw"], "band, variant, senior", GRADE_CASES)
 def normalise_grade(df):
-    return df.select("raw", classify.grade(F.col("raw")).alias("g")).select("raw", "g.band", "g.variant", "g.senior")
+    return df.select("p_partkey", "raw", classify.grade(F.col("raw")).alias("g")).select("p_partkey", "raw", "g.band", "g.variant", "g.senior")
 
 
 PROFESSION_CASES = [
@@ -391,7 +395,7 @@ PROFESSION_CASES = [
 
 @expected(["grp", "title"], "prof, source", PROFESSION_CASES)
 def normalise_profession(df):
-    return df.select("grp", "title", classify.profession(F.col("grp"), F.col("title")).alias("p")).select("grp", "title", "p.prof", "p.source")
+    return df.select("p_partkey", "grp", "title", classify.profession(F.col("grp"), F.col("title")).alias("p")).select("p_partkey", "grp", "title", "p.prof", "p.source")
 
 
 STATUS_CASES = [
@@ -410,7 +414,7 @@ STATUS_CASES = [
 
 @expected(["name"], "status, holder", STATUS_CASES)
 def post_status(df):
-    return df.select("name", classify.status(F.col("name")).alias("status"), classify.holder(F.col("name")).alias("holder"))
+    return df.select("p_partkey", "name", classify.status(F.col("name")).alias("status"), classify.holder(F.col("name")).alias("holder"))
 
 
 NUMBER_CASES = [("£120,000", 120000.0, None), ("N/A", None, None), ("0.80", 0.8, 0.8), ("12", 12.0, None), ("1.00", 1.0, 1.0), ("", None, None), ("-", None, None), ("70000-74999", 70000.0, None)]
@@ -418,63 +422,79 @@ NUMBER_CASES = [("£120,000", 120000.0, None), ("N/A", None, None), ("0.80", 0.8
 
 @expected(["cell"], "money, fte", NUMBER_CASES)
 def parse_money_fte(df):
-    return df.select("cell", classify.money(F.col("cell")).alias("money"), classify.fte(F.col("cell")).alias("fte"))
-
-
-DATE_CASES = [
-    ("https://x/2025-08-13T11-08-22Z-2025-06-30-organogram-senior.csv", "", "2025-06-30", "declared", "url"),
-    ("https://x/organogram/dept/31/3/2012/a.csv", "", "2012-03-31", "declared", "url"),
-    ("https://x/f__30-09-2013__.csv", "", "2013-09-30", "declared", "url"),
-    ("https://x/hmt_seniorstaffposts_jun2010.csv", "", "2010-06-30", "inferred", "url-month"),
-    ("https://x/2019-03-07T10-00-00Z-a.csv", "Senior CSV data March 2019", "2019-03-31", "inferred", "resource-name"),
-    ("https://x/2019-03-07T10-00-00Z-a.csv", "", "2018-12-31", "default", "upload-stamp"),
-    ("https://x/a.csv", "", None, None, "none"),
-]
-
-
-@expected(["url", "resource"], "date, confidence, basis", DATE_CASES)
-def reference_date(df):
-    none = F.lit("")
-    r = dates.reference_date(F.col("url"), none, none, F.lit(None).cast("string"), F.col("resource"))
-    return df.select("url", "resource", r.alias("r")).select("url", "resource", F.col("r.date").cast("string").alias("date"), "r.confidence", "r.basis")
-
-
-SUPPRESSED_CASES = [("x", None, "unreliable"), ("..", None, "disclosive"), ("[c]", None, "confidential"), ("52,100", 52100.0, None), ("", None, "blank"), ("abc", None, "unparseable"), ("0", 0.0, None)]
-
-
-@expected(["cell"], "value, reason", SUPPRESSED_CASES)
-def suppression_decode(df):
-    return df.select("cell", classify.suppressed_cell(F.col("cell")).alias("c")).select("cell", "c.value", "c.reason")
-
-
-FIGURE_CASES = [
-    ("100", "50", None, "2026-01-31", True, 100.0, None, ""),
-    ("100", "20", None, "2026-01-31", False, None, "insufficient", ""),
-    ("0", "50", None, "2026-01-31", False, None, "suppressed", ""),
-    ("100", None, None, "2023-01-31", True, 100.0, None, "n-unknown,stale"),
-    ("100", "50", "disclosive", "2026-01-31", False, None, "suppressed", ""),
-    (None, "50", None, "2026-01-31", False, None, "not-published", ""),
-]
-
-
-@expected(["v", "n", "sup", "day"], "ok, value, reason, caveats", FIGURE_CASES)
-def figure_gate(df):
-    f = comparators.figure(F.col("v").cast("double"), F.col("n").cast("long"), F.col("sup"), F.lit(True), F.col("day").cast("date"), F.lit("2026-06-30").cast("date"), F.lit(False))
-    return df.select("v", "n", "sup", "day", f.alias("f")).select("v", "n", "sup", "day", "f.ok", "f.value", "f.reason", F.array_join("f.caveats", ",").alias("caveats"))
-
-
-FORMAT_CASES = [
-    ("145000", "149999", "£145,000–£149,999", "£145,000–£150,000", "£145k"),
-    ("1234567", "1234567", "£1,234,567", "£1,230,000–£1,240,000", "£1.2m"),
-    ("12500000000", "12500000000", "£12,500,000,000", "£12,500,000,000", "£13bn"),
-    (None, "90000", "£90,000", "—", "—"),
-]
-
-
-@expected(["lo", "hi"], "band, rounded, compact", FORMAT_CASES)
-def format_bands(df):
-    lo, hi = F.col("lo").cast("double"), F.col("hi").cast("double")
-    return df.select("lo", "hi", fmt.band(lo, hi).alias("band"), fmt.rounded_band(lo, hi).alias("rounded"), fmt.gbp_compact(lo).alias("compact"))
+    return df.select("p_partkey", "cell", classify.money(F.col("cell")).alias("money"), classify.fte(F.col("cell")).alias("fte"))
+
+
+_DATED = """o AS (SELECT o_orderkey AS k, CAST(CAST(o_orderdate AS DATE) + INTERVAL 15 YEAR AS DATE) AS d, o_orderkey % 8 AS kind FROM orders),
+q AS (SELECT *, last_day(make_date(year(d), CAST(quarter(d) * 3 AS INTEGER), 1)) AS quarter_end, CAST(date_trunc('quarter', d) AS DATE) - 1 AS quarter_before FROM o)"""
+
+
+@query(f"""WITH {_DATED}
+SELECT k, CAST(CASE WHEN kind IN (0, 1, 2) THEN d WHEN kind IN (3, 4) THEN quarter_end WHEN kind IN (5, 6) THEN CASE WHEN quarter_end <= d THEN quarter_end ELSE quarter_before END END AS VARCHAR) AS date,
+  CASE WHEN kind <= 2 THEN 'declared' WHEN kind <= 4 THEN 'inferred' WHEN kind <= 6 THEN 'default' END AS confidence,
+  (['url', 'url', 'url', 'url-month', 'resource-name', 'upload-stamp', 'upload-stamp', 'none'])[kind + 1] AS basis FROM q""")
+def reference_date(spark, sf):
+    """Files named after order dates, 15 years on, in every form that is published, by key modulo 8; the last has no date."""
+    d, kind = F.col("d"), F.col("k") % 8
+    stamp = F.date_format(d, "yyyy-MM-dd'T'10-00-00'Z'")
+    url = (
+        F.when(kind == 0, F.concat(F.lit("https://x/2025-08-13T11-08-22Z-"), d.cast("string"), F.lit("-organogram-senior.csv")))
+        .when(kind == 1, F.concat(F.lit("https://x/organogram/dept/"), F.date_format(d, "d/M/yyyy"), F.lit("/a.csv")))
+        .when(kind == 2, F.concat(F.lit("https://x/f__"), F.date_format(d, "dd-MM-yyyy"), F.lit("__.csv")))
+        .when(kind == 3, F.concat(F.lit("https://x/seniorstaffposts_"), F.lower(F.date_format(d, "MMMyyyy")), F.lit(".csv")))
+        .when(kind.isin(4, 5), F.concat(F.lit("https://x/"), stamp, F.lit("-a.csv")))
+        .otherwise("https://x/a%20b.csv")
+    )
+    o = table(spark, sf, "orders").select(F.col("o_orderkey").alias("k"), F.add_months(F.col("o_orderdate").cast("date"), 180).alias("d"))
+    named = F.when(kind == 4, F.concat(F.lit("Senior CSV data "), F.date_format(d, "MMMM yyyy"))).otherwise("")
+    made = o.select("k", url.alias("url"), named.alias("resource"), F.when(kind == 6, d.cast("string")).alias("uploaded"))
+    r = dates.reference_date(F.col("url"), F.lit(""), F.lit(""), F.col("uploaded"), F.col("resource"))
+    return made.select("k", r.alias("r")).select("k", F.col("r.date").cast("string").alias("date"), "r.confidence", "r.basis")
+
+
+@query("""WITH c AS (SELECT p_partkey AS k, p_partkey % 8 AS kind, CAST(floor(p_retailprice * 10) AS BIGINT) AS v FROM part)
+SELECT k, CASE WHEN kind IN (0, 1, 2) THEN v WHEN kind = 3 THEN 0 END::DOUBLE AS value, (['unreliable', 'disclosive', 'confidential', 'unparseable', 'blank'])[CASE WHEN kind = 4 THEN 1 + k % 3 WHEN kind = 5 THEN 4 WHEN kind >= 6 THEN 5 END] AS reason FROM c""")
+def suppression_decode(spark, sf):
+    """Prices as published cells: plain, with commas, with a pound sign, zero, markers, words, empty."""
+    k, v = F.col("p_partkey"), F.floor(F.col("p_retailprice") * 10)
+    kind = k % 8
+    marker = F.get(F.array(*map(F.lit, ("X", "..", "[c]"))), (k % 3).cast("int"))
+    cell = (
+        F.when(kind == 0, v.cast("string")).when(kind == 1, F.format_number(v, 0)).when(kind == 2, F.concat(F.lit(" £"), F.format_number(v, 0), F.lit(" "))).when(kind == 3, "0").when(kind == 4, marker).when(kind == 5, F.col("p_name")).when(kind == 6, " ")
+    )
+    return table(spark, sf, "part").select(k.alias("k"), classify.suppressed_cell(cell).alias("c")).select("k", "c.value", "c.reason")
+
+
+@query("""WITH f AS (SELECT p_partkey AS k, CASE WHEN p_partkey % 5 = 0 THEN 0 WHEN p_partkey % 7 <> 0 THEN CAST(p_retailprice AS DOUBLE) END AS v, CASE WHEN p_partkey % 3 <> 0 THEN p_size END AS n, p_partkey % 11 = 0 AS sup, p_partkey % 13 = 0 AS hidden,
+  DATE '2026-06-30' - CAST(p_partkey % 900 AS INTEGER) AS day, p_partkey % 17 = 0 AS corrected FROM part),
+g AS (SELECT *, CASE WHEN sup THEN 'suppressed' WHEN hidden OR v IS NULL THEN 'not-published' WHEN v = 0 THEN 'suppressed' WHEN n < 30 THEN 'insufficient' END AS reason FROM f)
+SELECT k, reason IS NULL AS ok, CASE WHEN reason IS NULL THEN v END AS value, reason, CASE WHEN reason IS NULL THEN concat_ws(',', CASE WHEN n IS NULL THEN 'n-unknown' END, CASE WHEN floor((DATE '2026-06-30' - day) / 30.436875) > 14 THEN 'stale' END, CASE WHEN corrected THEN 'correction' END) ELSE '' END AS caveats FROM g""")
+def figure_gate(spark, sf):
+    """Prices as figures with a sample size, a marker, a day and a correction, each missing or bad for some keys."""
+    k, today = F.col("p_partkey"), F.lit("2026-06-30").cast("date")
+    v = F.when(k % 5 == 0, 0.0).when(k % 7 != 0, F.col("p_retailprice").cast("double"))
+    f = comparators.figure(v, F.when(k % 3 != 0, F.col("p_size")), F.when(k % 11 == 0, "disclosive"), k % 13 != 0, F.date_sub(today, (k % 900).cast("int")), today, k % 17 == 0)
+    return table(spark, sf, "part").select(k.alias("k"), f.alias("f")).select("k", "f.ok", "f.value", "f.reason", F.array_join("f.caveats", ",").alias("caveats"))
+
+
+@query("""WITH b AS (SELECT o_orderkey AS k, CASE WHEN o_orderkey % 9 <> 0 THEN floor(o_totalprice / 5000) * 5000 * CASE WHEN o_orderkey % 4 = 1 THEN 1000 WHEN o_orderkey % 4 = 2 THEN 1000000 ELSE 1 END END AS lo,
+  floor(o_totalprice / 5000) * 5000 * CASE WHEN o_orderkey % 4 = 1 THEN 1000 WHEN o_orderkey % 4 = 2 THEN 1000000 ELSE 1 END + CASE WHEN o_orderkey % 4 = 3 THEN 0 ELSE 4999 END AS hi FROM orders),
+s AS (SELECT *, CASE WHEN hi > 0 THEN greatest(1000, pow(10, floor(log10(hi)) - 2)) ELSE 1000 END AS step FROM b),
+r AS (SELECT *, '£' || format('{:,}', CAST(lo AS BIGINT)) AS l, '£' || format('{:,}', CAST(hi AS BIGINT)) AS h, '£' || format('{:,}', CAST(floor(lo / step) * step AS BIGINT)) AS rl, '£' || format('{:,}', CAST(ceil(hi / step) * step AS BIGINT)) AS rh FROM s)
+SELECT k, CASE WHEN lo IS NULL OR lo = hi THEN h ELSE l || '–' || h END AS band, CASE WHEN lo IS NULL THEN '—' WHEN rl = rh THEN rl ELSE rl || '–' || rh END AS rounded FROM r""")
+def format_bands(spark, sf):
+    """Order totals as bands in pounds, thousands and millions of them; some have one edge, some a single value."""
+    k, base = F.col("o_orderkey"), F.floor(F.col("o_totalprice") / 5000) * 5000.0
+    by = F.when(k % 4 == 1, 1000).when(k % 4 == 2, 1_000_000).otherwise(1)
+    lo, hi = F.when(k % 9 != 0, base * by), base * by + F.when(k % 4 == 3, 0).otherwise(4999)
+    return table(spark, sf, "orders").select(k.alias("k"), fmt.band(lo, hi).alias("band"), fmt.rounded_band(lo, hi).alias("rounded"))
+
+
+@query("""SELECT c_custkey AS k, CASE WHEN a >= 1e3 THEN '£' || CAST(floor(v / 1e3 + 0.5) AS BIGINT) || 'k' ELSE '£' || CAST(floor(v + 0.5) AS BIGINT) END AS compact, CASE WHEN v >= 0 THEN '+' ELSE '' END || format('{:.1f}%', v / 7 + 0.003) AS change
+FROM (SELECT *, CAST(c_acctbal AS DOUBLE) AS v, abs(CAST(c_acctbal AS DOUBLE)) AS a FROM customer)""")
+def format_figures(spark, sf):
+    v = F.col("c_acctbal").cast("double")
+    return table(spark, sf, "customer").select(F.col("c_custkey").alias("k"), fmt.gbp_compact(v).alias("compact"), fmt.pct(v / 7 + 0.003).alias("change"))
 
 
 @query(f"""WITH a AS (SELECT s_nationkey AS k, avg(s_acctbal) AS v FROM supplier GROUP BY 1), b AS (SELECT c_nationkey AS k, avg(c_acctbal) AS other FROM customer GROUP BY 1)
