@@ -25,7 +25,7 @@ def block_sha(text: Column) -> Column:
 def review_state(blocks: DataFrame, approvals: DataFrame) -> DataFrame:
     """Each block's state against its approval: not-found, parse-empty, unreviewed, changed, verified;
     ``live`` values only from verified or just approved blocks."""
-    joined = blocks.join(F.broadcast(approvals.select("id", F.col("sha").alias("approved_sha"))), "id", "left").withColumn("sha", block_sha(F.col("text")))
+    joined = blocks.join(approvals.select("id", F.col("sha").alias("approved_sha")), "id", "left").withColumn("sha", block_sha(F.col("text")))
     state = (
         F.when(F.col("text").isNull(), "not-found")
         .when(F.col("parsed").isNull(), "parse-empty")

@@ -47,23 +47,22 @@ def best_window(chosen: DataFrame) -> DataFrame:
     """The window of periods with the most organisations x periods, the earliest such one.
 
     An organisation's runs of consecutive periods are islands; a window a..b counts the
-    organisations with an island that covers it.  Periods are few, so windows are a self-join of
-    the period axis; organisations only enter as counts per island.
+    organisations with an island that covers it.  A best window ends where an island does, so for each first period the
+    islands that hold it are added up from the latest end to the earliest.
     """
     axis = chosen.select("period").distinct().withColumn("i", F.row_number().over(Window.orderBy("period")))
-    at = chosen.select("org", "period").distinct().join(F.broadcast(axis), "period")
+    at = chosen.select("org", "period").distinct().join(axis, "period")
     island = F.col("i") - F.row_number().over(Window.partitionBy("org").orderBy("i"))
     runs = at.withColumn("island", island).groupBy("org", "island").agg(F.min("i").alias("lo"), F.max("i").alias("hi"))
-    counted = runs.groupBy("lo", "hi").agg(F.count("*").alias("orgs"))
-    a, b = axis.select(F.col("period").alias("first"), F.col("i").alias("a")), axis.select(F.col("period").alias("last"), F.col("i").alias("b"))
-    windows = a.join(b, F.col("a") <= F.col("b"))
-    covered = windows.join(F.broadcast(counted), (F.col("lo") <= F.col("a")) & (F.col("hi") >= F.col("b")))
-    scored = covered.groupBy("first", "last", "a", "b").agg(F.sum("orgs").cast("long").alias("orgs"))
-    scored = scored.withColumn("score", F.col("orgs") * (F.col("b") - F.col("a") + 1))
-    return scored.orderBy(F.desc("score"), "a", "b").limit(1).select("first", "last", "orgs", "score")
+    counted = runs.groupBy("lo", "hi").agg(F.count("*").alias("n"))
+    ends = counted.select(F.explode(F.sequence("lo", "hi")).alias("a"), F.col("hi").alias("b"), "n").groupBy("a", "b").agg(F.sum("n").cast("long").alias("n"))
+    scored = ends.withColumn("orgs", F.sum("n").over(Window.partitionBy("a").orderBy(F.desc("b")))).withColumn("score", F.col("orgs") * (F.col("b") - F.col("a") + 1))
+    best = scored.orderBy(F.desc("score"), "a", "b").limit(1)
+    first, last = axis.select(F.col("period").alias("first"), F.col("i").alias("a")), axis.select(F.col("period").alias("last"), F.col("i").alias("b"))
+    return best.join(first, "a").join(last, "b").select("first", "last", "orgs", "score")
 
 
 def out_of_window(snapshots: DataFrame, orgs: DataFrame) -> DataFrame:
     """Filings outside their organisation's validity."""
     inside = dates.live_at(F.col("valid_from"), F.col("valid_to"), F.col("date"))
-    return snapshots.join(F.broadcast(orgs.select("org", "valid_from", "valid_to")), "org").where(~inside)
+    return snapshots.join(orgs.select("org", "valid_from", "valid_to"), "org").where(~inside)

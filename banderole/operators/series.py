@@ -27,6 +27,7 @@ class Filter:
     """What to look at.  ``None`` leaves a dimension unfiltered."""
 
     orgs: tuple | None = None
+    families: tuple | None = None
     grades: tuple | None = None
     profs: tuple | None = None
     ddat: bool | None = None
@@ -89,9 +90,11 @@ def scoped_filings(cube: DataFrame, orgs: DataFrame, f: Filter, dimension: str,
     """Chosen filings after tier, selection, constant scope and lineage."""
     chosen = in_range(periods.chosen_filings(cubes.snapshots(cube), f.grain), f)
     wanted = orgs if f.tier == "AB" else orgs.where(F.col("tier") == f.tier)
+    if f.families is not None:
+        wanted = wanted.where(F.col("family").isin(*f.families))
     if f.orgs is not None:
         wanted = wanted.where(F.col("org").isin(*f.orgs))
-    chosen = chosen.join(F.broadcast(wanted.select("org", "family", "tier")), "org")
+    chosen = chosen.join(wanted.select("org", "family", "tier"), "org")
     if f.constant_scope:
         chosen = chosen.join(periods.constant_scope(chosen).select("org"), "org", "left_semi")
     if f.lineage and edges is not None and dimension in POOLING:
@@ -100,17 +103,26 @@ def scoped_filings(cube: DataFrame, orgs: DataFrame, f: Filter, dimension: str,
     return chosen
 
 
-def histogram(cube: DataFrame, filings: DataFrame, f: Filter, dimension: str, by_grade: bool = False) -> DataFrame:
-    """(group_key, period[, grade], bin_low, bin_high) with summed measures and org sets."""
+def grouped_cells(cube: DataFrame, filings: DataFrame, f: Filter, dimension: str) -> DataFrame:
+    """The cells of the chosen filings that the filter keeps, with their group."""
     at = filings.select("org", "date", "family", "tier", "period", "period_end", "period_year")
-    cells = cube.where(f.cells()).join(F.broadcast(at), ["org", "date"])
+    return cube.where(f.cells()).join(at, ["org", "date"]).withColumn("group_key", group_key(dimension, f.tier == "AB"))
+
+
+def histogram(cube: DataFrame, filings: DataFrame, f: Filter, dimension: str, by_grade: bool = False) -> DataFrame:
+    """(group_key, period[, grade], bin_low, bin_high) with summed measures."""
     keys = ["group_key", "period", "period_end", "period_year", *(["grade"] if by_grade else []), "bin_low", "bin_high"]
-    cells = cells.withColumn("group_key", group_key(dimension, f.tier == "AB"))
-    return cells.groupBy(*keys).agg(*(F.sum(m).cast("long").alias(m) for m in cubes.MEASURES), F.collect_set("org").alias("orgs"))
+    return grouped_cells(cube, filings, f, dimension).groupBy(*keys).agg(*(F.sum(m).cast("long").alias(m) for m in cubes.MEASURES))
+
+
+def filed(cube: DataFrame, filings: DataFrame, f: Filter, dimension: str) -> DataFrame:
+    """(group_key, period, orgs_filed): organisations with a cell; counted apart, so that no sum carries sets of them."""
+    each = grouped_cells(cube, filings, f, dimension).select("group_key", "period", "org").distinct()
+    return each.groupBy("group_key", "period").agg(F.count("*").cast("int").alias("orgs_filed"))
 
 
 def totals(hist: DataFrame) -> DataFrame:
-    """(group_key, period) with headcount, banded counts, money and organisations."""
+    """(group_key, period) with headcount, banded counts and money."""
     banded = F.col("bin_low") >= 0
     add = lambda c, name, test=None: F.coalesce(F.sum(F.when(test, c) if test is not None else c), F.lit(0)).cast("long").alias(name)
     return hist.groupBy("group_key", "period", "period_end", "period_year").agg(
@@ -119,7 +131,6 @@ def totals(hist: DataFrame) -> DataFrame:
         add(F.col("n"), "open_band", F.col("bin_low") == -2),
         add(F.col("n"), "n_banded", banded),
         add(F.col("fte100"), "fte100_banded", banded),
-        F.size(F.array_distinct(F.flatten(F.collect_list("orgs")))).alias("orgs_filed"),
     )
 
 
@@ -202,7 +213,7 @@ def series(
     filings = scoped_filings(cube, orgs, f, dimension, edges)
     want = [m for m in measures if m in QUANTILES]
     hist = histogram(cube, filings, f, dimension, by_grade=reweight)
-    t = totals(hist)
+    t = totals(hist).join(filed(cube, filings, f, dimension), ["group_key", "period"])
     out = t
     for m in measures:
         if m in RATES:
