@@ -146,7 +146,7 @@ def walk(rows: list[tuple[str, str, str, int]], costs: list[Costs], state: int,
             yield "I", role_in, "", state
 
 
-CHUNKS = "conv long, part int, chunk int, turns array<bigint>, roles array<string>, texts array<string>, times array<bigint>, seen array<boolean>, ways array<bigint>"
+CHUNKS = "conv long, part int, chunk int, turns array<bigint>, roles array<string>, texts array<string>, times array<bigint>, faults array<string>, ways array<bigint>"
 
 
 def counted(turns: DataFrame, *, conv: str, turn: str, role: str, text: str, times: Column | None = None) -> DataFrame:
@@ -159,45 +159,46 @@ def counted(turns: DataFrame, *, conv: str, turn: str, role: str, text: str, tim
     once = rows.groupBy("c", "n", "r", "x").agg(F.sum("m").alias("m"))
     key = F.sha2(F.concat_ws(":", F.coalesce(F.col("c").cast("string"), space), F.length("r").cast("string"), "r", "x"), 256)
     once = once.withColumn("k", key)
-    place = F.struct(F.col("n").isNotNull().alias("known"), F.coalesce("n", F.lit(0)).alias("n"))
-    first = once.groupBy("k").agg(F.min(place).alias("first"))
-    return once.join(first, "k").select("c", "n", "r", "x", "m", (place > F.col("first")).alias("seen"))
+    first = once.groupBy("k").agg(F.min("n").alias("first"), F.bool_or(F.col("n").isNull()).alias("ahead"))
+    seen = F.col("n").isNotNull() & (F.col("ahead") | (F.col("n") > F.col("first")))  # a null turn is ahead of all
+    return once.join(first, "k").select("c", "n", "r", "x", "m", seen.alias("seen"))
 
 
 def chunks(rows: DataFrame) -> DataFrame:
-    """The rows of ``counted`` as consecutive chunks of one conversation each, with their cost tables."""
+    """The rows of ``counted`` as consecutive chunks of one conversation each; a chunk that isn't surely all of its conversation has its cost table."""
     spark = rows.sparkSession
     dealt = rows.repartitionByRange(shuffle_partitions(spark), "c", "n", *short_keys("r", "x")).sortWithinPartitions("c", "n", "r", "x")
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        part, chunk, out, held, size, conv = TaskContext.get().partitionId(), 0, [], [], 0, None
+        part, chunk, out, held, size, conv, begun = TaskContext.get().partitionId(), 0, [], [], 0, None, False
 
-        def flush() -> None:
-            nonlocal chunk, held, size
+        def flush(over: bool) -> None:
+            """``over``: the conversation ends here; ``begun``: this chunk is where it began."""
+            nonlocal chunk, held, size, begun
             n, r, x, m, seen = map(list, zip(*held))
-            ways = table([(role, fault(text, dup), k) for role, text, k, dup in zip(r, x, m, seen)])
-            out.append((conv, part, chunk, n, r, x, m, seen, ways))
-            chunk, held, size = chunk + 1, [], 0
+            kinds = [fault(text, dup) for text, dup in zip(x, seen)]
+            out.append((conv, part, chunk, n, r, x, m, kinds, None if over and begun else table(list(zip(r, kinds, m)))))
+            chunk, held, size, begun = chunk + 1, [], 0, over
 
         def made() -> pa.RecordBatch:
             nonlocal out
-            kinds = [pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.string()), pa.list_(pa.string()), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.int64())]
+            kinds = [pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.string()), pa.list_(pa.string()), pa.list_(pa.int64()), pa.list_(pa.string()), pa.list_(pa.int64())]
             rows, out = out, []
             return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)], names=[c.split()[0] for c in CHUNKS.split(", ")])
 
         for b in batches:
             for c, *row in zip(*(b.column(name).to_pylist() for name in ("c", "n", "r", "x", "m", "seen"))):
                 if held and (c != conv or len(held) == CHUNK_ROWS or size >= CHUNK_BYTES):
-                    flush()
+                    flush(c != conv)
                 conv = c
                 held.append(row)
                 size += len(row[1]) + len(row[2])
             if out:
                 yield made()
         if held:
-            flush()
+            flush(False)
         if out:
             yield made()
 
@@ -214,20 +215,20 @@ class Repair:
     def __init__(self, conv: int | None):
         self.conv, self.ways, self.at = conv, [], 0
         self.costs: list[Costs] | None = None
+        self.total = 0
         self.state, self.audit = 0, []
         self.counts = dict.fromkeys(("blank", "duplicate", "truncated", "illegal"), 0)
         self.low = self.high = self.previous = self.turn = None
         self.distinct = 0
         self.sha, self.any = hashlib.sha256(), False
 
-    def add(self, turns: list, roles: list, texts: list, times: list, seen: list) -> Iterator[tuple[str, str]]:
+    def add(self, turns: list, roles: list, texts: list, times: list, kinds: list) -> Iterator[tuple[str, str]]:
         """The repaired turns that the chunk gives."""
-        if self.costs is None:
+        if self.costs is None:  # before each chunk but the first, and the end
             self.costs = [END]
-            for way in reversed(self.ways):
+            for way in reversed(self.ways[1:]):
                 self.costs.append(through(way, self.costs[-1]))
             self.costs.reverse()
-        kinds = [fault(x, d) for x, d in zip(texts, seen)]
         for n, role, kind, m in zip(turns, roles, kinds, times):
             if n is not None:
                 if n != self.turn:
@@ -245,10 +246,11 @@ class Repair:
             if first + first not in LEGAL:
                 self.counts["illegal"] += m - 1
             self.previous = first
-        self.at += 1
-        ahead = self.costs[self.at]
         rows = list(zip(roles, texts, kinds, times))
-        costs = cost_to_go([(r, k, m) for r, _, k, m in rows], ahead)
+        costs = cost_to_go(list(zip(roles, kinds, times)), self.costs[self.at])
+        self.at += 1
+        if self.at == 1:
+            self.total = costs[0][0]
         for edit, role, text, self.state in walk(rows, costs, self.state, self.at == len(self.ways)):
             self.audit.append(edit)
             if edit != "D":
@@ -258,7 +260,7 @@ class Repair:
 
     def row(self) -> tuple:
         gaps = 0 if self.low is None else self.high - self.low + 1 - self.distinct
-        return self.conv, gaps, *self.counts.values(), self.costs[0][0], "".join(self.audit), self.sha.hexdigest()
+        return self.conv, gaps, *self.counts.values(), self.total, "".join(self.audit), self.sha.hexdigest()
 
 
 def _repair(turns: DataFrame, texts: bool, names: dict[str, str], times: Column | None) -> DataFrame:
@@ -289,7 +291,7 @@ def _repair(turns: DataFrame, texts: bool, names: dict[str, str], times: Column
                 if kind == 0:
                     now.ways.append(b.column("ways")[i].as_py())
                     continue
-                for role, text in now.add(*(b.column(c)[i].as_py() for c in ("turns", "roles", "texts", "times", "seen"))):
+                for role, text in now.add(*(b.column(c)[i].as_py() for c in ("turns", "roles", "texts", "times", "faults"))):
                     if texts:
                         position, size = position + 1, size + len(text)
                         out.append((conv, position, role, text))
@@ -302,7 +304,7 @@ def _repair(turns: DataFrame, texts: bool, names: dict[str, str], times: Column
         if out:
             yield flush()
 
-    return both.select("conv", "kind", "turns", "roles", "texts", "times", "seen", "ways").mapInArrow(run, schema)
+    return both.select("conv", "kind", "turns", "roles", "texts", "times", "faults", "ways").mapInArrow(run, schema)
 
 
 def repaired(turns: DataFrame, *, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text", times: Column | None = None) -> DataFrame:
