@@ -77,3 +77,32 @@ def rounded_figure(c: Column) -> Column:
 
 def count_range(certain: Column, possible: Column) -> Column:
     return F.when(certain.isNull() | possible.isNull(), DASH).when(certain == possible, num(certain)).otherwise(F.concat(num(certain), F.lit("–"), num(possible)))
+
+
+# What each measure is called.
+LABELS = {
+    "medianPay": "Median pay band", "meanPay": "Mean pay", "p10": "Lowest decile", "p25": "Lower quartile", "p75": "Upper quartile", "p90": "Top decile", "paybill": "Senior pay bill", "headcount": "Senior posts",
+    "fte": "Senior FTE", "disclosureRate": "Disclosure rate", "disclosed": "Posts with a published band", "withheld": "Posts with pay withheld", "vacant": "Vacant posts", "eliminated": "Eliminated posts",
+    "openBand": "Posts with one band edge only", "posts": "Published post rows", "fteKnownRate": "Share with a published FTE", "medianPost": "Median pay band", "meanPost": "Mean pay", "meanFTE": "Mean pay per FTE",
+}
+SHARES = ("disclosureRate", "fteKnownRate")
+COUNTS = ("headcount", "disclosed", "withheld", "vacant", "eliminated", "openBand", "posts")
+MEANS = ("meanPay", "meanPost", "meanFTE")
+
+
+def measure_label(measure: Column) -> Column:
+    names = F.create_map(*(F.lit(x) for kv in LABELS.items() for x in kv))
+    return F.coalesce(F.try_element_at(names, measure), measure)
+
+
+def measure_unit(measure: Column) -> Column:
+    """The line under a figure."""
+    return (
+        F.when(measure.isin(*SHARES), "share of published senior posts").when(measure.isin("headcount", "posts"), "published senior posts").when(measure == "fte", "full-time equivalent")
+        .when(measure == "paybill", "£ per year, base pay, FTE-weighted").when(measure.isin(*COUNTS), "posts").otherwise("£ per year, base pay")
+    )
+
+
+def measure_text(measure: Column, value: Column) -> Column:
+    """A value as its measure prints: shares, counts, compact bills, rounded means, else pounds."""
+    return F.when(measure.isin(*SHARES), share(value)).when(measure == "fte", num(value, 1)).when(measure.isin(*COUNTS), num(value)).when(measure == "paybill", gbp_compact(value)).when(measure.isin(*MEANS), gbp_rounded(value)).otherwise(gbp(value))
