@@ -32,3 +32,19 @@ def test_long_plain_tokens_stay(spark):
     text = "see /" + "/".join(["folder"] * 20) + "12 and commit " + "0123456789abcdef" * 8 + " for more"
     docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
     assert pii.redact(docs).first()["text"] == text
+
+
+def test_thousands_of_spans_in_one_text(spark):
+    """Pieces between spans lie in one page of the text, in two, or far apart; spans overlap and nest."""
+    words, want, at, spans = [], [], 0, []
+    for i in range(3_000):
+        gap = "é" * RNG.choice([1, 3, 40, 9_000 if i % 500 == 7 else 2]) + " "
+        kind, match = RNG.choice([("email", f"a{i}@x.de"), ("ip", "10.0.0.7"), ("card", "4111 1111 1111 1111"), ("phone", "+1 555 123 4567")])
+        words += [gap, match, " "]
+        want += [gap, f"[{kind.upper()}]", " "]
+        spans.append(f"{kind}:{at + len(gap)}:{at + len(gap) + len(match)}")
+        at += len(gap) + len(match) + 1
+    docs = spark.createDataFrame([(1, "".join(words)), (2, "x" * 5_000), (3, "")], "doc_id long, text string")
+    out = {r["doc_id"]: r["text"] for r in pii.redact(docs).collect()}
+    assert out == {1: "".join(want), 2: "x" * 5_000, 3: ""}
+    assert {r["doc_id"]: r["spans"] for r in pii.report(docs).collect()}[1] == ",".join(spans)
