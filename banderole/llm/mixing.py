@@ -1,19 +1,13 @@
 """Mixing sources to target weights by Pfair scheduling; DataFrame functions only.
 
-A source's documents, in hash order, form blocks.  In a phase where source s has weight q/Q, its
-j-th block is released at slot floor(j * Q / q) and due at slot ceil((j + 1) * Q / q); giving every
-slot to the released block that is due first keeps each source within one block of its weight at
-every slot.  Weights are whole shares of a period of Q slots, so a phase's schedule repeats: one
-period is laid out on the driver (its size is a parameter) and blocks find their slot by arithmetic.
-When a source runs out, a new phase starts with the weights of the rest in proportion.
-
-Phases times sources would make that schedule grow with the square of the sources, so beyond
-``MOST_SOURCES`` of them the blocks themselves are scheduled, in virtual time (``plan_blocks``): it
-passes at one over the weights that still have blocks, block j of weight w is released at j / w and
-due at (j + 1) / w.  That schedule, one row a block, is a table in the shared folder and is joined.
+A source's documents, in hash order, form blocks.  Every block gets a release slot and a deadline
+slot from its source's weight, and the earliest deadline first among released blocks fills the slots
+(``pfair``), so that each source stays within one block of its share at every slot.  When a source
+runs out, its weight goes to the rest in proportion.  The schedule is the same exact one for any
+number of sources; it is a table that Spark makes and joins.
 
 Ranks inside a source come from two levels (hash buckets, then rows of a bucket), so no task holds
-a whole source.  Nothing but one count per source reaches the driver.
+a whole source.  Only totals over all sources reach the driver.
 
 Edge cases: a null source is the source with the empty name; rows without an id or with a repeated
 one are placed by all their columns, so no id fills a bucket (only rows that are equal in all columns
@@ -24,126 +18,53 @@ which are reserved and replaced.
 
 from __future__ import annotations
 
-import heapq
 import json
 import math
 from fractions import Fraction
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .store import new_path, shuffle_partitions
-
-MOST_SOURCES = 512  # bounds the broadcast schedule, with the period; more sources have a joined one
-SLICE = 1 << 17  # rows of the joined schedule that go to Spark at once
-PLAN = "array<struct<{}:string,{}:long,{}:long,{}:long,{}:long,{}:array<int>>>".format(*(f"_mix_p_{x}" for x in ("s", "b0", "b1", "start", "q", "slots")))
-
-
-def shares(weights: dict[str, float], period: int) -> dict[str, int]:
-    """Whole shares of a period, at least one each, by largest remainder."""
-    total = sum(weights.values())
-    exact = {s: w / total * period for s, w in weights.items()}
-    out = {s: max(1, math.floor(x)) for s, x in exact.items()}
-    order = sorted(weights, key=lambda s: (out[s] - exact[s], s))
-    left, k = period - sum(out.values()), 0
-    while left:
-        s = order[k % len(order)]
-        if left > 0:
-            out[s], left = out[s] + 1, left - 1
-        elif out[s] > 1:
-            out[s], left = out[s] - 1, left + 1
-        k += 1
-    return out
-
-
-def one_period(q: dict[str, int], period: int) -> list[str]:
-    """The source of each slot: earliest deadline first among released blocks."""
-    waiting = [(0, s, 0) for s in sorted(q)]  # (release, source, block)
-    heapq.heapify(waiting)
-    ready: list[tuple[int, str, int]] = []  # (deadline, source, block)
-    out = []
-    for slot in range(period):
-        while waiting and waiting[0][0] <= slot:
-            _, s, j = heapq.heappop(waiting)
-            heapq.heappush(ready, (-(-(j + 1) * period // q[s]), s, j))
-        _, s, j = heapq.heappop(ready)
-        out.append(s)
-        if j + 1 < q[s]:
-            heapq.heappush(waiting, ((j + 1) * period // q[s], s, j + 1))
-    return out
-
-
-def plan_phases(blocks: dict[str, int], weights: dict[str, float], period: int) -> list[dict]:
-    """Rows of the schedule: for a source's blocks b0 <= b < b1 of one phase, the slots of a period."""
-    left, done, start, rows = dict(blocks), dict.fromkeys(blocks, 0), 0, []
-    while left := {s: n for s, n in left.items() if n}:
-        q = shares({s: weights[s] for s in left}, period)
-        slots: dict[str, list[int]] = {s: [] for s in left}
-        for slot, s in enumerate(one_period(q, period)):
-            slots[s].append(slot)
-        # The phase lasts until the first source's last block.
-        last = min((n - 1) // q[s] * period + slots[s][(n - 1) % q[s]] for s, n in left.items())
-        for s, n in left.items():
-            whole, rest = divmod(last + 1, period)
-            took = whole * q[s] + sum(x < rest for x in slots[s])
-            if took:
-                rows.append({"_mix_p_s": s, "_mix_p_b0": done[s], "_mix_p_b1": done[s] + took, "_mix_p_start": start, "_mix_p_q": q[s], "_mix_p_slots": slots[s]})
-            done[s] += took
-            left[s] = n - took
-        start += last + 1
-    return rows
-
-
-def plan_blocks(blocks: dict[str, int], weights: dict[str, float]) -> pd.DataFrame:
-    """(s, b, slot, release, deadline) of every block: first due among the released, in virtual time."""
-    names = sorted(s for s, n in blocks.items() if n)
-    w, n = [weights[s] for s in names], [blocks[s] for s in names]
-    waiting = [(0.0, i, 0) for i in range(len(names))]  # (release, source, block)
-    ready: list[tuple[float, int, int]] = []  # (deadline, source, block)
-    now, rest, clock = 0.0, math.fsum(w), np.zeros(sum(n))
-    of, at = np.zeros(clock.size, dtype=np.int64), np.zeros(clock.size, dtype=np.int64)
-    for slot in range(clock.size):
-        clock[slot] = now
-        while waiting and (waiting[0][0] <= now + 1e-12 * (1 + now) or not ready):
-            _, i, j = heapq.heappop(waiting)
-            heapq.heappush(ready, ((j + 1) / w[i], i, j))
-        _, i, j = heapq.heappop(ready)
-        of[slot], at[slot] = i, j
-        now += 1 / rest
-        if j + 1 < n[i]:
-            heapq.heappush(waiting, ((j + 1) / w[i], i, j + 1))
-        else:  # a source that leaves ahead of or behind its share settles with the rest
-            rest = rest - w[i] if slot + 1 < clock.size else 1.0
-            now += (w[i] * now - n[i]) / rest
-    weight = np.array(w)[of] if w else np.zeros(0)
-    clock = np.maximum.accumulate(clock)
-    release, deadline = (np.searchsorted(clock, x - 1e-12 * (1 + x)) for x in (at / weight, (at + 1) / weight))
-    return pd.DataFrame({"s": np.array(names, dtype=object)[of], "b": at, "slot": np.arange(clock.size), "release": release, "deadline": deadline})
-
-
-def tempered(counts: dict[str, int], power: float = 0.7) -> dict[str, float]:
+from . import pfair
+from .store import shuffle_partitions, written
+
+POWER = 0.7  # of a source's rows, in its target weight
+
+def tempered(counts: dict[str, int], power: float = POWER) -> dict[str, float]:
     """Target weights between the natural ones (power 1) and equal ones (power 0)."""
     return {s: n**power for s, n in counts.items()}
 
 
+def _sources(rows: DataFrame, weights: dict[str, float] | None, block_rows: int, period: int) -> tuple[DataFrame, int]:
+    """A table of (s, n blocks, w whole weight of at most ``period``), and the rows of all sources."""
+    counts = rows.groupBy(F.col("_mix_source").alias("s")).agg(F.count(F.lit(1)).alias("rows"))
+    if weights:
+        given = rows.sparkSession.range(1).select(F.explode(F.from_json(F.lit(json.dumps(weights)), "map<string,double>")).alias("s", "weight"))
+        counts = counts.join(given, "s", "left").withColumn("weight", F.coalesce("weight", F.lit(float(min(weights.values())))))
+    else:
+        counts = counts.withColumn("weight", F.pow("rows", F.lit(POWER)))
+    counts, _ = written(counts, "mix-sources")
+    total, most = counts.agg(F.sum("rows"), F.max("weight")).first()
+    whole = F.greatest(F.lit(1), F.floor(F.col("weight") / F.lit(most or 1.0) * period)).cast("long")
+    return counts.select("s", F.ceil(F.col("rows") / block_rows).cast("long").alias("n"), whole.alias("w")), total or 0
+
+
 def mix(
-    docs: DataFrame, weights: dict[str, float] | None = None, *, key: str = "doc_id", source: str = "source", block_rows: int = 16, period: int = 2048, bucket_rows: int = 2048, seed: int = 17
+    docs: DataFrame, weights: dict[str, float] | None = None, *, key: str = "doc_id", source: str = "source", block_rows: int = 16, period: int = 1 << pfair.UNIT, bucket_rows: int = 2048, seed: int = 17
 ) -> DataFrame:
     """``docs`` with _mix_block, _mix_rank (row in its source), _mix_slot, _mix_release, _mix_deadline.
 
     Sorting by (_mix_slot, _mix_rank) gives the mixed order.  Without ``weights``, those of ``tempered``.
+    Weights become whole numbers, the largest of them ``period`` (at most 2 ** 30), none less than one.
     """
+    if not 0 < period <= 1 << pfair.UNIT:
+        raise ValueError(f"period must be 1 to 2 ** {pfair.UNIT}")
     docs = docs.drop(*(c for c in docs.columns if c.lower().startswith("_mix_")))
     hashed = [F.col(f"`{f.name}`") for f in docs.schema.fields if "map<" not in f.dataType.simpleString()]
     rows = docs.withColumns({"_mix_source": F.coalesce(F.col(source).cast("string"), F.lit("")), "_mix_hash": F.xxhash64(F.col(key), F.lit(seed), *hashed)})
-    counts = {r["_mix_source"]: r["count"] for r in rows.groupBy("_mix_source").count().toLocalIterator()}
-    given = weights or tempered(counts)
-    targets = {s: given.get(s, min(given.values())) for s in counts}
-    blocks = {s: -(-n // block_rows) for s, n in counts.items()}
+    sources, total = _sources(rows, weights, block_rows, period)
 
-    bits = max(0, math.ceil(math.log2(max(1, sum(counts.values()) / bucket_rows))))
+    bits = max(0, math.ceil(math.log2(max(1, total / bucket_rows))))
     rows = rows.withColumn("_mix_bucket", F.shiftrightunsigned("_mix_hash", 64 - bits) if bits else F.lit(0).cast("long"))
     group = ["_mix_source", "_mix_bucket"]
     before = Window.partitionBy("_mix_source").orderBy("_mix_bucket").rowsBetween(Window.unboundedPreceding, -1)
@@ -152,31 +73,9 @@ def mix(
     ranked = rows.withColumn("_mix_in", inside).join(firsts, group)
     ranked = ranked.withColumn("_mix_rank", F.col("_mix_first") + F.col("_mix_in")).withColumn("_mix_block", F.floor(F.col("_mix_rank") / block_rows).cast("long"))
 
-    own = ["_mix_source", "_mix_hash", "_mix_bucket", "_mix_first", "_mix_in"]
-    if len(counts) > min(MOST_SOURCES, period):
-        schedule = _table(docs.sparkSession, plan_blocks(blocks, targets))
-        placed = ranked.join(schedule, (F.col("_mix_source") == F.col("_mix_p_s")) & (F.col("_mix_block") == F.col("_mix_p_b")))
-        return placed.withColumns({f"_mix_{x}": F.col(f"_mix_p_{x}") for x in ("slot", "release", "deadline")}).drop(*schedule.columns, *own)
-    plan = plan_phases(blocks, targets, period)
-    schedule = docs.sparkSession.range(1).select(F.inline(F.from_json(F.lit(json.dumps(plan)), PLAN)))
-    in_phase = (F.col("_mix_source") == F.col("_mix_p_s")) & (F.col("_mix_block") >= F.col("_mix_p_b0")) & (F.col("_mix_block") < F.col("_mix_p_b1"))
-    placed = ranked.join(F.broadcast(schedule), in_phase)  # at most MOST_SOURCES phases of that many rows
-    j, q, start = "(_mix_block - _mix_p_b0)", "_mix_p_q", F.col("_mix_p_start")
-    return placed.withColumns(
-        {
-            "_mix_slot": start + F.expr(f"{j} div {q}") * period + F.get("_mix_p_slots", F.expr(f"cast({j} % {q} as int)")),
-            "_mix_release": start + F.expr(f"({j} * {period}) div {q}"),
-            "_mix_deadline": start + F.expr(f"(({j} + 1) * {period} + {q} - 1) div {q}"),
-        }
-    ).drop(*schedule.columns, *own)
-
-
-def _table(spark: SparkSession, plan: pd.DataFrame) -> DataFrame:
-    """The schedule of ``plan_blocks``, written to the shared folder in slices."""
-    path = new_path(spark, "schedule")
-    for k in range(0, len(plan), SLICE):
-        spark.createDataFrame(plan.iloc[k : k + SLICE], "_mix_p_s string, _mix_p_b long, _mix_p_slot long, _mix_p_release long, _mix_p_deadline long").write.mode("append").parquet(path)
-    return spark.read.parquet(path)
+    names = {"s": "_mix_source", "j": "_mix_block", "slot": "_mix_slot", "r": "_mix_release", "d": "_mix_deadline"}
+    plan = pfair.schedule(sources).select(*(F.col(a).alias(b) for a, b in names.items()))
+    return ranked.join(plan, ["_mix_source", "_mix_block"]).drop("_mix_source", "_mix_hash", "_mix_bucket", "_mix_first", "_mix_in")
 
 
 def in_mixed_order(docs: DataFrame, weights: dict[str, float] | None = None, **kw) -> DataFrame:

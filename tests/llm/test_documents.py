@@ -304,8 +304,9 @@ def test_mixing_deviates_by_less_than_a_block(spark, nothing):
         assert r["_mix_release"] <= r["_mix_slot"] < r["_mix_deadline"]
     assert sorted(slots) == list(range(len(slots))) and all(len(v) == 1 for v in slots.values())
     assert mixing.mix(nothing).count() == 0
-    q = mixing.shares({"a": 5, "b": 2.2, "c": 1}, 128)
-    assert mixing.deviation(mixing.one_period(q, 128), q) < 1
+    even = mixing.mix(spark.range(0, 1280).selectExpr("id as doc_id", "if(id < 780, 'a', if(id < 1120, 'b', 'c')) as source"), {"a": 78, "b": 34, "c": 16}, block_rows=10).collect()
+    order = [s for _, s in sorted({(r["_mix_slot"], r["source"]) for r in even})]
+    assert mixing.deviation(order, {"a": 78, "b": 34, "c": 16}) < 1  # all three run out in the last slots
 
 
 def test_mixed_order_keeps_all_rows(docs):

@@ -73,18 +73,6 @@ def test_one_id_or_none_on_many_rows_spreads_over_buckets(spark):
     assert 400 < sum(early) < 600  # in hash order of the rows, not id after id
 
 
-def test_schedule_equals_an_earliest_deadline_simulation(spark):
-    """Another simulation: at each slot take, of the released blocks, the one due first."""
-    q = mixing.shares({"a": 7.0, "b": 3.0, "c": 2.0, "d": 0.3}, 60)
-    got, done = mixing.one_period(q, 60), dict.fromkeys(q, 0)
-    for slot in range(60):
-        free = [(-(-(done[s] + 1) * 60 // q[s]), s) for s in q if done[s] < q[s] and done[s] * 60 // q[s] <= slot]
-        due, pick = min(free)
-        assert got[slot] == pick and slot < due
-        done[pick] += 1
-    assert done == q
-
-
 def test_scores_equal_a_plain_mean_of_word_vectors():
     rng = np.random.default_rng(0)
     model = toxicity.Model(rng.standard_normal(1 << 10).astype(np.float32), -0.3)

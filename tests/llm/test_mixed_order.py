@@ -1,7 +1,6 @@
 """The mix reaches the pipeline's result, and any number of sources can be mixed."""
 
 import corpus_pipeline
-import numpy as np
 
 from banderole.llm import mixing
 
@@ -29,20 +28,3 @@ def test_more_sources_than_a_phase_schedule_holds(spark):
         assert r["_mix_block"] == r["_mix_rank"] // 4
         slots.setdefault(r["_mix_slot"], set()).add((r["source"], r["_mix_block"]))
     assert sorted(slots) == list(range(len(slots))) and all(len(v) == 1 for v in slots.values())
-
-
-def test_block_schedule_stays_within_a_block_of_every_share():
-    rng = np.random.default_rng(4)
-    blocks = {f"s{i}": int(n) for i, n in enumerate(rng.integers(1, 60, 700))} | {"hot": 3000}
-    weights = {s: float(n**0.7) for s, n in blocks.items()}
-    plan = mixing.plan_blocks(blocks, weights)
-    assert plan.groupby("s")["b"].apply(list).to_dict() == {s: list(range(n)) for s, n in blocks.items()}
-    left, due, have = dict(blocks), dict.fromkeys(blocks, 0.0), dict.fromkeys(blocks, 0)
-    for s in plan["s"][: min(plan["slot"][plan["b"] + 1 == plan["s"].map(blocks)]) + 1]:  # until the first source ends
-        total = sum(weights[x] for x in left)
-        for x in left:
-            due[x] += weights[x] / total
-        have[s] += 1
-        assert max(abs(due[x] - have[x]) for x in left) < 1
-    assert (plan["release"] <= plan["slot"]).all()
-    assert (plan["slot"] < plan["deadline"]).all()
