@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import dates
+from ..schema import THIN
 
 
 # --- facts ----------------------------------------------------------------------------------------
@@ -36,6 +37,21 @@ def populated(df: DataFrame) -> DataFrame:
     return some.groupBy("group_key").agg(F.min("period").alias("first_period"), F.max("period").alias("last_period"), F.max_by("headcount", "period").alias("latest"))
 
 
+def rate_extremes(df: DataFrame, rate: str, least: int = THIN) -> DataFrame:
+    """One row: the groups with the lowest and the highest rate in the last period that has anyone.
+
+    Groups below ``least`` people or without a rate don't count; of equal rates the smaller key is the
+    lowest and the larger one the highest.  With fewer than two groups all four columns are null.
+    """
+    some = df.where(F.col("headcount") > 0)
+    last = some.agg(F.max("period").alias("last_period"))
+    rows = some.join(last, F.col("period") == F.col("last_period")).where((F.col("headcount") >= least) & F.col(rate).isNotNull())
+    pair = F.struct(F.col(rate).alias("rate"), F.col("group_key").alias("key"))
+    ends = rows.agg(F.count(F.lit(1)).alias("groups"), F.min(pair).alias("low"), F.max(pair).alias("high"))
+    fields = {f"{end}_{x}": F.col(f"{end}.{y}") for end in ("low", "high") for x, y in (("group", "key"), ("rate", "rate"))}
+    return ends.select("groups", *(F.when(F.col("groups") >= 2, c).alias(name) for name, c in fields.items()))
+
+
 def against_previous(df: DataFrame, column: str) -> DataFrame:
     """``df`` with ``before`` and ``change``: a group's value in the period before that it filed in."""
     w = Window.partitionBy("group_key").orderBy("period")

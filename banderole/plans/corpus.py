@@ -28,6 +28,22 @@ def unclassified_share(spark, sf):
     return corpus.share_of(run(spark, sf, ["headcount"], dimension="profession"), ["BUILDING", "FURNITURE"]).withColumn("share", rounded("share", 6))
 
 
+_ENDS = f""", rates AS (SELECT group_key, {cut('n / headcount', 6)} AS rate FROM totals WHERE headcount >= 30 AND period = (SELECT max(period) FROM totals WHERE headcount > 0))"""
+_BY = "SELECT {} FROM rates ORDER BY rate {}, group_key {} LIMIT 1"
+
+
+@query(
+    series_sql(
+        "count(*) AS groups, " + ", ".join(f"CASE WHEN count(*) >= 2 THEN ({_BY.format(x, way, way)}) END AS {end}_{name}" for end, way in (("low", "ASC"), ("high", "DESC")) for name, x in (("group", "group_key"), ("rate", "rate"))),
+        group="c.grade", more=_ENDS, tail="FROM rates",
+    )
+)
+def grade_rate_extremes(spark, sf):
+    """The grades with the lowest and the highest disclosure rate in the latest year."""
+    rates = run(spark, sf, ["disclosure_rate"], dimension="grade")
+    return corpus.rate_extremes(rates.withColumn("disclosure_rate", rounded("disclosure_rate", 6)), "disclosure_rate")
+
+
 @query(series_sql("group_key, min(period) AS first_period, max(period) AS last_period, arg_max(headcount, period) AS latest", group="c.org || ''", grain="quarter", tail="FROM totals WHERE headcount > 0 GROUP BY group_key"))
 def populated_periods(spark, sf):
     return corpus.populated(run(spark, sf, ["headcount"], s.Filter(grain="quarter"), "org"))

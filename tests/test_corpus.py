@@ -104,3 +104,13 @@ def test_csv_round_trip(spark, tmp_path):
     posts_csv.write_csv(spark.createDataFrame(rows, "c string, d string").coalesce(1), str(tmp_path / "out"))
     (part,) = (tmp_path / "out").glob("*.csv")
     assert posts_csv.cells(posts_csv.decode(part.read_bytes()))[1:] == [list(r) for r in rows]
+
+
+def test_rate_extremes(spark):
+    columns = "group_key string, period string, headcount long, rate double"
+    rows = [("a", "2001", 40, 0.5), ("b", "2001", 30, 0.2), ("c", "2001", 29, 0.1), ("d", "2001", 50, None), ("e", "2001", 90, 0.5), ("f", "2000", 99, 0.9), ("a", "2002", 0, None)]
+    out = corpus.rate_extremes(spark.createDataFrame(rows, columns), "rate").collect()
+    assert [tuple(r) for r in out] == [(3, "b", 0.2, "e", 0.5)]  # 2002 has nobody, c is below thirty, d has no rate
+    few = corpus.rate_extremes(spark.createDataFrame(rows[:1], columns), "rate").collect()
+    assert [tuple(r) for r in few] == [(1, None, None, None, None)]
+    assert [tuple(r) for r in corpus.rate_extremes(spark.createDataFrame([], columns), "rate").collect()] == [(0, None, None, None, None)]
