@@ -36,8 +36,9 @@ def num(c: Column, dp: int = 0) -> Column:
     return _or_dash(c, F.format_number(c.cast("double"), dp))
 
 
-def pct(c: Column, dp: int = 1, sign: bool = True) -> Column:
-    return _or_dash(c, F.concat(F.when(c >= 0, "+" if sign else "").otherwise(""), F.format_string(f"%.{dp}f%%", c.cast("double"))))
+def pct(c: Column, dp: int = 1, sign: bool = True, of: Column | None = None) -> Column:
+    """With ``sign`` a plus where ``of``, the value itself unless another is given, isn't negative."""
+    return _or_dash(c, F.concat(F.when((c if of is None else of) >= 0, "+" if sign else "").otherwise(""), F.format_string(f"%.{dp}f%%", c.cast("double"))))
 
 
 def share(c: Column, dp: int = 1) -> Column:

@@ -77,18 +77,21 @@ def items(pages: DataFrame, pattern: str, *, key: str = "page_id", html: str = "
 ENTITIES = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&middot;", "·"), ("&copy;", "©"), ("&pound;", "£"), ("&amp;", "&"))
 
 
-def unescaped(c: Column) -> Column:
-    for name, char in ENTITIES:
+MARKUP = tuple(e for e in ENTITIES if e[0] in ("&lt;", "&gt;", "&amp;"))
+
+
+def unescaped(c: Column, entities: tuple[tuple[str, str], ...] = ENTITIES) -> Column:
+    for name, char in entities:
         c = F.replace(c, F.lit(name), F.lit(char))
     return c
 
 
-def stripped(html: Column) -> Column:
+def stripped(html: Column, *, entities: tuple[tuple[str, str], ...] = ENTITIES, space: str = "\\s+") -> Column:
     """Text without tags, entities decoded, white space collapsed."""
-    return F.trim(F.regexp_replace(unescaped(F.regexp_replace(html, "<[^>]*>", " ")), "\\s+", " "))
+    return F.trim(F.regexp_replace(unescaped(F.regexp_replace(html, "<[^>]*>", " "), entities), space, " "))
 
 
 def table_rows(html: Column) -> Column:
     """array of rows, each an array of stripped cells."""
     rows = F.regexp_extract_all(html, F.lit("(?is)<tr[^>]*>(.*?)</tr>"), F.lit(1))
-    return F.transform(rows, lambda r: F.transform(F.regexp_extract_all(r, F.lit("(?is)<t[dh][^>]*>(.*?)</t[dh]>"), F.lit(1)), stripped))
+    return F.transform(rows, lambda r: F.transform(F.regexp_extract_all(r, F.lit("(?is)<t[dh][^>]*>(.*?)</t[dh]>"), F.lit(1)), lambda c: stripped(c)))
