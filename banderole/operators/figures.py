@@ -6,8 +6,8 @@ with one label for each series beside each year (``by_year``), and pay bands alo
 different values or more, evenly spaced) are axes and go; every other percentage belongs to the nearest label.  What can't be
 told for certain is refused with a reason, or kept as ``loose``, never guessed.
 
-Everything happens inside a page's row with array functions: pages without a caption are filtered out first, and
-nothing is shuffled.  A block has 60 lines at most by definition of the figure, whatever the page holds.
+Everything happens inside a page's row with array functions: pages without a caption are filtered out first,
+nothing is shuffled, a figure is read one time, and as one of bands only where its years can't be read.  A block has 60 lines at most by definition of the figure, whatever the page holds.
 
 Edge cases: null and empty texts have no figure; a caption on the last line is a figure without a legend; of several captions on a page the
 first counts; tokens at equal distance go to the first label, in equal places keep the order of the text.
@@ -45,6 +45,11 @@ def spots(line: Column, pattern: str) -> Column:
     return F.aggregate(pieces, start, step, lambda a: a["found"])
 
 
+def times(line: Column, pattern: str) -> Column:
+    """How many matches ``spots`` finds, without placing them."""
+    return F.regexp_count(F.translate(line, _MARK, " "), F.lit(pattern))
+
+
 def squeezed(c: Column) -> Column:
     return F.trim(F.regexp_replace(c, r"\s+", " "))
 
@@ -53,7 +58,7 @@ def blocks(pages: DataFrame, *, text: str = "text") -> DataFrame:
     """Pages with a caption of the gap figure: ``figure_no``, ``head`` (the caption's first line), ``next`` line and ``block``."""
     found = pages.where(F.rlike(F.col(text), F.lit(CAPTION))).withColumn("_lines", F.split(F.col(text), "\n"))
     hits = F.filter(F.transform("_lines", lambda l, i: F.struct(i.alias("i"), l.alias("l"))), lambda s: F.rlike(s["l"], F.lit(CAPTION)))
-    found = found.withColumn("_at", F.get(hits, F.lit(0)))
+    found = found.select("*", F.explode(F.array(F.get(hits, F.lit(0)))).alias("_at"))
     found = found.where("_at is not null")
     return found.select(
         *pages.columns,
@@ -72,12 +77,12 @@ def let(value: Column, use) -> Column:
 def _first_with(block: Column, pattern: str) -> Column:
     """The matches on the first line with two or more of them that is neither a caption nor has percentages."""
     plain = F.filter(block, lambda l: ~F.rlike(l, F.lit(r"^\s*Figure\s+\d")) & ~F.contains(l, F.lit("%")))
-    return F.get(F.filter(F.transform(plain, lambda l: spots(l, pattern)), lambda s: F.size(s) >= 2), F.lit(0))
+    return F.get(F.transform(F.slice(F.filter(plain, lambda l: times(l, pattern) >= 2), 1, 1), lambda l: spots(l, pattern)), F.lit(0))
 
 
 def _percentages(lines: Column) -> Column:
     """array of (v, x, n) in the order of the text."""
-    flat = F.flatten(F.transform(lines, lambda l: spots(l, PERCENT)))
+    flat = F.flatten(F.transform(F.filter(lines, lambda l: F.contains(l, F.lit("%"))), lambda l: spots(l, PERCENT)))
     return F.transform(flat, lambda t, n: F.struct(F.regexp_replace(t["text"], r"\s*%", "").cast("int").alias("v"), t["end"].alias("x"), n.alias("n")))
 
 
@@ -158,7 +163,7 @@ def by_year(block: Column) -> Column:
     gathered = lambda a: F.struct(
         _first_with(block, SERIES).alias("series"), years(a["line"]).alias("years"), a["most"].alias("most"), _without_axes(_percentages(F.filter(block, lambda l: l != a["line"]))).alias("data")
     )
-    return let(let(let(F.transform(block, lambda l: F.size(spots(l, YEAR))), axis), gathered), read)
+    return let(let(let(F.transform(block, lambda l: times(l, YEAR)), axis), gathered), read)
 
 
 def by_band(block: Column, caption: Column) -> Column:
@@ -191,9 +196,12 @@ def read(pages: DataFrame, *, text: str = "text") -> DataFrame:
     runs_on = (F.col("next") != "") & ~F.contains("next", F.lit("%")) & ~F.rlike("next", F.lit("(?i)^Source"))
     whole = lambda wraps: F.concat("head", F.when(wraps, F.concat(F.lit(" "), "next")).otherwise(""))
     short, band = whole(runs_on & (F.length("next") < 120)), whole(runs_on)
-    both = let(F.col("block"), lambda b: F.struct(by_year(b).alias("year"), let(F.slice(b, 1, BAND_LINES), lambda part: by_band(part, band)).alias("band")))
-    df = found.withColumn("_both", both)
-    year, by = F.col("_both.year.why").isNull(), F.col("_both.band.why").isNull()
+    # generators keep each reading a column of its own: filters on its parts would else compute it again for each of them
+    df = found.select("*", F.explode(F.array(by_year(F.col("block")))).alias("_year"))
+    other = F.when(F.col("_year.why").isNotNull(), let(F.slice("block", 1, BAND_LINES), lambda part: by_band(part, band)))
+    df = df.select("*", F.explode(F.array(other)).alias("_band"))
+    year = F.col("_year.why").isNull()
+    by = ~year & F.col("_band.why").isNull()
     lines = F.when(~year & by, F.slice("block", 1, BAND_LINES)).otherwise(F.col("block"))
 
     def notes(ls: Column) -> Column:
@@ -201,7 +209,7 @@ def read(pages: DataFrame, *, text: str = "text") -> DataFrame:
         note = let(F.array_min(at), lambda i: F.when(i.isNotNull(), squeezed(F.array_join(F.slice(ls, i + 1, 5), " "))))
         return F.struct(squeezed(F.get(F.filter(ls, lambda l: F.rlike(l, F.lit(r"(?i)^\s*Source:"))), F.lit(0))).alias("source"), note.alias("note"))
 
-    chosen = F.when(year, F.col("_both.year")).when(by, F.col("_both.band"))
+    chosen = F.when(year, F.col("_year")).when(by, F.col("_band"))
     return df.select(
         *(c for c in pages.columns if c != text),
         "figure_no",
@@ -210,7 +218,7 @@ def read(pages: DataFrame, *, text: str = "text") -> DataFrame:
         chosen["points"].alias("points"),
         chosen["loose"].alias("loose"),
         let(lines, notes).alias("_notes"),
-        F.when(~year & ~by, F.concat_ws("; ", F.col("_both.year.why"), F.col("_both.band.why"))).alias("refused"),
+        F.when(~year & ~by, F.concat_ws("; ", F.col("_year.why"), F.col("_band.why"))).alias("refused"),
     ).withColumns({"source": F.col("_notes.source"), "note": F.col("_notes.note")}).drop("_notes")
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import figures
 from ..store import once
-from .stand_in import query, table
+from .stand_in import query, spread, table
 
 YEARS = ((20, 2022), (40, 2023), (70, 2022), (90, 2023))
 SERIES = (("Deputy director Private", "Deputy director Public"), ("Director Private", "Director Public"))
@@ -41,7 +41,8 @@ def pages_of(spark, sf) -> DataFrame:
     ticks = F.lit("\n".join(f"{-10 * k}%".rjust(8) for k in range(6)))
     bands = F.concat_ws("\n", F.lit("Figure 4.1: Salary comparison: median pay in the SCS and the private sector, 2024"), F.lit(""), ticks, *(line(None, x + 3, pct(k)) for k, (x, _) in enumerate(BAND_AT)), line(None, 118, F.lit("-77%")), cats, tail)
     text = F.when(kind == 1, bands).when(kind == 4, F.lit("Nothing drawn here, 40% or not.\n2022 2023")).otherwise(years)
-    return table(spark, sf, "part").select(F.col("p_partkey").alias("page"), text.alias("text"))
+    parts = spread(table(spark, sf, "part").select("p_partkey", "p_retailprice"), "p_partkey")
+    return parts.select(F.col("p_partkey").alias("page"), F.explode(F.array(text)).alias("text"))  # filters on the text stay above this, so they run in all partitions
 
 
 _VALUES = f"""v AS (SELECT p_partkey AS page, p_partkey % 7 AS kind, list_transform(range(8), lambda i: -CAST((CAST(floor(p_retailprice) AS BIGINT) + 37 * i) % 90 + 5 AS INTEGER)) AS v FROM part),

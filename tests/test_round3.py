@@ -38,3 +38,11 @@ def test_titles_keep_entities_that_are_not_markup(same):
     odd = ["<h1>a &quot;b&quot; &amp;lt; &#39;c&nbsp; d</h1>", "<h1>a\r\v  b</h1>", "<h1>a\nb</h1>", "", "<h1>  &pound;1 <b>x</b></h1>"]
     rows = ", ".join("('" + h.replace("'", "''") + "')" for h in odd)
     assert same("html_titles", "pages", f"select 900000 + row_number() over (), 'u', h from (values {rows}) v(h)")
+
+
+def test_a_page_is_read_once_and_in_all_partitions(spark):
+    """Points and loose values are filtered by what is read; the plan holds each reading one time, and none below the shuffle."""
+    for name in ("gap_figure_points", "gap_figure_loose"):
+        plan = QUERIES[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("no legend") == 1 and plan.count("no bands") == 1
+        assert "Figure" not in plan.split("RepartitionByExpression", 1)[1]
