@@ -146,13 +146,13 @@ def page(df: DataFrame, order: list[Column], size: int, number: int) -> DataFram
 def strict_money(c: Column) -> Column:
     """Whole pounds of a cell that is an amount and nothing else; zero says nothing."""
     digits = F.regexp_replace(F.coalesce(c, F.lit("")), "[£,\\s]", "")
-    value = F.floor(F.when(digits.rlike("^[0-9]+(\\.[0-9]+)?$"), digits).try_cast("double") + 0.5).cast("long")
+    value = F.floor(F.regexp_extract(digits, "^[0-9]+(\\.[0-9]+)?$", 0).try_cast("double") + 0.5).cast("long")
     return F.when(value > 0, value)
 
 
 def strict_count(c: Column) -> Column:
     digits = F.regexp_replace(F.coalesce(c, F.lit("")), "[,\\s]", "")
-    return F.when(digits.rlike("^[0-9]+$"), digits).try_cast("long")
+    return F.regexp_extract(digits, "^[0-9]+$", 0).try_cast("long")
 
 
 def split_key(key: Column) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import occupations, recovery
 from ..sources import market_pages
-from .stand_in import POSTS, posts, query, table
+from .stand_in import POSTS, posts, query, spread, table
 
 # --- pages of job titles --------------------------------------------------------------------------
 _PAGES = """p AS (SELECT p_partkey AS page_id, p_partkey % 7 AS kind, p_size * 100 + 1 AS n, CAST(floor(p_retailprice * 50) AS BIGINT) AS pay FROM part)"""
@@ -29,7 +29,8 @@ def _pages(spark, sf):
     )
     head = F.concat(F.lit('<section id="headline_statistics" class="x"><p>The <b>median</b> salary in the UK is &pound;'), F.format_number(pay, 0), F.lit(" now.</p>"), tables, F.lit("</section>"))
     html = F.concat(F.lit('<html><section id="intro">x</section>'), F.when(kind == 0, "").otherwise(head), F.lit("<section>"), places, F.lit("</section></html>"))
-    return table(spark, sf, "part").select(F.col("p_partkey").alias("page_id"), html.alias("html"))
+    parts = spread(table(spark, sf, "part").select("p_partkey", "p_size", "p_retailprice"), "p_partkey")
+    return parts.select(F.col("p_partkey").alias("page_id"), html.alias("html"))
 
 
 @query(

@@ -47,17 +47,23 @@ def period(c: Column) -> Column:
 
 
 def _figures(rows: Column) -> Column:
+    """``rows`` have a ``label``, made once a row, and ``cells``."""
+
     def cells(name: str) -> Column:
-        fits = (lambda r: label(F.get(r, F.lit(0))).isin(*WHOLE[name])) if name in WHOLE else (lambda r: label(F.get(r, F.lit(0))).startswith(BEGINS[name]))
-        return F.get(F.filter(rows, fits), F.lit(0))
+        fits = (lambda r: r["label"].isin(*WHOLE[name])) if name in WHOLE else (lambda r: r["label"].startswith(BEGINS[name]))
+        return F.get(F.filter(rows, fits), F.lit(0))["cells"]
+
+    def figure(found: Column, name: str, at: int) -> Column:
+        return (strict_count if name in COUNTS else strict_money)(F.get(found[name], F.lit(at)))
 
-    def figure(name: str, at: int) -> Column:
-        return (strict_count if name in COUNTS else strict_money)(F.get(cells(name), F.lit(at)))
+    def gathered(x: Column) -> Column:
+        periods = x["periods"]
+        prior = F.array(*(F.struct(F.get(periods, F.lit(i)).alias("label"), figure(x, "n", i + 1).alias("n"), figure(x, "median", i + 1).alias("median")) for i in (1, 2)))
+        return F.struct(F.coalesce(periods, F.array().cast("array<string>")).alias("periods"), *(figure(x, k, 1).alias(k) for k in (*WHOLE, *BEGINS)), prior.alias("prior"))
 
-    head = F.get(F.filter(rows, lambda r: F.exists(r, lambda c: c.rlike("(?i)months to|same period"))), F.lit(0))
+    head = F.get(F.filter(rows, lambda r: F.exists(r["cells"], lambda c: c.rlike("(?i)months to|same period"))), F.lit(0))["cells"]
     periods = F.filter(F.transform(F.slice(head, 2, 1000), F.trim), lambda c: c != "")
-    prior = F.array(*(F.struct(F.get(periods, F.lit(i)).alias("label"), figure("n", i + 1).alias("n"), figure("median", i + 1).alias("median")) for i in (1, 2)))
-    return F.struct(F.coalesce(periods, F.array().cast("array<string>")).alias("periods"), *(figure(k, 1).alias(k) for k in (*WHOLE, *BEGINS)), prior.alias("prior"))
+    return _once(F.struct(periods.alias("periods"), *(cells(k).alias(k) for k in (*WHOLE, *BEGINS))), gathered)
 
 
 def summary(table: Column) -> Column:
@@ -65,7 +71,8 @@ def summary(table: Column) -> Column:
 
     The first row with a label counts; an unreadable, missing or zero amount is null, never zero.
     """
-    return _once(F.filter(table_rows(table), lambda r: F.size(r) > 0), _figures)
+    rows = F.filter(table_rows(table), lambda r: F.size(r) > 0)
+    return _once(F.transform(rows, lambda r: F.struct(label(F.get(r, F.lit(0))).alias("label"), r.alias("cells"))), _figures)
 
 
 def title_pages(pages: DataFrame, *, key: str = "page_id", html: str = "html") -> DataFrame:
@@ -78,7 +85,7 @@ def title_pages(pages: DataFrame, *, key: str = "page_id", html: str = "html") -
     x = pages.select(key, F.explode(F.array(F.struct(head.alias("head"), tables.alias("tables")))).alias("x")).select(key, "x.*")
     title = F.get("tables", F.lit(0))
     error = F.when(F.col("head").isNull(), f"no {SECTION} section").when(F.size("tables") < 1, "no summary table").when(title["n"].isNull(), "summary table has no salary-count row")
-    prose = strict_money(F.regexp_extract(stripped(F.col("head")), "(?i)median.{0,120}?salary in the UK is £([0-9,]+)", 1))
+    prose = _once(F.regexp_extract(stripped(F.col("head")), "(?i)median.{0,120}?salary in the UK is £([0-9,]+)", 1), strict_money)
     fine = lambda c: F.when(F.col("error").isNull(), c)
     return x.withColumn("error", error).select(key, "error", fine(title).alias("title"), fine(F.get("tables", F.lit(1))).alias("baseline"), fine(prose).alias("prose_median"))
 
