@@ -27,6 +27,11 @@ def _text(c: str):
     return F.coalesce(F.col(c), F.lit(""))
 
 
+def merged(side: DataFrame) -> DataFrame:
+    """A side of a join that grows with the posts: its files are small, but every broadcast of it would pass through the driver, in every round."""
+    return side.hint("merge")
+
+
 def resolved(rows: DataFrame) -> DataFrame:
     """Live rows with ``parent`` resolved against all of the filing's rows, eliminated ones too.
 
@@ -35,7 +40,7 @@ def resolved(rows: DataFrame) -> DataFrame:
     known = rows.where(_text("pur") != "").select(*FILING, F.col("pur").alias("p_pur")).distinct().alias("p")
     live = rows.where("status <> 'eliminated'").alias("c")
     on = (F.col("c.org") == F.col("p.org")) & (F.col("c.date") == F.col("p.date")) & (F.col("c.reports_to") == F.col("p_pur"))
-    out = live.join(known, on, "left").select("c.*", "p_pur")
+    out = live.join(merged(known), on, "left").select("c.*", "p_pur")
     named = _text("pur") != ""
     has = (_text("reports_to") != "") & (_text("reports_to") != _text("pur"))
     return out.withColumns({"parent": F.when(named & has, F.col("p_pur")), "dangling": ~named | (has & F.col("p_pur").isNull()), "is_root": named & ~has}).drop("p_pur")
@@ -47,7 +52,7 @@ def parents(nodes: DataFrame) -> DataFrame:
     Of repeated references the last row that has a parent decides; ``place`` is the first row's.
     """
     own = nodes.where(_text("pur") != "").groupBy(*NODE).agg(F.max_by("parent", F.when(F.col("parent").isNotNull(), F.col("row_idx"))).alias("parent"), F.min("row_idx").cast("long").alias("place"))
-    gone = nodes.where("parent is not null").select(*FILING, F.col("parent").alias("pur")).distinct().join(own, NODE, "left_anti")
+    gone = nodes.where("parent is not null").select(*FILING, F.col("parent").alias("pur")).distinct().join(merged(own), NODE, "left_anti")
     return own.unionByName(gone.select(*NODE, F.lit(None).cast("string").alias("parent"), F.lit(None).cast("long").alias("place")))
 
 
@@ -67,7 +72,7 @@ def _rounds(start: DataFrame, step, moving: str, most: int | None = None) -> tup
 def _jump(table: DataFrame, columns: dict) -> DataFrame:
     """``table`` with ``up`` moved to where the row above points; ``columns`` may read the row above as ``above``."""
     above = table.select(*FILING, F.col("pur").alias("up"), F.struct(F.lit(True).alias("there"), *(F.col(c) for c in table.columns if c not in NODE)).alias("above"))
-    joined = table.join(above, [*FILING, "up"], "left")
+    joined = table.join(merged(above), [*FILING, "up"], "left")
     return joined.select(*NODE, *(columns[c].alias(c) if c in columns else F.col(c) for c in table.columns if c not in NODE))
 
 
@@ -101,10 +106,10 @@ def _cycles(endless: DataFrame, left: int) -> DataFrame:
     # after as many steps as there are posts every pointer lies on a cycle, and each member has a pointer at it
     inside = far.select(*FILING, F.col("up").alias("pur")).distinct()
     first = F.struct(F.col("place").isNull().alias("gone"), "place", F.col("pur").alias("cycle"))
-    ring = begun.join(inside, NODE, "left_semi").select(*NODE, "up", first.alias("first"))
+    ring = begun.join(merged(inside), NODE, "left_semi").select(*NODE, "up", first.alias("first"))
     lowest, _, _ = _rounds(ring, lambda t, k: _jump(t, {"up": F.col("above.up"), "first": F.least("first", "above.first")}), "up", most)
     named = lowest.select(*NODE, F.col("first.cycle").alias("cycle"))
-    return named.join(named.groupBy(*FILING, "cycle").agg(F.count("*").alias("members")), [*FILING, "cycle"])
+    return named.join(merged(named.groupBy(*FILING, "cycle").agg(F.count("*").alias("members"))), [*FILING, "cycle"])
 
 
 def depths(nodes: DataFrame) -> DataFrame:
@@ -119,20 +124,20 @@ def depths(nodes: DataFrame) -> DataFrame:
     if left:
         endless, _ = written(table.where("up is not null"), "tree-endless")
         ring, _ = written(_cycles(endless, left), "tree-cycles")
-        cut = endless.join(ring.where("pur = cycle").select(*NODE, F.lit(True).alias("cut")), NODE, "left")
+        cut = endless.join(merged(ring.where("pur = cycle").select(*NODE, F.lit(True).alias("cut"))), NODE, "left")
         again, _ = climb(cut.select(*NODE, F.when(F.col("cut").isNull(), F.col("parent")).alias("parent"), "place"))
         # every post below a cut takes the members of the cycle that it leads to
         head = cut.select(*NODE, F.when(F.col("cut"), F.col("pur")).alias("head"), F.when(F.col("cut").isNull(), F.col("parent")).alias("up"))
         led, _, _ = _rounds(head, lambda t, k: _jump(t, {"up": F.col("above.up"), "head": F.coalesce("head", "above.head")}), "up")
         sizes = ring.select(*FILING, F.col("cycle").alias("head"), "members").distinct()
-        extra = led.join(sizes, [*FILING, "head"]).select(*NODE, "members")
-        out = out.unionByName(again.join(extra, NODE).select(*NODE, "place", (F.col("depth") + F.col("members")).alias("depth")))
+        extra = led.join(merged(sizes), [*FILING, "head"]).select(*NODE, "members")
+        out = out.unionByName(again.join(merged(extra), NODE).select(*NODE, "place", (F.col("depth") + F.col("members")).alias("depth")))
     return out.where("place is not null").select(*NODE, F.col("depth").cast("int").alias("depth"))
 
 
 def layers(nodes: DataFrame, *by: str) -> DataFrame:
     """Live rows per depth (and ``by``, as grades); rows of a repeated reference each count."""
-    placed = nodes.where(_text("pur") != "").join(depths(nodes), NODE)
+    placed = nodes.where(_text("pur") != "").join(merged(depths(nodes)), NODE)
     return placed.groupBy(*FILING, "depth", *by).agg(F.count("*").alias("posts"))
 
 
@@ -174,8 +179,8 @@ def tree_nodes(rows: DataFrame) -> DataFrame:
     grades = live.groupBy(*FILING, "grade").agg(F.min("row_idx").alias("grade_place"))
     known = rows.where(_text("pur") != "").groupBy(*NODE).agg(F.bool_or(F.coalesce(F.col("status"), F.lit("")) != "eliminated").alias("lives")).withColumnRenamed("pur", "reports_to")
     has = (_text("reports_to") != "") & (_text("reports_to") != F.col("pur"))
-    out = first.join(known, [*FILING, "reports_to"], "left")
-    out = out.alias("n").join(grades.alias("g"), (F.col("n.org") == F.col("g.org")) & (F.col("n.date") == F.col("g.date")) & F.col("n.grade").eqNullSafe(F.col("g.grade")), "left").select("n.*", "grade_place")
+    out = first.join(merged(known), [*FILING, "reports_to"], "left")
+    out = out.alias("n").join(merged(grades.alias("g")), (F.col("n.org") == F.col("g.org")) & (F.col("n.date") == F.col("g.date")) & F.col("n.grade").eqNullSafe(F.col("g.grade")), "left").select("n.*", "grade_place")
     return out.withColumns({"parent": F.when(has & F.col("lives"), F.col("reports_to")), "outside": has & F.col("lives").isNull()}).drop("lives")
 
 
@@ -189,9 +194,9 @@ def trees(nodes: DataFrame) -> DataFrame:
     found, _ = climb(place.select(*NODE, "parent", "place"))
     depth = found.where("up is null").select(*NODE, "depth")
     pay = F.when(F.col("disclosed"), F.coalesce("floor", F.lit(0))).otherwise(0).cast("long")
-    start = nodes.join(depth, NODE).select(*NODE, F.col("parent").alias("up"), F.lit(1).cast("long").alias("size"), F.lit(1).cast("long").alias("height"), pay.alias("subtree_floor"))
+    start = nodes.join(merged(depth), NODE).select(*NODE, F.col("parent").alias("up"), F.lit(1).cast("long").alias("size"), F.lit(1).cast("long").alias("height"), pay.alias("subtree_floor"))
     sums, _, _ = _rounds(start, _gather, "up")
-    whole = nodes.drop("floor").join(depth, NODE).join(sums.drop("up"), NODE)
+    whole = nodes.drop("floor").join(merged(depth), NODE).join(merged(sums.drop("up")), NODE)
     among = W.partitionBy(*FILING, "parent")
     kids = among.orderBy("grade_place", F.desc("size"), "title", "pur")
     roots = among.orderBy(F.desc("size"), "grade_place", "row_idx")
@@ -202,11 +207,11 @@ def trees(nodes: DataFrame) -> DataFrame:
 def _gather(table: DataFrame, k: int) -> DataFrame:
     """Every node adds up what the nodes 2**k below it have gathered, and its pointer doubles."""
     below = table.where("up is not null").groupBy(*FILING, F.col("up").alias("pur")).agg(F.sum("size").alias("s"), F.max("height").alias("h"), F.sum("subtree_floor").alias("f"))
-    grown = table.join(below, NODE, "left").select(
+    grown = table.join(merged(below), NODE, "left").select(
         *NODE, "up", (F.col("size") + F.coalesce("s", F.lit(0))).alias("size"), F.greatest("height", F.col("h") + 2**k).alias("height"), (F.col("subtree_floor") + F.coalesce("f", F.lit(0))).alias("subtree_floor")
     )
     above = table.select(*FILING, F.col("pur").alias("up"), F.col("up").alias("next"))
-    return grown.join(above, [*FILING, "up"], "left").select(*NODE, F.col("next").alias("up"), "size", "height", "subtree_floor")
+    return grown.join(merged(above), [*FILING, "up"], "left").select(*NODE, F.col("next").alias("up"), "size", "height", "subtree_floor")
 
 
 def tree_totals(rows: DataFrame) -> DataFrame:
@@ -224,13 +229,13 @@ def reveal(nodes: DataFrame, matched: DataFrame) -> DataFrame:
     """Nodes to show so that every match is seen: the matches and all above them, where a root leads to them."""
     found, _ = climb(nodes.select(*NODE, "parent", F.col("row_idx").cast("long").alias("place")))
     hit = matched.select(*NODE).distinct().withColumn("hit", F.lit(1))
-    start = found.where("up is null").join(hit, NODE, "left").select(*NODE, F.col("parent").alias("up"), F.coalesce("hit", F.lit(0)).alias("hits"))
+    start = found.where("up is null").join(merged(hit), NODE, "left").select(*NODE, F.col("parent").alias("up"), F.coalesce("hit", F.lit(0)).alias("hits"))
 
     def step(t: DataFrame, k: int) -> DataFrame:
         below = t.where("up is not null").groupBy(*FILING, F.col("up").alias("pur")).agg(F.max("hits").alias("h"))
-        grown = t.join(below, NODE, "left").select(*NODE, "up", F.greatest("hits", "h").alias("hits"))
+        grown = t.join(merged(below), NODE, "left").select(*NODE, "up", F.greatest("hits", "h").alias("hits"))
         above = t.select(*FILING, F.col("pur").alias("up"), F.col("up").alias("next"))
-        return grown.join(above, [*FILING, "up"], "left").select(*NODE, F.col("next").alias("up"), "hits")
+        return grown.join(merged(above), [*FILING, "up"], "left").select(*NODE, F.col("next").alias("up"), "hits")
 
     seen, _, _ = _rounds(start, step, "up")
     return seen.where("hits > 0").select(*NODE)

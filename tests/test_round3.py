@@ -46,3 +46,12 @@ def test_a_page_is_read_once_and_in_all_partitions(spark):
         plan = QUERIES[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
         assert plan.count("no legend") == 1 and plan.count("no bands") == 1
         assert "Figure" not in plan.split("RepartitionByExpression", 1)[1]
+
+
+def test_no_round_of_a_tree_is_broadcast(spark):
+    from banderole.operators import tree
+
+    rows = spark.createDataFrame([("o", "d", str(k), str(k // 2)) for k in range(1, 40)], "org string, date string, pur string, parent string")
+    up = tree._jump(rows.withColumn("up", rows["parent"]), {"up": rows["parent"]})
+    plan = up._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
