@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..store import discard, written
+from ..store import discard, new_path, written
 
 LEAST_RATE = 0.5
 STATE = "url string, fingerprint string, status string, detail string, run long"
@@ -51,24 +51,27 @@ def halves(posts: DataFrame, rates: DataFrame, *, least: float = LEAST_RATE) ->
     """(url, pay, rate, status) of files of posts, in their order: joined, pay-join-too-sparse or no-pay-file-found.
 
     ``posts``: (url, org, date, place); ``rates``: (url, pay, rate) of the files that it may be joined with.  The k-th file of every
-    organisation and date chooses in round k, so there are as many rounds as files of one organisation and date.
+    organisation and date chooses in round k, so there are as many rounds as files of one organisation and date.  A round reads its own
+    offers alone, from a table that is written once in the order of the rounds, and appends its choices to those before.
     """
-    turn = Window.partitionBy("org", "date").orderBy("place", "url")
-    waiting, path = written(posts.select("url", "org", "date", F.row_number().over(turn).alias("turn")), "halves")
+    spark, turn = posts.sparkSession, Window.partitionBy("org", "date").orderBy("place", "url")
+    waiting, path = written(posts.select("url", F.row_number().over(turn).alias("turn")), "halves")
     most = waiting.agg(F.max("turn")).first()[0] or 0
-    done, used = None, None
+    if not most:
+        return posts.select("url", F.lit(None).cast("string").alias("pay"), F.lit(None).cast("double").alias("rate"), F.lit(None).cast("string").alias("status")).where("false")
+    offers, offered = written(rates.join(waiting.hint("merge"), "url").select("turn", "url", "pay", "rate").sortWithinPartitions("turn"), "halves-offers")
+    done, at = None, new_path(spark, "halves-done")
     for k in range(1, most + 1):
-        now = waiting.where(F.col("turn") == k).select("url")
-        offers = rates.join(now, "url", "left_semi")
-        if used is not None:
-            offers = offers.join(used, "pay", "left_anti")
-        best = offers.groupBy("url").agg(F.min(F.struct((-F.col("rate")).alias("least"), "pay", "rate")).alias("b")).select("url", "b.pay", "b.rate")
+        free = offers.where(F.col("turn") == k)
+        if done is not None:
+            free = free.join(done.where("status = 'joined'").select("pay").hint("merge"), "pay", "left_anti")
+        best = free.groupBy("url").agg(F.min(F.struct((-F.col("rate")).alias("least"), "pay", "rate")).alias("b")).select("url", "b.pay", "b.rate")
         status = F.when(F.col("rate").isNull(), "no-pay-file-found").when(F.col("rate") < least, "pay-join-too-sparse").otherwise("joined")
-        chosen = now.join(best, "url", "left").withColumn("status", status)
-        grown, _ = written(chosen if done is None else done.unionByName(chosen), "halves-done")
-        done, used = grown, grown.where("status = 'joined'").select("pay").distinct()
-    discard(path)
-    return done if done is not None else posts.select("url", F.lit(None).cast("string").alias("pay"), F.lit(None).cast("double").alias("rate"), F.lit(None).cast("string").alias("status")).where("false")
+        chosen = waiting.where(F.col("turn") == k).select("url").join(best.hint("merge"), "url", "left").withColumn("status", status)
+        chosen.write.mode("append").parquet(at)
+        done = spark.read.schema(chosen.schema).parquet(at)
+    discard(path, offered)
+    return done
 
 
 def pending(items: DataFrame, state: DataFrame, inputs: list[str]) -> DataFrame:

@@ -44,15 +44,19 @@ def discard(*paths: str) -> None:
             continue
 
 
-def written(df: DataFrame, label: str = "once") -> tuple[DataFrame, str]:
-    """``df`` written as Parquet and read again, and its path for ``discard``."""
+def new_path(spark: SparkSession, label: str) -> str:
+    """A path that no other run uses; what is written there is deleted when the process ends."""
     if not _made:
         atexit.register(lambda: discard(*_made))
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    _made.append(path)
+    _made.append(f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}")
+    return _made[-1]
+
+
+def written(df: DataFrame, label: str = "once") -> tuple[DataFrame, str]:
+    """``df`` written as Parquet and read again, and its path for ``discard``."""
+    path = new_path(df.sparkSession, label)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path), path
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
 
 
 def once(df: DataFrame) -> DataFrame:

@@ -55,3 +55,15 @@ def test_no_round_of_a_tree_is_broadcast(spark):
     up = tree._jump(rows.withColumn("up", rows["parent"]), {"up": rows["parent"]})
     plan = up._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
+def test_choices_of_all_rounds_are_appended_to_one_table(spark):
+    from banderole import store
+    from banderole.operators import probe
+
+    posts = spark.createDataFrame([(f"u{k}", "o", "d", k) for k in range(4)], "url string, org string, date string, place int")
+    rates = spark.createDataFrame([(f"u{k}", f"p{j}", 0.9 - j / 10) for k in range(4) for j in range(2)], "url string, pay string, rate double")
+    before = len(store._made)
+    got = {r["url"]: (r["pay"], r["status"]) for r in probe.halves(posts, rates).collect()}
+    assert got == {"u0": ("p0", "joined"), "u1": ("p1", "joined"), "u2": (None, "no-pay-file-found"), "u3": (None, "no-pay-file-found")}
+    assert sum("halves-done" in p for p in store._made[before:]) == 1
