@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..sources import high_earners, posts_csv
-from .stand_in import query, table
+from .stand_in import query, spread, table
 
 
 def _orders(spark, sf) -> DataFrame:
@@ -27,7 +27,7 @@ def _line(*columns: Column) -> Column:
 def _files(rows: DataFrame, head: Column) -> DataFrame:
     """(path, content): a file for each organisation and year, as publishers cut them."""
     body = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("k", "line"))), lambda x: x["line"]), "\r\n")
-    made = rows.groupBy("org", "year").agg(F.concat(F.max(head), F.lit("\r\n"), body).alias("text"))
+    made = spread(rows.select("org", "year", "k", "line"), "org", "year").groupBy("org", "year").agg(F.concat(F.max(head), F.lit("\r\n"), body).alias("text"))
     return made.select(F.concat_ws("/", "year", "org").alias("path"), F.encode("text", "UTF-8").alias("content"))
 
 

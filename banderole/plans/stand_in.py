@@ -30,9 +30,9 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
-def spread(rows: DataFrame, key: str) -> DataFrame:
+def spread(rows: DataFrame, *key: str) -> DataFrame:
     """Rows in as many partitions as a shuffle has: a small file of keys is one split, whatever is drawn from them."""
-    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *key)
 
 
 def posts(spark: SparkSession, sf: str) -> DataFrame:

@@ -9,12 +9,11 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import classify as c
-from .posts_csv import cells, decode, find_exact, norm_header
+from .posts_csv import file_rows, find_exact, norm_header, opened
 
 # Header phrases of each field, the pay columns that tell the shapes apart.
 RANGE = ("total pay floor and ceiling range", "pay floor and ceiling range")
@@ -65,26 +64,20 @@ def places(header: list[str], shape: str) -> dict[str, int]:
 
 def raw_rows(files: DataFrame) -> DataFrame:
     """One row per data row of each (path, content), or one with the reason that a file was refused."""
-    names = [x.split()[0] for x in RAW.split(", ")]
-    kinds = [pa.int32() if n == "row_idx" else pa.string() for n in names]
-
-    def of(path: str, content: bytes) -> list[list]:
-        rows = cells(decode(content))
-        shape = shape_of(rows[0]) if len(rows) > 1 else None
-        at = places(rows[0], shape) if shape else {}
-        reason = "empty" if len(rows) < 2 else "no-pay-columns" if not shape else "no-post-columns" if at["org"] < 0 and at["title"] < 0 else None
+
+    def of(path: str, content: bytes) -> Iterator[list]:
+        head, rows = opened(content)
+        shape = shape_of(head) if rows is not None else None
+        at = places(head, shape) if shape else {}
+        reason = "empty" if rows is None else "no-pay-columns" if not shape else "no-post-columns" if at["org"] < 0 and at["title"] < 0 else None
         if reason:
-            return [[path, reason, *[None] * (len(names) - 2)]]
+            yield [path, reason, *[None] * (len(CELLS) + 2)]
+            return
         cell = lambda r, i: r[i].strip() if 0 <= i < len(r) else None if i < 0 else ""
-        return [[path, None, shape, k, *(cell(r, at[x]) for x in CELLS)] for k, r in enumerate(rows[1:])]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for path, content in zip(b["path"].to_pylist(), b["content"]):
-                made = of(path, content.as_py())
-                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in made], kind) for i, kind in enumerate(kinds)], names=names)
+        for k, r in enumerate(rows):
+            yield [path, None, shape, k, *(cell(r, at[x]) for x in CELLS)]
 
-    return files.select("path", "content").mapInArrow(run, RAW)
+    return file_rows(files, of, RAW)
 
 
 def name(surname: Column, forename: Column, whole: Column) -> Column:

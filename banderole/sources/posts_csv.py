@@ -1,17 +1,18 @@
 """Published post files: ragged CSV in any of the usual encodings, to typed post rows.
 
 Whole files are the unit of parsing (quotes may span lines and a lone CR ends a line), so bytes
-become cells in Arrow-batched tasks; all rules on cells are columns of the plan.
+become cells in Arrow-batched tasks, which hold one file's text and some thousand of its rows; all
+rules on cells are columns of the plan.
 """
 
 from __future__ import annotations
 
 import csv
-import io
 import re
 from collections.abc import Iterator
+from itertools import chain, islice
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -81,39 +82,73 @@ def decode(body: bytes) -> str:
         return body.decode("cp1252", "replace")
 
 
-def cells(text: str) -> list[list[str]]:
-    """Rows of a CSV text; CRLF and lone CR are line ends, inside quotes too."""
-    text = text.removeprefix("﻿").replace("\r\n", "\n").replace("\r", "\n")
+def rows_in(text: str) -> Iterator[list[str]]:
+    """Rows of a CSV text, one at a time; CRLF and lone CR are line ends, inside quotes too."""
+    text = text.removeprefix("\ufeff").replace("\r\n", "\n").replace("\r", "\n")
     csv.field_size_limit(1 << 30)
-    return [r for r in csv.reader(io.StringIO(text, newline=""), strict=False)]
+
+    def lines() -> Iterator[str]:
+        at = 0
+        while at < len(text):
+            end = text.find("\n", at) + 1 or len(text)
+            yield text[at:end]
+            at = end
+
+    return csv.reader(lines(), strict=False)
+
+
+def cells(text: str) -> list[list[str]]:
+    return list(rows_in(text))
+
+
+def opened(content: bytes) -> tuple[list[str], Iterator[list[str]] | None]:
+    """(header, data rows); None instead of rows where there are none."""
+    rows = rows_in(decode(content))
+    head, first = next(rows, []), next(rows, None)
+    return head, None if first is None else chain([first], rows)
+
+
+def batched(rows: Iterator[list], schema: str, most: int = 5_000) -> Iterator[pa.RecordBatch]:
+    """Rows as Arrow batches, never a whole file of them at once."""
+    columns = [c.split() for c in schema.split(", ")]
+    kinds = {"string": pa.string(), "int": pa.int32(), "boolean": pa.bool_()}
+    while part := list(islice(rows, most)):
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in part], kinds[kind]) for i, (_, kind) in enumerate(columns)], names=[name for name, _ in columns])
+
+
+def file_rows(files: DataFrame, of, schema: str) -> DataFrame:
+    """``of(path, content)``, an iterator of rows, for each of (path, content); a file's bytes are taken from its batch when its turn comes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for path, content in zip(b["path"], b["content"]):
+                yield from batched(of(path.as_py(), content.as_py()), schema)
+
+    return files.select("path", "content").mapInArrow(run, schema)
 
 
 RAW = "file string, reason string, row_idx int, valid_flag string, has_valid boolean, " + ", ".join(f"{f} string" for f in FIELDS)
 
 
-def _raw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    names = [x.split()[0] for x in RAW.split(", ")]
-    for b in batches:
-        for file, content in zip(b["path"], b["content"]):
-            rows = cells(decode(bytes(content)))
-            head = rows[0] if rows else []
-            at = {f: find_column(head, p) for f, p in FIELDS.items()}
-            reason = None
-            if len(rows) < 2:
-                reason = "empty"
-            elif is_junior(head):
-                reason = "junior-schema"
-            elif at["floor"] < 0 and at["ceil"] < 0:
-                reason = "no-pay-columns"
-            elif at["grade"] < 0 and at["title"] < 0:
-                reason = "no-post-columns"
-            if reason:
-                yield pd.DataFrame([[file, reason] + [None] * (len(names) - 2)], columns=names)
-                continue
-            valid = next((i for i, h in enumerate(head) if norm_header(h) == "valid"), -1)
-            cell = lambda r, i: r[i].strip() if 0 <= i < len(r) else ""
-            made = [[file, None, k, cell(r, valid), valid >= 0, *(cell(r, at[f]) for f in FIELDS)] for k, r in enumerate(rows[1:])]
-            yield pd.DataFrame(made, columns=names)
+def _raw(file: str, content: bytes) -> Iterator[list]:
+    head, rows = opened(content)
+    at = {f: find_column(head, p) for f, p in FIELDS.items()}
+    reason = None
+    if rows is None:
+        reason = "empty"
+    elif is_junior(head):
+        reason = "junior-schema"
+    elif at["floor"] < 0 and at["ceil"] < 0:
+        reason = "no-pay-columns"
+    elif at["grade"] < 0 and at["title"] < 0:
+        reason = "no-post-columns"
+    if reason:
+        yield [file, reason, *[None] * (len(FIELDS) + 3)]
+        return
+    valid = next((i for i, h in enumerate(head) if norm_header(h) == "valid"), -1)
+    cell = lambda r, i: r[i].strip() if 0 <= i < len(r) else ""
+    for k, r in enumerate(rows):
+        yield [file, None, k, cell(r, valid), valid >= 0, *(cell(r, at[f]) for f in FIELDS)]
 
 
 def read_raw(spark: SparkSession, path: str) -> DataFrame:
@@ -122,7 +157,7 @@ def read_raw(spark: SparkSession, path: str) -> DataFrame:
 
 
 def raw_rows(files: DataFrame) -> DataFrame:
-    return files.mapInPandas(_raw, RAW)
+    return file_rows(files, _raw, RAW)
 
 
 def normalise(raw: DataFrame) -> tuple[DataFrame, DataFrame]:

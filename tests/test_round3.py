@@ -67,3 +67,21 @@ def test_choices_of_all_rounds_are_appended_to_one_table(spark):
     got = {r["url"]: (r["pay"], r["status"]) for r in probe.halves(posts, rates).collect()}
     assert got == {"u0": ("p0", "joined"), "u1": ("p1", "joined"), "u2": (None, "no-pay-file-found"), "u3": (None, "no-pay-file-found")}
     assert sum("halves-done" in p for p in store._made[before:]) == 1
+
+
+def test_a_file_passes_in_batches_of_rows():
+    from banderole.sources import high_earners, posts_csv
+
+    taken = []
+
+    def text_lines():
+        for k in range(12_001):
+            taken.append(k)
+            yield [str(k), k, True]
+
+    sizes = [(b.num_rows, len(taken)) for b in posts_csv.batched(text_lines(), "a string, b int, c boolean")]
+    assert sizes == [(5000, 5000), (10000 - 5000, 10_000), (2001, 12_001)]
+    head, rows = posts_csv.opened('a,"b\rc"\rd,e\r\n"x""y\n",z'.encode())
+    assert head == ["a", "b\nc"] and next(rows) == ["d", "e"] and list(rows) == [['x"y\n', "z"]]
+    assert posts_csv.opened(b"only,head")[1] is None and posts_csv.opened(b"") == ([], None)
+    assert high_earners.opened is posts_csv.opened
