@@ -9,6 +9,7 @@ from collections.abc import Iterator
 from xml.sax.saxutils import escape
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -72,20 +73,20 @@ def ods(sheets: dict[str, list[list[str | float | None]]]) -> bytes:
 def books_of(spark, sf) -> DataFrame:
     """Files of up to 100 customers: every fifth an ODS, some damaged (3 of 7) or inside an archive (5 of 7)."""
 
-    def build(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for file, rows in zip(b["file"], b["rows"]):
+            for file, rows in zip(b["file"].to_pylist(), (r.as_py() for r in b["rows"])):  # one book's rows at a time
                 data = [[int(r["k"]), r["name"], None if r["k"] % 11 == 0 else float(r["bal"]), r["seg"]] for r in sorted(rows, key=lambda r: r["k"])]
                 sheets = {"Contents": [["Contents"], ["Table 35", "Table 36"]], f"table_{file % 3}": [[TITLE], [], ["key", "name & no.", "balance", "<segment>"], *data]}
                 body = (ods if file % 5 == 0 else xlsx)(sheets)
                 if file % 7 == 5:
                     body = _zip({"notes/": "", "notes/readme.txt": "see tables", "tables/book.bin": body}, zipfile.ZIP_STORED)
-                yield pd.DataFrame({"path": [f"book-{file}"], "content": [body[: len(body) // 2] if file % 7 == 3 else body]})
+                yield pa.RecordBatch.from_pydict({"path": [f"book-{file}"], "content": [body[: len(body) // 2] if file % 7 == 3 else body]})
 
     c = table(spark, sf, "customer")
     row = F.struct(F.col("c_custkey").alias("k"), F.col("c_name").alias("name"), F.col("c_acctbal").cast("double").alias("bal"), F.col("c_mktsegment").alias("seg"))
     blocks = c.groupBy(F.floor(F.col("c_custkey") / 100).alias("file")).agg(F.collect_list(row).alias("rows"))  # 100 rows a file at most
-    return blocks.mapInPandas(build, "path string, content binary")
+    return blocks.mapInArrow(build, "path string, content binary")
 
 
 _FILES = "files AS (SELECT *, c_custkey // 100 AS file FROM customer)"
