@@ -56,7 +56,10 @@ def shingle_hashes(text: str, width: int) -> np.ndarray:
 
 def fingerprint(text: str | None, width: int = 3) -> int:
     """Bit i is set where over half of the shingle hashes have it; zero without words."""
-    hashes = shingle_hashes(text or "", width)
+    return fingerprint_of(shingle_hashes(text or "", width))
+
+
+def fingerprint_of(hashes: np.ndarray) -> int:
     counts = np.zeros(64, dtype=np.int64)
     for k in range(0, hashes.size, 1 << 16):
         part = hashes[k : k + (1 << 16)].astype("<u8").view(np.uint8).reshape(-1, 8)

@@ -28,7 +28,10 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def keep_one_of_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that with the smallest id, of each group of near copies: five-word Jaccard of 0.8 or more."""
+    """One document, that with the smallest id, of each group of near copies: five-word Jaccard of 0.8 or more.
+
+    SimHash fingerprints and their vantage-point tree link what lies near, minimum hashes the rest; exact sets decide.
+    """
     return near_copies.one_of_each_group(docs, shingle=5, percent=80).select(*COLUMNS)
 
 
