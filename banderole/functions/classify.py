@@ -5,6 +5,10 @@ Every rule list becomes one CASE expression inside the plan.
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -28,18 +32,53 @@ def word(pattern: str) -> str:
     return f"(?<![A-Za-z0-9_])(?:{pattern})(?![A-Za-z0-9_])"
 
 
+def let(value: Column, rule: Callable[[Column], Column]) -> Column:
+    """``rule(value)`` with the value worked out once a row.
+
+    A column that a rule names in several places is otherwise written out, and worked out, at each of them.
+    """
+    return F.transform(F.array(value), rule)[0]
+
+
+def _either(pattern: str) -> list[str]:
+    """The alternatives of a pattern, split at the bars outside its brackets."""
+    out, depth = [""], 0
+    for ch in pattern:
+        depth += (ch in "([") - (ch in ")]")
+        if ch == "|" and depth == 0:
+            out.append("")
+        else:
+            out[-1] += ch
+    return out
+
+
+def holds(text: Column, pattern: str) -> Column:
+    """``text.rlike(pattern)``: plain phrases are looked for as they are, plain words before their borders are."""
+    tests = []
+    for p in _either(pattern):
+        plain = re.fullmatch(re.escape(word("@")).replace("@", "([a-z0-9 &]+)"), p)
+        if re.fullmatch("[a-z0-9 &]+", p):
+            tests.append(text.contains(p))
+        else:
+            tests.append(text.contains(plain[1]) & text.rlike(p) if plain else text.rlike(p))
+    return reduce(Column.__or__, tests)
+
+
 def _first(cases: list[tuple[Column, Column]], otherwise: Column) -> Column:
-    out = None
-    for test, value in cases:
-        out = F.when(test, value) if out is None else out.when(test, value)
-    return out.otherwise(otherwise)
+    """The value, never null, of the first test that holds."""
+    return F.coalesce(*(F.when(test, value) for test, value in cases), otherwise)
 
 
 # --- numbers ------------------------------------------------------------------------------------
 def money(c: Column) -> Column:
     """Pounds as double: currency signs, commas and letters dropped; null if nothing numeric is left."""
     digits = F.regexp_replace(F.coalesce(c.cast("string"), F.lit("")), "[^0-9.\\-]", "")
-    return F.regexp_extract(digits, "^-?(?:[0-9]+\\.?[0-9]*|\\.[0-9]+)", 0).try_cast("double")
+    return _number(F.regexp_extract(digits, "^-?(?:[0-9]+\\.?[0-9]*|\\.[0-9]+)", 0))
+
+
+def _number(text: Column) -> Column:
+    """A text of digits as double, or null: an empty one isn't cast, as a failing cast costs more than all else here."""
+    return let(text, lambda x: F.when(x != "", x.try_cast("double")))
 
 
 def positive(c: Column) -> Column:
@@ -49,8 +88,8 @@ def positive(c: Column) -> Column:
 def fte(c: Column) -> Column:
     """Full-time equivalent in (0, 5], else null; never a default."""
     digits = F.regexp_replace(clean(c), "[^0-9.]", "")
-    v = F.regexp_extract(digits, "^(?:[0-9]+\\.?[0-9]*|\\.[0-9]+)", 0).try_cast("double")
-    return F.when((v > 0) & (v <= 5), v)
+    v = _number(F.regexp_extract(digits, "^(?:[0-9]+\\.?[0-9]*|\\.[0-9]+)", 0))
+    return let(v, lambda x: F.when((x > 0) & (x <= 5), x))
 
 
 def half_up(c: Column) -> Column:
@@ -66,14 +105,16 @@ STATUS_WORDS = (("redacted", "(?i)redact"), ("vacant", "(?i)vacan"), ("eliminate
 
 
 def status(name: Column) -> Column:
-    s = clean(name)
-    return _first(
-        [
-            (s.rlike(NOT_APPLICABLE), F.lit("filled-undisclosed")),
-            (s.isin("", "-", "--") | (F.lower(s) == "nan"), F.lit("blank")),
-            *((s.rlike(p), F.lit(v)) for v, p in STATUS_WORDS),
-        ],
-        F.lit("filled-named"),
+    return let(
+        clean(name),
+        lambda s: _first(
+            [
+                (s.rlike(NOT_APPLICABLE), F.lit("filled-undisclosed")),
+                (s.isin("", "-", "--") | (F.lower(s) == "nan"), F.lit("blank")),
+                *((s.rlike(p), F.lit(v)) for v, p in STATUS_WORDS),
+            ],
+            F.lit("filled-named"),
+        ),
     )
 
 
@@ -122,7 +163,12 @@ JUNIOR = (
 
 def grade(raw: Column) -> Column:
     """struct(raw, band, variant, senior)."""
-    r, n = clean(raw), normalised(clean(raw))
+    whole = lambda r, b: F.struct(r.alias("raw"), b["band"].alias("band"), b["variant"].alias("variant"), b["band"].isin(*SENIOR_GRADES).alias("senior"))
+    return let(clean(raw), lambda r: let(normalised(r), lambda n: let(_banded(r, n), lambda b: whole(r, b))))
+
+
+def _banded(r: Column, n: Column) -> Column:
+    """struct(band, variant) of a cell and its normalised text."""
     none = F.lit(None).cast("string")
     out = lambda band, variant=none: F.struct(F.lit(band).alias("band") if isinstance(band, str) else band.alias("band"), variant.alias("variant"))
     number, a, place = (F.regexp_extract(n, NUMBERED, k) for k in (1, 2, 3))
@@ -131,13 +177,12 @@ def grade(raw: Column) -> Column:
     cases = [
         ((r == "") | n.isin("nan", "na", "n a"), out(OTHER)),
         (n.rlike("^of\\s*[6-9]$"), out(MILITARY, F.concat(F.lit("OF-"), F.regexp_extract(n, "([6-9])$", 1)))),
-        *((n.rlike(p), out(SPECIALIST, F.lit(v) if v else F.upper(r))) for p, v in SPECIALISTS),
+        *((holds(n, p), out(SPECIALIST, F.lit(v) if v else F.upper(r))) for p, v in SPECIALISTS),
         (n.rlike(NUMBERED), out(by_number, variant)),
-        *((n.rlike(p), out(b, F.lit(v) if v else none)) for p, b, v in TITLES),
+        *((holds(n, p), out(b, F.lit(v) if v else none)) for p, b, v in TITLES),
         (n.isin(*JUNIOR), out(BELOW)),
     ]
-    found = _first(cases, out(OTHER))
-    return F.struct(r.alias("raw"), found["band"].alias("band"), found["variant"].alias("variant"), found["band"].isin(*SENIOR_GRADES).alias("senior"))
+    return _first(cases, out(OTHER))
 
 
 # --- profession ---------------------------------------------------------------------------------
@@ -179,14 +224,18 @@ DIGITAL_TITLE = f"(?i)technolog|cyber|software|{word('digital|data|ict|cio|cdo|c
 
 def profession(group: Column, title: Column) -> Column:
     """struct(raw, prof, source): from the group, else from the title, else a stated non-answer."""
-    raw, g, t = clean(group), F.lower(clean(group)), F.lower(F.coalesce(title, F.lit("")))
-    silent = (g == "") | g.rlike(NON_ANSWER)
-    of = lambda c: _first([(c.rlike(p), F.lit(name)) for name, p in PROFESSIONS], F.lit(None))
-    from_group = F.when(~silent, of(g))
-    from_title = F.when(silent | g.rlike("^other|other$"), of(t))
-    source = F.when(from_group.isNotNull(), "group").when(from_title.isNotNull(), "title").otherwise("none")
-    prof = F.coalesce(from_group, from_title, F.when(silent, "Not stated").otherwise("Other"))
-    return F.struct(raw.alias("raw"), prof.alias("prof"), source.alias("source"))
+    of = lambda c: let(c, lambda x: _first([(holds(x, p), F.lit(name)) for name, p in PROFESSIONS], F.lit(None)))
+    read = lambda prof, source: F.when(prof.isNotNull(), F.struct(prof.alias("prof"), F.lit(source).alias("source")))
+    t = F.lower(F.coalesce(title, F.lit("")))
+
+    def found(g: Column, silent: Column) -> Column:
+        from_group = let(F.when(~silent, of(g)), lambda x: read(x, "group"))
+        from_title = let(F.when(silent | g.rlike("^other|other$"), of(t)), lambda x: read(x, "title"))
+        return F.coalesce(from_group, from_title, read(F.when(silent, "Not stated").otherwise("Other"), "none"))
+
+    whole = lambda raw, x: F.struct(raw.alias("raw"), x["prof"].alias("prof"), x["source"].alias("source"))
+    known = lambda g: let((g == "") | g.rlike(NON_ANSWER), lambda silent: found(g, silent))
+    return let(clean(group), lambda raw: let(let(F.lower(raw), known), lambda x: whole(raw, x)))
 
 
 def is_digital(prof: Column, title: Column) -> Column:
@@ -208,8 +257,20 @@ def disclosure(floor_raw: Column, ceil_raw: Column) -> Column:
 
     An implausible pair keeps its edges but counts as withheld.
     """
-    fr, cr = clean(floor_raw), clean(ceil_raw)
-    lo, hi = positive(money(fr)), positive(money(cr))
+    edge = lambda x: let(money(x), positive)
+    binned = lambda b: F.struct(*(b[x].alias(x) for x in ("floor", "ceil")), b["reason"].isNull().alias("disclosed"), b["reason"].alias("reason"), *_bins(b))
+    judged = lambda fr, cr: let(edge(fr), lambda lo: let(edge(cr), lambda hi: let(_withheld(fr, cr, lo, hi), binned)))
+    return let(clean(floor_raw), lambda fr: let(clean(ceil_raw), lambda cr: judged(fr, cr)))
+
+
+def _bins(band: Column) -> tuple[Column, Column]:
+    shown = lambda x: F.when(band["reason"].isNull(), band[x])
+    low, high = band_bins(shown("floor"), shown("ceil"))
+    return low.alias("bin_low"), high.alias("bin_high")
+
+
+def _withheld(fr: Column, cr: Column, lo: Column, hi: Column) -> Column:
+    """struct(floor, ceil, reason) of two cleaned cells and their amounts."""
     both = F.trim(F.concat_ws(" ", fr, cr))
     zero = "^0([.,]0+)?$"
     shown = lo.isNotNull() | hi.isNotNull()
@@ -221,8 +282,7 @@ def disclosure(floor_raw: Column, ceil_raw: Column) -> Column:
         .when(~shown, "other")
         .when(odd, "implausible")
     )
-    low, high = band_bins(F.when(reason.isNull(), lo), F.when(reason.isNull(), hi))
-    return F.struct(lo.alias("floor"), hi.alias("ceil"), reason.isNull().alias("disclosed"), reason.alias("reason"), low.alias("bin_low"), high.alias("bin_high"))
+    return F.struct(lo.alias("floor"), hi.alias("ceil"), reason.alias("reason"))
 
 
 def band_bins(floor: Column, ceil: Column) -> tuple[Column, Column]:
@@ -240,8 +300,7 @@ def band_state(bin_low: Column) -> Column:
 
 def identifier(c: Column) -> Column:
     """A post reference; placeholders become empty."""
-    s = clean(c)
-    return F.when(s.rlike("(?i)^(xx+|n/?a|none|-+)$"), "").otherwise(s)
+    return let(clean(c), lambda s: F.when(s.rlike("(?i)^(xx+|n/?a|none|-+)$"), "").otherwise(s))
 
 
 # --- lists of high earners ----------------------------------------------------------------------
